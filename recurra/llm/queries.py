@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from recurra.llm import near_dup as op7
 from recurra.llm import quality_rules as op5
 
 QUERIES = {
     "op5_quality_rules": op5.op5_quality_rules,
+    "op7_minhash_near_dedup": op7.op7_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {}
