@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from recurra.llm import bpe as op8
 from recurra.llm import near_dup as op7
 from recurra.llm import quality_rules as op5
 
 QUERIES = {
     "op5_quality_rules": op5.op5_quality_rules,
     "op7_minhash_near_dedup": op7.op7_minhash_near_dedup,
+    "op8_byte_level_bpe": op8.op8_byte_level_bpe,
 }
 
 SQL: dict[str, str] = {}
