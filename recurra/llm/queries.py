@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from recurra.llm import bpe as op8
+from recurra.llm import decontam as op4
 from recurra.llm import near_dup as op7
 from recurra.llm import quality_rules as op5
 
 QUERIES = {
+    "op4_benchmark_decontamination": op4.op4_benchmark_decontamination,
     "op5_quality_rules": op5.op5_quality_rules,
     "op7_minhash_near_dedup": op7.op7_minhash_near_dedup,
     "op8_byte_level_bpe": op8.op8_byte_level_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": op4.SQL,
+}
