@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from recurra.llm import bpe as op8
+from recurra.llm import chat_format as op2
 from recurra.llm import decontam as op4
 from recurra.llm import near_dup as op7
 from recurra.llm import quality_rules as op5
 
 QUERIES = {
+    "op2_chat_formatting": op2.op2_chat_formatting,
     "op4_benchmark_decontamination": op4.op4_benchmark_decontamination,
     "op5_quality_rules": op5.op5_quality_rules,
     "op7_minhash_near_dedup": op7.op7_minhash_near_dedup,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_chat_formatting": op2.SQL,
     "op4_benchmark_decontamination": op4.SQL,
 }
