@@ -6,7 +6,9 @@ from recurra.llm import bpe as op8
 from recurra.llm import chat_format as op2
 from recurra.llm import decontam as op4
 from recurra.llm import near_dup as op7
+from recurra.llm import quality_model as op9
 from recurra.llm import quality_rules as op5
+from recurra.llm import toxicity as op6
 
 QUERIES = {
     "op2_chat_formatting": op2.op2_chat_formatting,
@@ -14,6 +16,8 @@ QUERIES = {
     "op5_quality_rules": op5.op5_quality_rules,
     "op7_minhash_near_dedup": op7.op7_minhash_near_dedup,
     "op8_byte_level_bpe": op8.op8_byte_level_bpe,
+    "op6_toxicity": op6.op6_toxicity,
+    "op9_quality_classifier": op9.op9_quality_classifier,
 }
 
 SQL: dict[str, str] = {
