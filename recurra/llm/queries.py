@@ -6,6 +6,7 @@ from recurra.llm import bpe as op8
 from recurra.llm import chat_format as op2
 from recurra.llm import decontam as op4
 from recurra.llm import near_dup as op7
+from recurra.llm import pii as op10
 from recurra.llm import quality_model as op9
 from recurra.llm import quality_rules as op5
 from recurra.llm import toxicity as op6
@@ -18,6 +19,7 @@ QUERIES = {
     "op8_byte_level_bpe": op8.op8_byte_level_bpe,
     "op6_toxicity": op6.op6_toxicity,
     "op9_quality_classifier": op9.op9_quality_classifier,
+    "op10_pii": op10.op10_pii,
 }
 
 SQL: dict[str, str] = {
