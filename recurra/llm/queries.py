@@ -10,8 +10,10 @@ from recurra.llm import pii as op10
 from recurra.llm import quality_model as op9
 from recurra.llm import quality_rules as op5
 from recurra.llm import toxicity as op6
+from recurra.llm import warc as op1
 
 QUERIES = {
+    "op1_warc_revisits": op1.op1_warc_revisits,
     "op2_chat_formatting": op2.op2_chat_formatting,
     "op4_benchmark_decontamination": op4.op4_benchmark_decontamination,
     "op5_quality_rules": op5.op5_quality_rules,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_revisits": op1.SQL,
     "op2_chat_formatting": op2.SQL,
     "op4_benchmark_decontamination": op4.SQL,
 }
