@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recurra.llm import quality_rules
+from recurra.llm import bpe, decontam, near_dup, pii, quality_rules
 from recurra.llm.scratch import Scratch
 
 
@@ -13,9 +15,30 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(docs)
 
 
-STAGES = [("quality_rules", rules)]
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: that of the smallest id."""
+    return near_dup.keep_one(docs)
 
-#: SQL can't express near-dedup by MinHash or byte-level BPE; tests/llm hold the stages against brute force.
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out of the texts."""
+    return decontam.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kinds."""
+    return pii.redact(docs, pii.train(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digest of the bytes that the ids decode to."""
+    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality_rules", rules), ("near_dedup", dedup), ("decontamination", decontaminate), ("pii", personal_data), ("bpe", tokens)]
+
+#: SQL can't express near-dedup by MinHash, the trained field or byte-level BPE; tests/llm hold run() against brute force.
 ORACLE_SQL = None
 
 

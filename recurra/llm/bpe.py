@@ -231,7 +231,7 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids array<int>, decoded binary: one row per row of docs."""
     own = _own(docs, id_col, text_col)
-    return _mapped(own, path, pattern, f"doc_id {own.dtypes[0][1]}, n_tokens long, ids array<int>, decoded binary", lambda ids, n, raw: (n, np.array(ids.split(",") if ids else [], np.int32), raw))
+    return _mapped(own, path, pattern, f"doc_id {own.dtypes[0][1]}, n_tokens long, ids array<int>, decoded binary", lambda ids, n, raw: (n, np.fromstring(ids, np.int32, sep=","), raw))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

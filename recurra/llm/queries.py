@@ -5,6 +5,7 @@ from __future__ import annotations
 from recurra.llm import bpe as op8
 from recurra.llm import chat_format as op2
 from recurra.llm import decontam as op4
+from recurra.llm import licenses as op3
 from recurra.llm import near_dup as op7
 from recurra.llm import pii as op10
 from recurra.llm import quality_model as op9
@@ -15,6 +16,7 @@ from recurra.llm import warc as op1
 QUERIES = {
     "op1_warc_revisits": op1.op1_warc_revisits,
     "op2_chat_formatting": op2.op2_chat_formatting,
+    "op3_license_scan": op3.op3_license_scan,
     "op4_benchmark_decontamination": op4.op4_benchmark_decontamination,
     "op5_quality_rules": op5.op5_quality_rules,
     "op7_minhash_near_dedup": op7.op7_minhash_near_dedup,
