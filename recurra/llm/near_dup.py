@@ -8,8 +8,9 @@
    pair is dropped if the posterior chance (uniform prior) that its similarity reaches the threshold, given the
    matches so far, is below MISS. What survives is verified on the full shingle sets, and links update components.
 3. Pivot rounds go on while they merge many components. What then remains are buckets whose members lie in several
-   components: every member outside the bucket's largest component is compared with all the others, signatures in
-   numpy, in a grid of blocks of bounded size, and survivors are verified exactly. So no link is lost to a cap.
+   components: every member outside the bucket's largest component is compared with all the others, in a grid of cells of bounded
+   size: signatures first, then the full sets of those with a survivor. No pair leaves its cell, and no link is lost
+   to a cap.
 
 The chance to lose a pair at the threshold itself is (1 - 0.8**ROWS)**BANDS = 5e-8 in banding, and MISS in pruning.
 
@@ -40,7 +41,7 @@ _rng = np.random.Generator(np.random.PCG64(7))
 MULTIPLY = _rng.integers(0, 2**31, N_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 2**32, N_HASHES, dtype=np.uint32)
 #: Rows of a block of the residual grid: members compared, and members that they are compared with.
-GRID_SMALL, GRID_ALL = 256, 4096
+GRID_SMALL, GRID_ALL = 256, 2048
 BLOOM_BITS = 1 << 23
 
 
@@ -248,46 +249,86 @@ def _standing(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     return at.join(per, "key")
 
 
-def residual_pairs(standing: DataFrame, base: DataFrame, least: dict[int, int]) -> DataFrame:
-    """pairs(p, u) of different components that outlive the batches, for every member outside its bucket's largest component against all others."""
+def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The tables of rows with equal first n_keys columns; such rows follow one another."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows - 1, bool)
+        for n in range(n_keys):
+            k = b.column(n).to_numpy()
+            change |= k[1:] != k[:-1]
+        edge = np.flatnonzero(change) + 1
+        if kept and any(kept[-1].column(n)[-1].as_py() != b.column(n)[0].as_py() for n in range(n_keys)):
+            yield pa.Table.from_batches(kept)
+            kept = []
+        for i, j in zip([0, *edge[:-1]], edge):
+            yield pa.Table.from_batches([*kept, b.slice(i, j - i)])
+            kept = []
+        kept.append(b.slice(edge[-1] if len(edge) else 0))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def residual_links(standing: DataFrame, base: DataFrame, docs: DataFrame, least: dict[int, int], shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """links(a, b) between components, for every member outside its bucket's largest component against all others.
+
+    Cells of at most about GRID_SMALL by GRID_ALL members first compare signatures; members with a surviving partner
+    stay. Their texts then meet in the same cells, where full sets are compared: pairs never leave a cell, links do.
+    """
     spark = base.sparkSession
     n_small, n_all = F.ceil((F.col("n") - F.col("n_big")) / GRID_SMALL), F.ceil(F.col("n") / GRID_ALL)
     rows = standing.withColumns({"ns": n_small, "na": n_all, "x": F.xxhash64("doc_id")}).join(base.select("doc_id", "sig"), "doc_id")
     cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     small = rows.where("c <> big").select("key", F.pmod("x", "ns").alias("i"), cells("na").alias("j"), F.lit(0).alias("role"), "doc_id", "c", "sig")
     every = rows.select("key", cells("ns").alias("i"), F.pmod(F.hash("x"), "na").cast("long").alias("j"), F.lit(1).alias("role"), "doc_id", "c", "sig")
+    percent = round(threshold * 100)
 
-    def cell(rows: pa.Table) -> pa.RecordBatch:
-        role, ids, c = (rows.column(k).to_numpy() for k in ("role", "doc_id", "c"))
-        sig = _matrix(rows.column("sig").combine_chunks())
-        q, t = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        p, u = [], []
-        for k in q:
-            other = t[c[t] != c[k]]
-            at = other[surviving(np.broadcast_to(sig[k], (len(other), N_HASHES)), sig[other], least)]
-            p.append(np.minimum(ids[at], ids[k]))
-            u.append(np.maximum(ids[at], ids[k]))
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *p])), pa.array(np.concatenate([none, *u]))], ["p", "u"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k = [b.column(n).to_numpy() for n in range(3)]
-            edge = np.flatnonzero((k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])) + 1
-            if kept and any(kept[-1].column(n)[-1].as_py() != b.column(n)[0].as_py() for n in range(3)):
-                yield cell(pa.Table.from_batches(kept))
-                kept = []
-            for i, j in zip([0, *edge[:-1]], edge):
-                yield cell(pa.Table.from_batches([*kept, b.slice(i, j - i)]))
-                kept = []
-            kept.append(b.slice(edge[-1] if len(edge) else 0))
-        if kept:
-            yield cell(pa.Table.from_batches(kept))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, 3):
+            role, c, sig = t.column("role").to_numpy(), t.column("c").to_numpy(), _matrix(t.column("sig").combine_chunks())
+            theirs, live = np.flatnonzero(role == 1), np.zeros(len(role), bool)
+            for k in np.flatnonzero(role == 0):
+                other = theirs[c[theirs] != c[k]]
+                at = other[surviving(np.broadcast_to(sig[k], (len(other), N_HASHES)), sig[other], least)]
+                live[at] = True
+                live[k] |= len(at) > 0
+            if live.any():
+                yield from t.drop_columns("sig").filter(pa.array(live)).combine_chunks().to_batches()
 
-    return small.unionByName(every).repartition(tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(cut, "p long, u long").distinct()
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, 3):
+            role, ids, c = (t.column(k).to_numpy() for k in ("role", "doc_id", "c"))
+            sets = []
+            for _, _, data, off in tn.blocks(t.column("text").combine_chunks()):
+                h, first = shingles(data, off, shingle)
+                sets += [np.unique(h[x:y]) for x, y in zip(first[:-1], first[1:])]
+            theirs = np.flatnonzero(role == 1)
+            if not len(theirs) or len(theirs) == len(role):
+                continue
+            own, place = np.unique(np.concatenate([sets[k] for k in theirs]), return_inverse=True)
+            size = np.array([len(sets[k]) for k in theirs])
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            mark, a, b = np.zeros(len(own) + 1, np.int32), [], []
+            for k in np.flatnonzero(role == 0):
+                at = np.searchsorted(own, sets[k])
+                at = at[own[np.minimum(at, len(own) - 1)] == sets[k]]
+                mark[at] = 1
+                inter = np.add.reduceat(mark[place], first)
+                mark[at] = 0
+                ok = (c[theirs] != c[k]) & (100 * inter >= percent * (size + len(sets[k]) - inter)) & (size > 0)
+                a += [int(ids[k])] * int(ok.sum())
+                b += ids[theirs[ok]].tolist()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    live = scratch.save(dealt(small.unionByName(every)).mapInArrow(compare, "key long, i long, j long, role int, doc_id long, c long"))
+    texts = only(docs, live.select("doc_id"))
+    return scratch.save(dealt(live.join(texts, "doc_id").select("key", "i", "j", "role", "doc_id", "c", "text")).mapInArrow(check, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, miss: float = MISS) -> DataFrame:
@@ -324,11 +365,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         last = spread is not None and now > 0.8 * spread
         if last:
-            pairs = residual_pairs(standing, base, least)
+            links = links.unionByName(residual_links(standing, base, docs, least, shingle, threshold, scratch))
         else:  # another pivot for each bucket, from its largest component
             pivot = standing.where("c = big").groupBy("key").agg(F.min_by("doc_id", F.xxhash64(F.lit(turn), "doc_id")).alias("p"))
             pairs = standing.where("c <> big").join(pivot, "key").select(F.least("p", "doc_id").alias("p"), F.greatest("p", "doc_id").alias("u")).distinct()
-        links = links.unionByName(linked(pairs))
+            links = links.unionByName(linked(pairs))
         comp = components(links, scratch)
         scratch.drop(standing)
         spread = now
