@@ -160,13 +160,13 @@ def scan(data: np.ndarray, off: np.ndarray, index: Index, band: int = BAND) -> l
     word, template, place, doc, diagonal = (x[order] for x in (word, template, place, doc, diagonal))
     out, i = [], 0
     while i < len(word):
-        j = i + 1
-        while j < len(word) and doc[j] == doc[i] and template[j] == template[i] and diagonal[j] - diagonal[j - 1] <= band:
+        own, j = index.words[template[i]], i + 1
+        near = max(1, min(band, len(own) // 3))  # less than a short template's length, so that copies in a row stay apart
+        while j < len(word) and doc[j] == doc[i] and template[j] == template[i] and diagonal[j] - diagonal[j - 1] <= near:
             j += 1
-        own = index.words[template[i]]
-        a = max(int(w.first[doc[i]]), int(diagonal[i]) - band)
-        z = min(int(w.first[doc[i] + 1]), int(diagonal[j - 1]) + band + len(own))
-        score, matched, start, end = align(own, w.hash[a:z], int(diagonal[i]) - band - a, int(diagonal[j - 1]) + band - a)
+        a = max(int(w.first[doc[i]]), int(diagonal[i]) - near)
+        z = min(int(w.first[doc[i] + 1]), int(diagonal[j - 1]) + near + len(own))
+        score, matched, start, end = align(own, w.hash[a:z], int(diagonal[i]) - near - a, int(diagonal[j - 1]) + near - a)
         if matched:
             out.append((int(doc[i]), int(template[i]), score, matched, int(w.start[a + start]), int(w.end[a + end - 1])))
         i = j
