@@ -95,7 +95,7 @@ ORACLE: dict[str, str] = {
     "block_max_downsample": f"WITH {LI} SELECT CAST(dim AS INTEGER) AS dim, t // 28 AS t, max(v) AS v FROM sig GROUP BY ALL",
     "reindex_positions": f"WITH {OW} SELECT CAST(dim AS INTEGER) AS dim, t, date_diff('day', DATE '1995-01-01', CAST(epoch_ms(788918400000 + t * 604800000) AS DATE)) AS day, v FROM sig",
     "dimension_subset": f"WITH {EV} SELECT CAST(CASE dim WHEN 4 THEN 0 WHEN 1 THEN 1 END AS INTEGER) AS dim, t, v FROM sig WHERE dim IN (4, 1)",
-    "idle_mask": f"WITH {OW}, f AS (SELECT dim, t, CASE WHEN count(*) OVER o = 7 THEN var_pop(v) OVER o < (SELECT quantile_cont(s, 0.6) FROM (SELECT var_pop(v) OVER o2 AS s FROM sig WINDOW o2 AS (PARTITION BY dim ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))) ELSE false END AS flat FROM sig WINDOW o AS (PARTITION BY dim ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), e AS (SELECT t, bool_and(flat) AS flat FROM f GROUP BY t) SELECT t, bool_or(flat) OVER (ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS idle FROM e",
+    "idle_mask": f"WITH {OW}, f AS (SELECT dim, t, CASE WHEN count(*) OVER o = 7 THEN round(var_pop(v) OVER o, 9) < (SELECT quantile_cont(s, 0.6) FROM (SELECT round(var_pop(v) OVER o2, 9) AS s FROM sig WINDOW o2 AS (PARTITION BY dim ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))) ELSE false END AS flat FROM sig WINDOW o AS (PARTITION BY dim ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), e AS (SELECT t, bool_and(flat) AS flat FROM f GROUP BY t) SELECT t, bool_or(flat) OVER (ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS idle FROM e",
     "start_mask": f"WITH {OW}, idle AS (SELECT t, t % 5 = 0 AS idle FROM (SELECT DISTINCT t FROM sig)), m AS (SELECT dim, avg(v) AS m FROM sig JOIN idle USING (t) WHERE idle GROUP BY dim), d AS (SELECT t, idle, round(sum((v - m) ** 2), 9) AS d FROM sig JOIN idle USING (t) JOIN m USING (dim) GROUP BY t, idle) SELECT t, NOT idle AND d <= (SELECT quantile_cont(d, 0.1) FROM d WHERE NOT idle) AS start FROM d",
     "dist_znorm": top_pairs("znorm", 24, False),
     "dist_unit": top_pairs("unit", 24, False),

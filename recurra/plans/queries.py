@@ -90,7 +90,7 @@ def dimension_subset(spark, d):
 def idle_mask(spark, d):
     s = sg.ord_week(spark, d)
     o = Window.partitionBy("dim").orderBy("t").rowsBetween(-3, 3)
-    cut = s.select(F.var_pop("v").over(o).alias("s")).agg(F.percentile("s", F.lit(0.6))).first()[0]
+    cut = s.select(F.round(F.var_pop("v").over(o), 9).alias("s")).agg(F.percentile("s", F.lit(0.6))).first()[0]
     return sg.idle_mask(s, 3, cut if cut is not None else 0.0)
 
 

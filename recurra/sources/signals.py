@@ -73,7 +73,7 @@ def take_dims(sig: DataFrame, dims: list[int]) -> DataFrame:
 def idle_mask(sig: DataFrame, half: int, threshold: float) -> DataFrame:
     """(t, idle): idle where some centred window of 2 * half + 1 samples around t's neighbourhood has variance below the threshold in every dim."""
     centred = Window.partitionBy("dim").orderBy("t").rowsBetween(-half, half)
-    flat = sig.select("dim", "t", F.when(F.count("v").over(centred) == 2 * half + 1, F.var_pop("v").over(centred) < threshold).otherwise(False).alias("flat"))
+    flat = sig.select("dim", "t", F.when(F.count("v").over(centred) == 2 * half + 1, F.round(F.var_pop("v").over(centred), 9) < threshold).otherwise(False).alias("flat"))
     every = flat.groupBy("t").agg(F.bool_and("flat").alias("flat"))
     around = Window.orderBy("t").rowsBetween(-half, half)
     return every.select("t", F.max("flat").over(around).alias("idle"))
