@@ -132,3 +132,25 @@ def filter_quality(docs: DataFrame, text_col: str = "text", limits: dict[int, fl
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_measures(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _share(n: int) -> str:
+    return f"""g{n} AS (SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w)),
+h{n} AS (SELECT DISTINCT doc_id, i + unnest(range({n})) AS p FROM (SELECT doc_id, i FROM g{n} QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1)),
+c{n} AS (SELECT doc_id, count(*) AS k, sum(length(w[p])) AS c FROM h{n} JOIN w USING (doc_id) GROUP BY doc_id)"""
+
+
+SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+{", ".join(_share(n) for n in (5, 8, 13))},
+ln AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id, l ORDER BY k) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS k FROM w) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+dl AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(l, '[\\x20\\x09-\\x0D]', '', 'g'))) AS c FROM ln WHERE r > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(c5.k, 0) AS n_repeat_words,
+  coalesce(dl.c, 0) AS lc, coalesce(c5.c, 0) AS a, coalesce(c8.c, 0) AS b, coalesce(c13.c, 0) AS c
+  FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN c8 USING (doc_id) LEFT JOIN c13 USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lc / greatest(word_chars, 1) <= {LINE_LIMIT} AND a / greatest(word_chars, 1) <= {LIMITS[5]} AND b / greatest(word_chars, 1) <= {LIMITS[8]} AND c / greatest(word_chars, 1) <= {LIMITS[13]} AS kept,
+  CAST(lc AS DOUBLE) / greatest(word_chars, 1) AS dup_line_share, CAST(a AS DOUBLE) / greatest(word_chars, 1) AS dup_5gram_share, CAST(b AS DOUBLE) / greatest(word_chars, 1) AS dup_8gram_share, CAST(c AS DOUBLE) / greatest(word_chars, 1) AS dup_13gram_share
+FROM m
+"""

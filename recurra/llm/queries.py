@@ -30,4 +30,6 @@ SQL: dict[str, str] = {
     "op1_warc_revisits": op1.SQL,
     "op2_chat_formatting": op2.SQL,
     "op4_benchmark_decontamination": op4.SQL,
+    "op5_quality_rules": op5.SQL,
+    "op7_minhash_near_dedup": op7.SQL,
 }
