@@ -1,4 +1,4 @@
-"""Sliding-window statistics as Column expressions: one window pass per (dim) gives every statistic asked for."""
+"""Sliding-window statistics as Column expressions: one window pass per (dim, chunk of time) gives every statistic asked for."""
 
 from __future__ import annotations
 
@@ -9,8 +9,21 @@ from pyspark.sql import functions as F
 CONSTANT, ETA = 1e-7, 1e-9
 
 
+#: Samples of a chunk: a long series is dealt to tasks in chunks that overlap by what the windows reach beyond.
+CHUNK = 1 << 16
+
+
+def chunked(sig: DataFrame, before: int, after: int, size: int | None = None) -> DataFrame:
+    """sig with `chunk`: every row in the chunk of its t, and a copy in each neighbour whose windows reach it (`before` samples back, `after` ahead). Rows with t // size <> chunk are such copies."""
+    size = max(size or CHUNK, 2 * (before + after) + 1)
+    own = F.floor(F.col("t") / size)
+    place = F.col("t") - own * size
+    copies = F.array_compact(F.array(own, F.when(place < after, own - 1), F.when(place >= size - before, own + 1)))
+    return sig.select("*", own.alias("own"), F.explode(copies).alias("chunk"))
+
+
 def frame(w: int, *keys: str):
-    return Window.partitionBy(*(keys or ("dim",))).orderBy("t").rowsBetween(0, w - 1)
+    return Window.partitionBy(*(keys or ("dim",)), "chunk").orderBy("t").rowsBetween(0, w - 1)
 
 
 def statistics(w: int, *keys: str) -> dict[str, Column]:
@@ -37,7 +50,7 @@ def windows(sig: DataFrame, w: int, *names: str) -> DataFrame:
     if w < 3:
         raise ValueError("windows have 3 samples at least")
     made = statistics(w)
-    return sig.select("dim", F.col("t").alias("i"), *(made[n].alias(n) for n in names), F.count("*").over(frame(w)).alias("n")).where(F.col("n") == w).drop("n")
+    return chunked(sig, 0, w - 1).select("own", "chunk", "dim", F.col("t").alias("i"), *(made[n].alias(n) for n in names), F.count("*").over(frame(w)).alias("n")).where((F.col("n") == w) & (F.col("own") == F.col("chunk"))).drop("n", "own", "chunk")
 
 
 def z_norm(x: Column, mean: Column, std: Column) -> Column:

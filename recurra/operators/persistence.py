@@ -114,17 +114,26 @@ def otsu_cut(df: DataFrame, value: str, bins: int = BINS) -> DataFrame:
     return h.select("bin", "edge", F.round(var, 9).alias("var")).agg(F.max_by("edge", F.when(F.col("var").isNotNull(), F.struct("var", (-F.col("bin")).alias("b")))).alias("cut"))
 
 
-def gap_cut(df: DataFrame, gap: str, jump: int = 2) -> DataFrame:
-    """(cut): the gaps in descending order; the `jump`-th time the largest drop right of the one before; the middle of that drop. Null with too few gaps.
+def falling(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """(g, next): every value with the next smaller or equal one in descending order. Values are dealt out by approximate quantiles; a part's last value finds its next among the parts' maxima."""
+    g = df.select(F.col(value).alias("g"))
+    edges = sorted(set(g.approxQuantile("g", [k / parts for k in range(1, parts)], 0.005)))
+    part = F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e > F.col("g"))) if edges else F.lit(0)
+    g = g.select("g", part.alias("part"))
+    tops = g.groupBy("part").agg(F.max("g").alias("top"))
+    after = tops.select("part", F.lead("top").over(Window.orderBy("part")).alias("after"))  # a row a part
+    down = Window.partitionBy("part").orderBy(F.desc("g"))
+    return g.join(F.broadcast(after), "part").select("g", F.coalesce(F.lead("g").over(down), "after").alias("next")).where("next is not null")
 
-    The drops are scanned once: a drop is a record if no drop right of it is larger; records are the successive maxima.
-    """
-    down = Window.orderBy(F.desc("g"))
-    right = Window.orderBy("k").rowsBetween(1, Window.unboundedFollowing)
-    g = df.select(F.col(gap).alias("g")).where("g > 0").select("g", F.row_number().over(down).alias("k"), F.lead("g").over(down).alias("next")).where("next is not null")
-    records = g.withColumn("drop", F.col("g") - F.col("next")).withColumn("after", F.max("drop").over(right)).where("after is null or drop >= after")
-    first = records.withColumn("turn", F.row_number().over(Window.orderBy("k"))).where(F.col("turn") == jump)
-    return first.agg(F.first((F.col("g") + F.col("next")) / 2).alias("cut"))
+
+def gap_cut(df: DataFrame, gap: str, jump: int = 2) -> DataFrame:
+    """(cut): the gaps in descending order; the `jump`-th time the largest drop right of the one before, of equal drops the first; the middle of that drop. Null with too few gaps."""
+    steps = falling(df.where(F.col(gap) > 0), gap)
+    found = None
+    for _ in range(jump):
+        right = steps if found is None else steps.join(F.broadcast(found)).where("g <= low").drop("low", "high")  # one row
+        found = right.agg(F.max_by(F.struct("g", "next"), F.struct(F.col("g") - F.col("next"), "g")).alias("b")).select(F.col("b.g").alias("high"), F.col("b.next").alias("low"))
+    return found.select(((F.col("high") + F.col("low")) / 2).alias("cut"))
 
 
 def squashed(df: DataFrame, *columns: str, alpha: float = 10.0, beta: float = 0.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recurra.functions.windows import chunked
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,11 +74,12 @@ def take_dims(sig: DataFrame, dims: list[int]) -> DataFrame:
 
 def idle_mask(sig: DataFrame, half: int, threshold: float) -> DataFrame:
     """(t, idle): idle where some centred window of 2 * half + 1 samples around t's neighbourhood has variance below the threshold in every dim."""
-    centred = Window.partitionBy("dim").orderBy("t").rowsBetween(-half, half)
-    flat = sig.select("dim", "t", F.when(F.count("v").over(centred) == 2 * half + 1, F.round(F.var_pop("v").over(centred), 9) < threshold).otherwise(False).alias("flat"))
+    centred = Window.partitionBy("dim", "chunk").orderBy("t").rowsBetween(-half, half)
+    var = F.when(F.count("v").over(centred) == 2 * half + 1, F.round(F.var_pop("v").over(centred), 9) < threshold).otherwise(False)
+    flat = chunked(sig, half, half).select("own", "chunk", "t", var.alias("flat")).where("own = chunk")
     every = flat.groupBy("t").agg(F.bool_and("flat").alias("flat"))
-    around = Window.orderBy("t").rowsBetween(-half, half)
-    return every.select("t", F.max("flat").over(around).alias("idle"))
+    around = Window.partitionBy("chunk").orderBy("t").rowsBetween(-half, half)
+    return chunked(every, half, half).select("own", "chunk", "t", F.max("flat").over(around).alias("idle")).where("own = chunk").select("t", "idle")
 
 
 def start_mask(sig: DataFrame, idle: DataFrame, q: float) -> DataFrame:

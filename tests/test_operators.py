@@ -248,3 +248,23 @@ def test_stream_gives_the_earlier_neighbours(spark, tmp_path):
     assert set(got) == set(range(6, 55))
     for i, (j, v) in got.items():
         assert v == pytest.approx(d[i, : i - 5].min()) and d[i, j] == pytest.approx(v)
+
+
+def test_chunks_don_t_change_windows(spark, monkeypatch):
+    from recurra.functions import windows
+    from recurra.sources import signals as sg
+
+    sig = long_form(spark, np.random.default_rng(11).normal(size=(2, 90)))
+    idle = sorted(map(tuple, sg.idle_mask(sig, 2, 0.6).collect()))
+    whole = sorted(map(tuple, windows.windows(sig, 7, "mean", "low", "x").collect()))
+    assert len(whole) == 2 * 84 and len(idle) == 90
+    monkeypatch.setattr(windows, "CHUNK", 20)
+    assert sorted(map(tuple, windows.windows(sig, 7, "mean", "low", "x").collect())) == whole
+    assert sorted(map(tuple, sg.idle_mask(sig, 2, 0.6).collect())) == idle
+
+
+def test_falling_over_parts(spark):
+    x = [float(v) for v in np.random.default_rng(12).integers(0, 60, 200)]
+    got = sorted(map(tuple, ps.falling(spark.createDataFrame([(v,) for v in x], "v double"), "v").collect()))
+    x.sort(reverse=True)
+    assert got == sorted(zip(x, x[1:]))
