@@ -257,6 +257,8 @@ def _cover(data: pa.Array, phrases: list) -> Iterator[tuple[int, int, np.ndarray
             names = p.value.names
             for d, k in zip(doc.tolist(), item.tolist()):
                 items[d].append(names[k])
+            if len(phrases) > 2:  # a worker holds one block of items at a time
+                p.__dict__.pop("_value", None)
         yield i, j, off, w, hit, items
 
 

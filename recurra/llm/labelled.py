@@ -22,14 +22,14 @@ def held_out(id_col: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[pa.Array, np.ndarray]:
-    """Texts and 0/1 labels of at most max_rows labelled rows that aren't held out; null labels don't count.
+    """Texts and 0/1 labels of at most max_rows labelled rows that aren't held out; null labels don't count, rows that share an id count once (the least text and label).
 
     Which rows: those of smallest hash of the id, so a sample of the whole table that is the same on every run.
     """
     own = labels.select(labels[id_col].alias("i"), labels[label].cast("int").alias("y")).where("i is not null and y in (0, 1)").where(~held_out(F.col("i")))
     chosen = own.orderBy(F.xxhash64("i"), "i", "y").limit(max_rows)
     rows = docs.select(docs[id_col].alias("i"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
-    got = rows.join(F.broadcast(chosen), "i").select("i", "y", "t")  # at most max_rows rows of two numbers
+    got = rows.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("y").alias("y"), F.min("t").alias("t"))  # at most max_rows rows of two numbers
     room = F.sum(F.octet_length("t")).over(Window.orderBy(F.xxhash64("i"), "i", "y", "t"))
     table = got.withColumn("room", room).where(F.col("room") <= max_bytes).orderBy(F.xxhash64("i"), "i", "y", "t").select("t", "y").toArrow()
     return table.column("t").combine_chunks(), table.column("y").to_numpy().astype(np.int64)
