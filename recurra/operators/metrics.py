@@ -148,3 +148,15 @@ def adjusted_mutual_information(table: np.ndarray) -> float:
                 expected += k / n * math.log(n * k / (x * y)) * math.exp(p)
     top = (entropy(a) + entropy(b)) / 2 - expected
     return (mi - expected) / top if abs(top) > 1e-12 else 1.0
+
+
+def tied(matrix: np.ndarray) -> bool:
+    """Whether another column could take a row's place on the assigned diagonal at no loss (more columns than rows)."""
+    pairs = assignment(matrix)
+    return matrix.shape[0] < matrix.shape[1] and any((matrix[i] == matrix[i, j]).sum() > 1 for i, j in pairs)
+
+
+def break_ties(matrix: np.ndarray) -> list[tuple[int, int]]:
+    """The assignment of greatest diagonal; of equal ones that with the fewest occurrences of other rows in the assigned columns."""
+    others = matrix.sum(0) - matrix
+    return assignment(matrix * (others.sum() + 1.0) - others)

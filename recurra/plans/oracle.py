@@ -150,3 +150,26 @@ o AS (SELECT a.label AS gt, a.id AS occ, b.label AS disc, (least(a.e, b.e) - gre
     "start_end_masks": f"WITH {EMB}, o AS (SELECT label AS motif, vec_id AS s, vec_id + 3 AS e FROM embeddings) SELECT DISTINCT CAST(motif AS INTEGER) AS motif, unnest(range(s, e)) AS t FROM o",
     "profile_from_neighbours": f"WITH {KNN1} SELECT CAST(n.dim AS INTEGER) AS dim, n.i, n.j, round(sqrt({dist('znorm', 24)}), 4) AS d FROM nn n JOIN win a ON n.dim = a.dim AND n.i = a.i JOIN win b ON n.dim = b.dim AND n.j = b.i",
 }
+
+
+def _profile(w: int) -> str:
+    return f"sqrt(CASE WHEN a.sd < 1e-7 AND b.sd < 1e-7 THEN 0 WHEN a.sd < 1e-7 OR b.sd < 1e-7 THEN {w} ELSE greatest(0, {2 * w} * (1 - (list_dot_product(a.x, b.x) - {w} * a.mean * b.mean) / ({w} * a.sd * b.sd))) END)"
+
+
+ORACLE |= {
+    "signal_checks": f"WITH {LI} SELECT CAST(dim AS INTEGER) AS dim, count(*) AS n, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_infinite, min(v) AS low, max(v) AS high, max(t) - min(t) + 1 = count(DISTINCT t) AS dense FROM sig GROUP BY dim",
+    "distances_too_small": f"WITH {KNN1} SELECT avg(d) < 0.5 AS too_small FROM nn",
+    "dist_single": f"WITH {EMB}, {win(16)} SELECT CAST(b.dim AS INTEGER) AS dim, round({_profile(16)}, 4) AS d FROM win a JOIN win b ON a.dim = b.dim AND a.i = 100 AND b.i = 40",
+    "sliding_dot": f"WITH {EMB}, {win(16)} SELECT CAST(b.dim AS INTEGER) AS dim, b.i, round(list_dot_product(a.x, b.x), 6) AS qt FROM win a JOIN win b ON a.dim = b.dim AND a.i = 5",
+    "distance_matrix": f"WITH {OW}, {win(8)} SELECT a.i, b.i AS j, round(list_distance(a.x, b.x), 6) AS d FROM win a JOIN win b ON a.dim = 0 AND b.dim = 4 AND b.i % 10 = 0",
+    "replace_distance": f"WITH {EMB}, {win(16)}, p AS (SELECT b.dim, b.i, round({_profile(16)}, 4) AS d FROM win a JOIN win b ON a.dim = b.dim AND a.i = 100) SELECT CAST(dim AS INTEGER) AS dim, i, CASE WHEN d = 0 THEN -1 ELSE d END AS d FROM p",
+    "pair_neighbours": f"""WITH {EMB}, {win(16)}, p AS (SELECT b.i, avg({_profile(16)}) FILTER (a.i = 100) AS a, avg({_profile(16)}) FILTER (a.i = 300) AS b FROM win a JOIN win b ON a.dim = b.dim AND a.i IN (100, 300) GROUP BY b.i),
+n AS (SELECT i, round(least(a, b), 4) AS d FROM p WHERE round(least(a, b), 4) < (SELECT a * 0.9 FROM p WHERE i = 300)),
+g AS (SELECT list_reduce(list_sort(list({{'d': d, 'i': i}})), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.i - y.i) <= 15)) = 0 THEN list_append(acc, y) ELSE acc END, CAST([] AS STRUCT(d DOUBLE, i BIGINT)[])) AS k FROM n) SELECT unnest(k).i AS i, unnest(k).d AS d FROM g""",
+    "subspace_include": f"WITH {OW}, {win(8)}, p AS (SELECT b.dim, round({_profile(8)}, 6) AS d FROM win a JOIN win b ON a.dim = b.dim AND a.i = 10 AND b.i = 100) SELECT CAST(row_number() OVER (ORDER BY CASE dim WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END, CASE WHEN dim NOT IN (1, 3) THEN d END, dim) - 1 AS INTEGER) AS k, CAST(dim AS INTEGER) AS dim FROM p",
+    "total_coverage": f"WITH RECURSIVE {CAND}, {REACH} SELECT CAST(sum(coverage) AS BIGINT) AS total FROM (SELECT coverage FROM cover ORDER BY coverage DESC, cand LIMIT 3)",
+    "relabelled": f"WITH {CAND} SELECT cand, dim || '/' || row_number() OVER (PARTITION BY dim ORDER BY n DESC, cand) AS label FROM cn",
+    "run_islands": f"WITH {EV} SELECT min(t) AS start, max(t) + 1 AS \"end\" FROM (SELECT t, t - row_number() OVER (ORDER BY t) AS g FROM sig WHERE dim = 0 AND v > 0) GROUP BY g",
+    "linkage_rates": """WITH e AS (SELECT vec_id AS m, CAST(floor(CAST(unnest(embedding[1:3]) AS DOUBLE) * 10) AS BIGINT) AS s FROM embeddings WHERE vec_id < 200),
+r AS (SELECT a.m // 2 AS k, greatest(0, least(a.s, b.s) + 20 - greatest(a.s, b.s)) / (greatest(a.s, b.s) + 20 - least(a.s, b.s)) AS r FROM e a JOIN e b ON a.m % 2 = 0 AND b.m = a.m + 1) SELECT k, round(avg(r), 6) AS average, round(min(r), 6) AS complete FROM r GROUP BY k""",
+}

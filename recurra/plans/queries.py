@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurra.functions import kernels, windows
-from recurra.operators import extract, graph, mdl, metrics, neighbours
+from recurra.operators import checks, extract, graph, mdl, metrics, neighbours, warped
 from recurra.operators import persistence as ps
 from recurra.plans import methods, synthetic
 from recurra.sources import signals as sg
@@ -521,3 +521,102 @@ def subspace_merge(spark, d):
 @query
 def synthetic_signal(spark, d):
     return synthetic.signals(spark, 4, seed=7)
+
+
+# ---- checks and small operators
+
+
+@query
+def signal_checks(spark, d):
+    return checks.signal_checks(sg.li_day(spark, d))
+
+
+@query
+def distances_too_small(spark, d):
+    return checks.too_small(_nn(spark, d), 0.5)
+
+
+@query
+def dist_single(spark, d):
+    """z-normed distance of one pair of windows per dim."""
+    return distance_profile(sg.emb(spark, d), 16, 100).where("i = 40").select("dim", _r("d", 4))
+
+
+@query
+def sliding_dot(spark, d):
+    win = windows.windows(sg.emb(spark, d), 16, "x")
+    q = win.where("i = 5").select("dim", F.col("x").alias("qx"))
+    return win.join(F.broadcast(q), "dim").select("dim", "i", F.round(F.aggregate(F.zip_with("x", "qx", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e), 6).alias("qt"))  # one row a dim
+
+
+@query
+def distance_matrix(spark, d):
+    """Distances of every window of one signal's first dim to every tenth window of the last (p-norm, p = 2)."""
+    win = windows.windows(sg.ord_week(spark, d), 8, "x")
+    a, b = win.where("dim = 0").select("i", "x"), win.where("dim = 4 and i % 10 = 0").select(F.col("i").alias("j"), F.col("x").alias("y"))
+    s = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, e: acc + e)
+    return a.join(F.broadcast(b)).select("i", "j", F.round(F.sqrt(s), 6).alias("d"))  # a stated query set: every tenth window
+
+
+@query
+def replace_distance(spark, d):
+    return distance_profile(sg.emb(spark, d), 16, 100).select("dim", "i", F.round(windows.replace_distance(F.round("d", 4), 0.0, -1.0), 4).alias("d"))
+
+
+@query
+def pair_neighbours(spark, d):
+    """Windows nearer to one of two references than 1.2 times their mean distance, greedily a window apart."""
+    sig = sg.emb(spark, d)
+    p = distance_profile(sig, 16, 100).groupBy("i").agg(F.avg("d").alias("a")).join(distance_profile(sig, 16, 300).groupBy("i").agg(F.avg("d").alias("b")), "i")
+    cut = p.where("i = 300").select((F.col("a") * 0.9).alias("cut"))
+    near = p.select("i", F.round(F.least("a", "b"), 4).alias("d")).join(F.broadcast(cut)).where("d < cut").drop("cut")  # one row
+    return greedy(near, 15)
+
+
+@query
+def subspace_include(spark, d):
+    """Dims of a pair in order, two of them included first."""
+    return checks.include_order(distance_profile(sg.ord_week(spark, d), 8, 10).where("i = 100").select("dim", F.round("d", 6).alias("d")), [3, 1])
+
+
+@query
+def total_coverage(spark, d):
+    c, _, m = _scc(spark, d)
+    return graph.total_coverage(graph.coverage(graph.scc_merge(c, m)), 3)
+
+
+@query
+def relabelled(spark, d):
+    return checks.relabel(example_candidates(spark, d))
+
+
+@query
+def run_islands(spark, d):
+    return checks.islands(sg.ev_signal(spark, d).where("dim = 0").select("t", (F.col("v") > 0).alias("on")))
+
+
+@query
+def linkage_rates(spark, d):
+    """Mean and least overlap rate over all pairs of dims of two motifs' occurrences."""
+    e = sg.table(spark, d, "embeddings").where("vec_id < 200")
+    at = e.select(F.col("vec_id").alias("m"), F.posexplode(F.slice("embedding", 1, 3)).alias("dim", "v")).select("m", "dim", F.floor(F.col("v") * 10).alias("start"))
+    a, b = at.where("m % 2 = 0").select((F.col("m") / 2).cast("long").alias("k"), F.col("start").alias("s")), at.where("m % 2 = 1").select(F.floor(F.col("m") / 2).alias("k"), F.col("start").alias("t"))
+    rate = F.greatest(F.lit(0), F.least(F.col("s"), F.col("t")) + 20 - F.greatest("s", "t")) / (F.greatest(F.col("s"), F.col("t")) + 20 - F.least("s", "t"))
+    return a.join(b, "k").groupBy("k").agg(F.round(F.avg(rate), 6).alias("average"), F.round(F.min(rate), 6).alias("complete"))
+
+
+@query
+def set_spans(spark, d):
+    """Start and end over all dims of each occurrence of generated subspace motifs, as one interval."""
+    rows = [(m, k, dim, a, z) for m, occ in enumerate(synthetic.make_subspace(3)[1]) for k, o in enumerate(occ) for dim, (a, z) in o.items()]
+    return spark.createDataFrame(rows, "motif int, occ int, dim int, start long, end long").groupBy("motif", "occ").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+@query
+def warped_motifs(spark, d):
+    return warped.warped_motifs(sg.ord_week(spark, d).where("t < 160"), 8, 16)
+
+
+@query
+def synthetic_truth(spark, d):
+    return synthetic.truth(spark, 4, seed=7)
