@@ -49,11 +49,14 @@ def squared(s: Series, a: int, z: int, metric: str, other: Series | None = None)
 
 def nearest(d: np.ndarray, first: int, zone: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, rank, neighbour, distance): greedily the k nearest windows of each row that lie `zone` or more apart from it and from one another; ties to the smaller place. d is overwritten."""
-    n, m = d.shape
-    rows = np.arange(n)
-    place = np.arange(m)
-    d = np.where(np.isnan(d), np.inf, d)
-    d[np.abs(place - (first + rows)[:, None]) < zone] = np.inf
+    rows = np.arange(len(d))
+    d[np.isnan(d)] = np.inf
+
+    def leave_out(at: np.ndarray) -> None:
+        for r, p in enumerate(at.tolist()):
+            d[r, max(0, p - zone + 1) : p + zone] = np.inf
+
+    leave_out(first + rows)
     out = []
     for rank in range(k):
         j = d.argmin(1)
@@ -61,5 +64,5 @@ def nearest(d: np.ndarray, first: int, zone: int, k: int) -> tuple[np.ndarray, n
         ok = np.isfinite(best)
         out.append((first + rows[ok], np.full(ok.sum(), rank), j[ok], best[ok]))
         if rank + 1 < k:
-            d[np.abs(place - j[:, None]) < zone] = np.inf
+            leave_out(j)
     return tuple(np.concatenate(c) for c in zip(*out))

@@ -62,7 +62,9 @@ def closest_pairs(sig: DataFrame, w: int, metric: str, top: int, multi: bool = F
     def best(d: np.ndarray, a: int, dim: int) -> tuple[np.ndarray, ...]:
         d = np.round(np.sqrt(d), digits)
         d[np.arange(d.shape[1]) - (a + np.arange(len(d)))[:, None] < w] = np.nan
-        i, j = np.nonzero(~np.isnan(d))
+        kth = np.sort(np.partition(d.ravel(), min(top, d.size) - 1)[:top])  # NaN come last
+        kth = kth[~np.isnan(kth)]
+        i, j = np.nonzero(d <= kth[-1]) if len(kth) else (np.zeros(0, int), np.zeros(0, int))
         order = np.lexsort((j, i, d[i, j]))[:top]
         return np.full(len(order), dim, np.int32), i[order] + a, j[order], d[i[order], j[order]]
 

@@ -38,7 +38,7 @@ def paths(x: np.ndarray, shortest: int, rho: float, n_paths: int = 200) -> list[
         for j in range(i + shortest, n):
             inherited = [best[i + 2 - a, j + 2 - b] for a, b in STEPS]
             k = int(np.argmax(inherited))
-            v = s[i, j] - cut + inherited[k] if s[i, j] >= cut else 0.5 * inherited[k] - (cut - s[i, j])
+            v = s[i, j] + inherited[k] if s[i, j] >= cut else 0.5 * inherited[k] - 2 * cut
             if v > 0:
                 best[i + 2, j + 2], came[i + 2, j + 2] = v, k if inherited[k] > 0 else -1
     out = []
@@ -84,7 +84,7 @@ def motif_sets(x: np.ndarray, shortest: int, longest: int, rho: float = 0.8, n_s
                     continue
                 kept = [(a, z)]
                 for b, y in sorted(images(found, a, z)):
-                    if y - b >= shortest and not taken[b:y].any() and all(y <= p or b >= q for p, q in kept):
+                    if shortest <= y - b <= longest and not taken[b:y].any() and all(y <= p or b >= q for p, q in kept):
                         kept.append((b, y))
                 if len(kept) > 1:
                     score, cover = (len(kept) - 1) / len(kept), sum(q - p for p, q in kept) / len(x)
