@@ -26,7 +26,8 @@ def closure(edges: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="recurra-"))
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="recurra-"))  # the session's folder; a local one only where none is set, as in tests
     reach, n = edges.select("src", "dst").distinct().checkpoint(), -1
     while (m := reach.count()) != n:
         n = m
