@@ -342,7 +342,9 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Field:
     """From the written examples and the texts of smallest hash, at most `rows`, that hold a digit or at sign."""
     t = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.octet_length("t") < 20_000))
-    texts = [r[0] for r in t.orderBy(F.xxhash64("t"), "t").limit(rows).collect()]
+    t = t.withColumn("h", F.xxhash64("t"))
+    last = t.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # hashes alone are sorted; then only the chosen texts move
+    texts = [] if last is None else [r[0] for r in t.where(F.col("h") <= last).orderBy("h", "t").limit(rows).select("t").collect()]
     return train_field([(x, ruled(x)) for x in texts] + 10 * written())
 
 
