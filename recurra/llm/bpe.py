@@ -28,8 +28,8 @@ from recurra.llm.scratch import small_batches
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
-#: Cells of one matrix, and how many pieces of at most LONG bytes a worker remembers (about 100 MB).
-CELLS, REMEMBERED = 1 << 20, 300_000
+#: Cells of one matrix, and how many pieces of at most LONG bytes a worker remembers (about 70 MB).
+CELLS, REMEMBERED = 1 << 19, 200_000
 BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
 
 

@@ -29,7 +29,7 @@ from recurra.llm.scratch import small_batches
 
 SAMPLE = 16
 ITEM_BYTES = 8 << 20
-SHARD = 4 << 20
+SHARD = 2 << 20
 
 
 class WaveletTree:
