@@ -187,7 +187,7 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
             word, bit = _bits(b.column(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit.astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
-    found = ids.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most BLOOM_BITS / 64 rows
+    found = ids.distinct().mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most BLOOM_BITS / 64 rows
     table = np.zeros(BLOOM_BITS // 64, np.uint64)
     table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
