@@ -6,6 +6,13 @@ broadcast; its size is bounded by MAX_WORDS words of templates, which is checked
 index holds are hits; hits of one template on near diagonals are a candidate, and a local alignment of the template
 with the text around it, within a band about those diagonals, reports matched words, coverage and span.
 
+Winnowing may pass over copies with changed words, so pairs of words are looked up too, all of them: an alignment of
+two words or more that reaches the coverage has two neighbouring words matched. Each pair's diagonal whose band holds
+enough of the template's words is a candidate. No copy within a band of one of its pairs is missed.
+
+Of overlapping matches of one template the best counts; an inexact match gives way to another template's of greater
+score over most of it, so that "MIT License" isn't reported as the BSD line with a changed word.
+
 Every text is scanned by itself, whole: no shuffle. A repeated license makes as many candidates as it has occurrences.
 
 Defined results: null and wordless texts match nothing; a template of fewer than K words has no fingerprint and is
@@ -14,6 +21,8 @@ refused; of equal scores the alignment that ends first counts; repeated rows are
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,40 +37,95 @@ BAND = 8
 MIN_COVERAGE = 0.7
 MAX_WORDS = 2_000_000
 
-#: The notices of widespread licenses, and the short lines that declare one.
+#: The whole notices of widespread licenses, and the short lines that declare one.
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_GNU = (
+    "This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation{either} version {n} of the License, or "
+    "(at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+    "See the GNU {name}General Public License for more details. You should have received a copy of the GNU {name}General Public License along with this {what}{end}"
+)
+_FSF = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+_GNU3 = {"colon": ":", "either": ", either", "end": ". If not, see https://www.gnu.org/licenses/."}
+_CC = "Licensed under the Creative Commons {} International License."
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
+    "gpl-2.0-line": "Licensed under the GNU General Public License, version 2.",
     "gpl-3.0-line": "Licensed under the GNU General Public License, version 3.",
+    "lgpl-2.1-line": "Licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-line": "Licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-line": "Licensed under the GNU Affero General Public License, version 3.",
     "bsd-line": "Released under the BSD License.",
-    "cc-by-4.0-line": "Licensed under the Creative Commons Attribution 4.0 International License.",
+    "isc-line": "Released under the ISC License.",
+    "bsl-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "cc0-1.0-line": "Licensed under the Creative Commons CC0 1.0 Universal Public Domain Dedication.",
+    "cc-by-4.0-line": _CC.format("Attribution 4.0"),
+    "cc-by-sa-4.0-line": _CC.format("Attribution-ShareAlike 4.0"),
+    "cc-by-nc-4.0-line": _CC.format("Attribution-NonCommercial 4.0"),
+    "cc-by-nd-4.0-line": _CC.format("Attribution-NoDerivatives 4.0"),
+    "cc-by-nc-sa-4.0-line": _CC.format("Attribution-NonCommercial-ShareAlike 4.0"),
+    "cc-by-nc-nd-4.0-line": _CC.format("Attribution-NonCommercial-NoDerivatives 4.0"),
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nd-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
     "mpl-2.0-line": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
-        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
-    ),
-    "bsd-2-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, "
-        "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
-        "and/or other materials provided with the distribution."
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES "
+        "OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
+    "bsd-2-clause": _BSD + _AS_IS,
+    "bsd-3-clause": _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS,
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."
     ),
-    "gpl-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or "
-        "(at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
-    ),
+    "gpl-2.0": _GNU.format(what="program", name="", n="2", colon=";", either="; either", end=_FSF),
+    "gpl-3.0": _GNU.format(what="program", name="", n="3", **_GNU3),
+    "lgpl-2.1": _GNU.format(what="library", name="Lesser ", n="2.1", colon=";", either="; either", end=_FSF),
+    "lgpl-3.0": _GNU.format(what="program", name="Lesser ", n="3", **_GNU3),
+    "agpl-3.0": _GNU.format(what="program", name="Affero ", n="3", **_GNU3),
     "unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
-        "for any purpose, commercial or non-commercial, and by any means."
+        "for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
+        "For more information, please refer to https://unlicense.org"
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, "
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
 }
 
@@ -108,6 +172,19 @@ class Index:
         self.template, self.place = w.doc[at], at - w.first[w.doc[at]]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        # pairs of neighbouring words, as places in the vocabulary
+        self.vocabulary, own = np.unique(w.hash, return_inverse=True)
+        self.member = np.zeros((len(self.words), len(self.vocabulary)), bool)
+        self.member[w.doc, own] = True
+        self.maybe_word = np.zeros(1 << 20, bool)
+        self.maybe_word[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+        at = np.flatnonzero(w.doc[1:] == w.doc[:-1])
+        pair = own[at] * len(self.vocabulary) + own[at + 1]
+        order = np.argsort(pair, kind="stable")
+        at = at[order]
+        self.pairs, self.pair_first = np.unique(pair[order], return_index=True)
+        self.pair_first = np.append(self.pair_first, len(at))
+        self.pair_template, self.pair_place = w.doc[at], at - w.first[w.doc[at]]
 
     def hits(self, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word of the text, template, word of the template) of every posting of the fingerprints."""
@@ -151,8 +228,77 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return best
 
 
-def scan(data: np.ndarray, off: np.ndarray, index: Index, band: int = BAND) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, template, score, matched words, first byte, end byte) of each candidate's best alignment."""
+def near_of(n: int, band: int) -> int:
+    """Less than a short template's length, so that copies in a row stay apart."""
+    return max(1, min(band, n // 3))
+
+
+def by_pairs(w: tn.Words, index: Index, band: int, min_coverage: float) -> list[tuple[int, int, int]]:
+    """(text, template, diagonal) of shared pairs of words whose band holds min_coverage of the template's words."""
+    at = np.flatnonzero(index.maybe_word[(w.hash >> np.uint64(44)).astype(np.int64)])
+    v = np.minimum(np.searchsorted(index.vocabulary, w.hash[at]), max(len(index.vocabulary) - 1, 0))
+    ok = index.vocabulary[v] == w.hash[at] if len(index.vocabulary) else np.zeros(len(at), bool)
+    at, v = at[ok], v[ok]
+    if len(at) < 2 or not len(index.pairs):
+        return []
+    i = np.flatnonzero((at[1:] == at[:-1] + 1) & (w.doc[at[1:]] == w.doc[at[:-1]]))
+    pair = v[i] * len(index.vocabulary) + v[i + 1]
+    k = np.minimum(np.searchsorted(index.pairs, pair), len(index.pairs) - 1)
+    ok = index.pairs[k] == pair
+    i, k = i[ok], k[ok]
+    n = index.pair_first[k + 1] - index.pair_first[k]
+    post = np.repeat(index.pair_first[k], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    word, template = np.repeat(at[i], n), index.pair_template[post]
+    diagonal, doc = word - index.pair_place[post], w.doc[word]
+    out = []
+    for t in np.unique(template):
+        own = index.words[t]
+        near, least = near_of(len(own), band), min_coverage * len(own)
+        mine = template == t
+        d, of = np.unique(np.stack([diagonal[mine], doc[mine]]), axis=1)
+        # first by how many words of the band's text are any of the template's
+        low, high = np.maximum(d - near, w.first[of]), np.minimum(d + near + len(own), w.first[of + 1])
+        held = np.concatenate([[0], np.cumsum(index.member[t][v])])
+        on = np.flatnonzero(held[np.searchsorted(at, high)] - held[np.searchsorted(at, low)] >= least)
+        shift = np.arange(-near, near + 1)[:, None] + np.arange(len(own))
+        for a, b in zip(d[on].tolist(), of[on].tolist()):
+            place = a + shift
+            inside = (place >= w.first[b]) & (place < w.first[b + 1])
+            if (((w.hash[np.where(inside, place, 0)] == own) & inside).any(0)).sum() >= least:
+                out.append((b, int(t), a))
+    return out
+
+
+def apart(found: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Of overlapping matches of one template in one text the one of greatest score, then the first."""
+    out: list[tuple[int, int, int, int, int, int]] = []
+    kept: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x in sorted(set(found), key=lambda x: (x[:2], -x[2], x[4], x[5])):
+        spans = kept.setdefault(x[:2], [])
+        k = bisect.bisect(spans, x[4:])
+        if (k == 0 or spans[k - 1][1] <= x[4]) and (k == len(spans) or spans[k][0] >= x[5]):
+            spans.insert(k, x[4:])
+            out.append(x)
+    return sorted(out, key=lambda x: (x[:2], x[4]))
+
+
+def without_rivals(found: list[tuple[int, int, int, int, int, int]], index: Index) -> list[tuple[int, int, int, int, int, int]]:
+    """found without inexact matches that another template's match of greater score covers by more than half."""
+    out: list[tuple[int, int, int, int, int, int]] = []
+    for _, group in itertools.groupby(found, key=lambda x: x[0]):
+        own = sorted(group, key=lambda x: x[4])
+        longest = max(x[5] - x[4] for x in own)
+        starts = [x[4] for x in own]
+        for x in own:
+            around = own[bisect.bisect_left(starts, x[4] - longest) : bisect.bisect_left(starts, x[5])]
+            exact = x[2] == len(index.words[x[1]])
+            if exact or not any(y[1] != x[1] and y[2] > x[2] and 2 * (min(x[5], y[5]) - max(x[4], y[4])) > x[5] - x[4] for y in around):
+                out.append(x)
+    return out
+
+
+def scan(data: np.ndarray, off: np.ndarray, index: Index, band: int = BAND, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, template, score, matched words, first byte, end byte) of each candidate's best alignment; pairs make candidates from min_coverage on."""
     w = tn.words(data, off, tn.PUNCTUATION, lower=True)
     word, template, place = index.hits(*winnow(w, index.k, index.width))
     doc, diagonal = w.doc[word], word - place
@@ -161,7 +307,7 @@ def scan(data: np.ndarray, off: np.ndarray, index: Index, band: int = BAND) -> l
     out, i = [], 0
     while i < len(word):
         own, j = index.words[template[i]], i + 1
-        near = max(1, min(band, len(own) // 3))  # less than a short template's length, so that copies in a row stay apart
+        near = near_of(len(own), band)
         while j < len(word) and doc[j] == doc[i] and template[j] == template[i] and diagonal[j] - diagonal[j - 1] <= near:
             j += 1
         a = max(int(w.first[doc[i]]), int(diagonal[i]) - near)
@@ -170,7 +316,12 @@ def scan(data: np.ndarray, off: np.ndarray, index: Index, band: int = BAND) -> l
         if matched:
             out.append((int(doc[i]), int(template[i]), score, matched, int(w.start[a + start]), int(w.end[a + end - 1])))
         i = j
-    return list(dict.fromkeys(out))
+    for b, t, d in by_pairs(w, index, band, min_coverage):
+        own, near = index.words[t], near_of(len(index.words[t]), band)
+        a, z = max(int(w.first[b]), d - near), min(int(w.first[b + 1]), d + near + len(own))
+        score, matched, start, end = align(own, w.hash[a:z], d - near - a, d + near - a)
+        out.append((b, t, score, matched, int(w.start[a + start]), int(w.end[a + end - 1])))
+    return apart(out)
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +334,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, mi
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, off in tn.blocks(b.column(1)):
-                found = [x for x in scan(data, off, shared.value) if x[3] >= min_coverage * len(shared.value.words[x[1]])]
+                found = [x for x in scan(data, off, shared.value, min_coverage=min_coverage) if x[3] >= min_coverage * len(shared.value.words[x[1]])]
+                found = without_rivals(found, shared.value)
                 if not found:
                     continue
                 points = np.concatenate([[0], np.cumsum(tn.code_points(data))])

@@ -243,6 +243,23 @@ def test_license_scan(spark):
         licenses.Index({"short": "two words"})
 
 
+def test_license_lines_with_changed_words_and_whole_notices(spark):
+    """Lines of the tables, a line without a common 3-word gram, pairs of words with one between, ends of notices."""
+    r = random.Random(19)
+    lines = {"Licensed under CC BY-NC 4.0.": {"cc-by-nc-4.0-short"}, "Licensed under CC BY 4.0.": {"cc-by-4.0-short"}, "Released under our MIT License.": {"mit-line"}, "Released under the MIT License.": {"mit-line"}, "This work is licensed under the GNU General Public License, version 3.": {"gpl-3.0-line"}}
+    w = licenses.TEMPLATES["zlib"].split()
+    texts = [f"{prose(r, 30)} {line}\n{prose(r, 30)}" for line in lines] + [" ".join(licenses.TEMPLATES["mit"].split()[:65])]
+    texts += [" ".join(x if k % 4 else "changed" for k, x in enumerate(w)), f"Released under our MIT License. {prose(r, 9)} " * 3]
+    rows = licenses.license_matches(table(spark, texts)).collect()
+    for i, want in enumerate(lines.values()):
+        assert {x["license"] for x in rows if x["doc_id"] == i} == want, texts[i]
+    assert not [x for x in rows if x["doc_id"] == len(lines)]  # a notice's first part isn't the whole of it
+    assert {x["license"] for x in rows if x["doc_id"] == len(lines) + 1} == {"zlib"}
+    assert [x["license"] for x in rows if x["doc_id"] == len(lines) + 2] == ["mit-line"] * 3
+    mit = licenses.license_matches(table(spark, [licenses.TEMPLATES["mit"]])).collect()
+    assert [(x["license"], x["coverage"], x["end"]) for x in mit] == [("mit", 1.0, len(licenses.TEMPLATES["mit"]) - 1)]
+
+
 def classifier_tables(spark, n=400):
     r = random.Random(10)
     texts, rows = [], []
