@@ -210,18 +210,25 @@ def kdim_profile(spark, d):
 
 
 @query
-def subspace_of_pair(spark, d):
+def subspace_of_pair_whole(spark, d):
+    """The dims of every pair of different windows, nearest first."""
+
     def make(x: np.ndarray, a: int) -> dict[str, np.ndarray]:
         order = np.argsort(x, 0, kind="stable")
         ok = ~np.isnan(np.take_along_axis(x, order, 0))
-        i, j = np.arange(x.shape[1])[:, None] + a, np.arange(x.shape[2])
-        ok &= (i % 40 == 0) & (j % 40 == 20)
+        ok &= np.arange(x.shape[1])[:, None] + a != np.arange(x.shape[2])
         k, p, q = np.nonzero(ok)
         return {"k": k, "i": p + a, "j": q, "dim": order[k, p, q].astype(np.int32)}
 
     return _k_dims(spark, d, make, "k long, i long, j long, dim int")
 
 
+@query
+def subspace_of_pair(spark, d):
+    """The rows of subspace_of_pair_whole that the SQL takes: 1 of 1,600 pairs."""
+    return subspace_of_pair_whole(spark, d).where("i % 40 = 0 and j % 40 = 20")
+
+
 @query
 def mdl_bits(spark, d):
     win = windows.windows(sg.ord_week(spark, d), 8, "mean", "std", "x").withColumn("z", windows.z_norm(F.col("x"), F.col("mean"), F.col("std")))
@@ -420,14 +427,24 @@ def gt_best_match(spark, d):
     return metrics.best_matches(o.select("gt", F.col("a").alias("occ"), "disc", "rate"))
 
 
-@query
-def dim_prf(spark, d):
-    s = sg.ev_signal(spark, d)
+def _dim_prf(s: DataFrame) -> DataFrame:
     sets = lambda x: x.groupBy((F.col("t") % 50).alias("motif")).agg(F.collect_set("dim").alias("dims"))
-    out = metrics.dim_prf(sets(s.where("v > 0 and t < 400")), sets(s.where("v > 50 and t >= 400 and t < 500")))
+    out = metrics.dim_prf(sets(s.where("v > 0 and t < 400")), sets(s.where("v > 50 and t >= 400")))
     return out.select("motif", *(_r(c) for c in ("precision", "recall", "f1", "jaccard")))
 
 
+@query
+def dim_prf_whole(spark, d):
+    """Dims of the hours before 400 against those of all later hours."""
+    return _dim_prf(sg.ev_signal(spark, d))
+
+
+@query
+def dim_prf(spark, d):
+    """As dim_prf_whole, up to hour 500, where the SQL ends."""
+    return _dim_prf(sg.ev_signal(spark, d).where("t < 500"))
+
+
 @query
 def start_end_masks(spark, d):
     e = sg.table(spark, d, "embeddings")
@@ -487,8 +504,7 @@ def _found(spark, f: methods.Found) -> DataFrame:
 
 @query
 def coordinated_motifs(spark, d):
-    """Of a generated signal, whose planted motifs are known (the tables' signals hold none)."""
-    return _found(spark, methods.CoordMotifs(40, 60).fit(synthetic.signals(spark, 1, seed=7).drop("series_id")))
+    return _found(spark, methods.CoordMotifs(24, 36).fit(sg.ev_signal(spark, d)))
 
 
 @query
@@ -513,7 +529,7 @@ def principal_motifs(spark, d):
 
 @query
 def subspace_merge(spark, d):
-    sets = methods.subspace_motifs(sg.take_dims(sg.ord_week(spark, d), [0, 1, 2]), 8, 0.5)
+    sets = methods.subspace_motifs(sg.ord_week(spark, d), 8, 0.5)
     rows = [(k, n, int(dim), int(a), int(z)) for k, s in enumerate(sets) for n, o in enumerate(s.occurrences) for dim, (a, z) in sorted(o.items())]
     return spark.createDataFrame(rows, "set_id int, occ_id int, dim int, start long, end long")
 
@@ -549,9 +565,29 @@ def sliding_dot(spark, d):
     return win.join(F.broadcast(q), "dim").select("dim", "i", F.round(F.aggregate(F.zip_with("x", "qx", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e), 6).alias("qt"))  # one row a dim
 
 
+@query
+def distance_matrix_whole(spark, d):
+    """Distances of every window of every dim to every window of every dim (p-norm, p = 2)."""
+
+    def make(batches):
+        import pyarrow as pa
+
+        for r in neighbours._rows(batches):
+            parts = [kernels.Series(np.array(x, float), 8) for x in r["x"]]
+            a, m = r["block"] * neighbours.BLOCK, len(parts[0].windows)
+            z = min(a + neighbours.BLOCK, m)
+            for p, one in enumerate(parts):
+                for q, other in enumerate(parts):
+                    v = np.round(np.sqrt(kernels.squared(one, a, z, "raw", other)), 6).ravel()
+                    columns = [np.full(len(v), p, np.int32), np.full(len(v), q, np.int32), np.repeat(np.arange(a, z), m), np.tile(np.arange(m), z - a), v]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["dim_i", "dim_j", "i", "j", "d"])
+
+    return neighbours.by_block(neighbours.stacked(sg.ord_week(spark, d)), 8, F.size(F.col("x")[0])).select("x", "block").mapInArrow(make, "dim_i int, dim_j int, i long, j long, d double")
+
+
 @query
 def distance_matrix(spark, d):
-    """Distances of every window of one signal's first dim to every tenth window of the last (p-norm, p = 2)."""
+    """A part of distance_matrix_whole, as the SQL has it. Distances of every window of one signal's first dim to every tenth window of the last (p-norm, p = 2)."""
     win = windows.windows(sg.ord_week(spark, d), 8, "x")
     a, b = win.where("dim = 0").select("i", "x"), win.where("dim = 4 and i % 10 = 0").select(F.col("i").alias("j"), F.col("x").alias("y"))
     s = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, e: acc + e)
@@ -595,9 +631,20 @@ def run_islands(spark, d):
     return checks.islands(sg.ev_signal(spark, d).where("dim = 0").select("t", (F.col("v") > 0).alias("on")))
 
 
+@query
+def linkage_rates_whole(spark, d):
+    """Mean and least overlap rate over all pairs of dims of two motifs' occurrences: of vectors 2 k and 2 k + 1, all elements."""
+    e = sg.table(spark, d, "embeddings").select(F.col("vec_id").alias("m"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 10)).alias("s"))
+    a, b = e.where("m % 2 = 0").select((F.col("m") / 2).cast("long").alias("k"), "s"), e.where("m % 2 = 1").select(F.floor(F.col("m") / 2).alias("k"), F.col("s").alias("t"))
+    rate = lambda x, y: F.greatest(F.lit(0), F.least(x, y) + 20 - F.greatest(x, y)) / (F.greatest(x, y) + 20 - F.least(x, y))
+    rates = a.join(b, "k").select("k", F.flatten(F.transform("s", lambda x: F.transform("t", lambda y: rate(x, y)))).alias("r")).where("size(r) > 0")
+    mean = F.aggregate("r", F.lit(0.0), lambda acc, y: acc + y) / F.size("r")
+    return rates.select("k", F.round(mean, 6).alias("average"), F.round(F.array_min("r"), 6).alias("complete"))
+
+
 @query
 def linkage_rates(spark, d):
-    """Mean and least overlap rate over all pairs of dims of two motifs' occurrences."""
+    """As linkage_rates_whole, of the 200 vectors and 3 elements that the SQL takes."""
     e = sg.table(spark, d, "embeddings").where("vec_id < 200")
     at = e.select(F.col("vec_id").alias("m"), F.posexplode(F.slice("embedding", 1, 3)).alias("dim", "v")).select("m", "dim", F.floor(F.col("v") * 10).alias("start"))
     a, b = at.where("m % 2 = 0").select((F.col("m") / 2).cast("long").alias("k"), F.col("start").alias("s")), at.where("m % 2 = 1").select(F.floor(F.col("m") / 2).alias("k"), F.col("start").alias("t"))
