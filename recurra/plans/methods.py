@@ -154,6 +154,26 @@ def _near(sig: DataFrame, w: int, metric: str, refs: list[int], dims: list[int],
     return sorted(out)
 
 
+def _matches(sig: DataFrame, w: int, metric: str, first: int, dims: list[int], least: float, zone: int) -> list[int]:
+    """Windows whose distance to `first` (mean over dims) is at most mean - 2 sd of all such distances, or `least` if that is more; greedily more than `zone` apart, nearest first, `first` before all."""
+
+    def run(batches):
+        for r in neighbours._rows(batches):
+            parts = [kernels.Series(np.array(r["x"][d], float), w) for d in dims]
+            d = np.mean([np.sqrt(kernels.squared(s, first, first + 1, metric))[0] for s in parts], 0)
+            d[first] = 0
+            known = d[np.isfinite(d)]
+            on = np.flatnonzero(d <= max(known.mean() - 2 * known.std(), least))
+            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(d[on])], ["i", "d"])
+
+    rows = neighbours.stacked(sig).mapInArrow(run, "i long, d double").orderBy("d", "i").collect()
+    out = [first]
+    for r in rows:
+        if all(abs(r["i"] - o) > zone for o in out):
+            out.append(r["i"])
+    return sorted(out)
+
+
 def sdim_motifs(sig: DataFrame, w: int, n_patterns: int, ratio: float = 3.0, metric: str = "unit") -> Found:
     """Sub-dimensional motifs: closest pair for each number of dims, dims by description length, neighbours within `ratio` times the pair's mean distance, then those windows are left out and the next is searched."""
     banned: dict[int, set[int]] = {}
@@ -173,12 +193,13 @@ def sdim_motifs(sig: DataFrame, w: int, n_patterns: int, ratio: float = 3.0, met
 
 
 def multidim_motifs(sig: DataFrame, w: int, max_motifs: int = 3, cutoff: float = float("inf"), least_neighbours: int = 1) -> Found:
-    """Motifs of the k-dimensional matrix profile with dims by description length; matches of the first window within the greatest distance mean - 2 sd (at least the pair's)."""
+    """Motifs of the k-dimensional matrix profile with dims by description length; matches of the first window within the greatest distance mean - 2 sd (at least the pair's, so that the pair itself is found), more than a quarter window apart."""
     banned: dict[int, set[int]] = {}
+    zone = max(1, -(-w // 4))
     out = Found()
     n_dims = sig.agg(F.max("dim")).first()[0] + 1
     for _ in range(max_motifs):
-        best = _best_by_k(sig, w, "znorm", max(1, -(-w // 4)) + 1, banned, mean=True)
+        best = _best_by_k(sig, w, "znorm", zone + 1, banned, mean=True)
         if not best:
             break
         wins = _windows_at(sig, [p for b in best for p in b[1:3]], w)
@@ -186,11 +207,11 @@ def multidim_motifs(sig: DataFrame, w: int, max_motifs: int = 3, cutoff: float =
         k, i, j, d, dims = best[int(np.argmin(bits))]
         if d > cutoff:
             break
-        places = _near(sig, w, "znorm", [i, j], dims, max(d, 1e-6) * 1.5, {}, strict=False)
+        places = _matches(sig, w, "znorm", i, dims, d + 1e-6, zone)
         if len(places) > least_neighbours:
             out.motifs.append(Motif(dims, [(p, p + w) for p in places]))
         for dim in range(n_dims):
-            banned.setdefault(dim, set()).update(t for p in places for t in range(max(0, p - w // 2), p + w // 2 + 1))
+            banned.setdefault(dim, set()).update(t for p in places for t in range(max(0, p - zone), p + zone + 1))
     return out
 
 
