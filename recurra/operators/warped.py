@@ -28,8 +28,8 @@ def similarity_quantile(x: np.ndarray, rho: float) -> float:
     return float(np.quantile(s[np.triu_indices(len(x), 1)], rho)) if len(x) > 1 else 1.0
 
 
-def paths(x: np.ndarray, shortest: int, rho: float, n_paths: int = 200) -> list[np.ndarray]:
-    """Paths (cells i < j) of at least `shortest` steps, best first; cells near a path are used once."""
+def paths(x: np.ndarray, shortest: int, rho: float) -> list[np.ndarray]:
+    """All paths (cells i < j) of at least `shortest` steps, best first; cells near a path are used once."""
     n = len(x)
     s, cut = similarity(x), similarity_quantile(x, rho)
     best = np.zeros((n + 2, n + 2))
@@ -43,10 +43,10 @@ def paths(x: np.ndarray, shortest: int, rho: float, n_paths: int = 200) -> list[
                 best[i + 2, j + 2], came[i + 2, j + 2] = v, k if inherited[k] > 0 else -1
     out = []
     free = best.copy()
-    for _ in range(n_paths):
-        i, j = np.unravel_index(free.argmax(), free.shape)
+    cells_in_order = np.argsort(-best, axis=None, kind="stable")[: int((best > 0).sum())]
+    for i, j in zip(*(c.tolist() for c in np.unravel_index(cells_in_order, best.shape))):
         if free[i, j] <= 0:
-            break
+            continue
         cells = []
         while True:
             cells.append((i - 2, j - 2))
@@ -63,19 +63,20 @@ def paths(x: np.ndarray, shortest: int, rho: float, n_paths: int = 200) -> list[
     return out
 
 
-def images(found: list[np.ndarray], a: int, z: int) -> list[tuple[int, int]]:
-    """Where the paths that cross all of [a, z) lead."""
+def images(found: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray, a: int, z: int) -> list[tuple[int, int]]:
+    """Where the paths (x, y), with x from ends[0] to ends[1], that cross all of [a, z) lead."""
     out = []
-    for p in found:
-        for x, y in ((p[:, 0], p[:, 1]), (p[:, 1], p[:, 0])):
-            if x[0] <= a and x[-1] >= z - 1:
-                out.append((int(y[np.searchsorted(x, a)]), int(y[min(np.searchsorted(x, z - 1), len(y) - 1)]) + 1))
+    for k in np.flatnonzero((ends[0] <= a) & (ends[1] >= z - 1)):
+        x, y = found[k]
+        out.append((int(y[np.searchsorted(x, a)]), int(y[min(np.searchsorted(x, z - 1), len(y) - 1)]) + 1))
     return out
 
 
-def motif_sets(x: np.ndarray, shortest: int, longest: int, rho: float = 0.8, n_sets: int = 3, step: int = 2) -> list[list[tuple[int, int]]]:
+def motif_sets(x: np.ndarray, shortest: int, longest: int, rho: float = 0.8, n_sets: int = 3, step: int = 1) -> list[list[tuple[int, int]]]:
     """Sets of intervals, best first; later sets don't overlap earlier ones."""
-    found, taken, out = paths(x, shortest, rho), np.zeros(len(x), bool), []
+    found = [q for p in paths(x, shortest, rho) for q in ((p[:, 0], p[:, 1]), (p[:, 1], p[:, 0]))]
+    ends = np.array([(q[0], q[-1]) for q, _ in found], int).reshape(-1, 2).T
+    taken, out = np.zeros(len(x), bool), []
     for _ in range(n_sets):
         best: tuple[float, list[tuple[int, int]]] = (0.0, [])
         for a in range(0, len(x) - shortest + 1, step):
@@ -83,7 +84,7 @@ def motif_sets(x: np.ndarray, shortest: int, longest: int, rho: float = 0.8, n_s
                 if taken[a:z].any():
                     continue
                 kept = [(a, z)]
-                for b, y in sorted(images(found, a, z)):
+                for b, y in sorted(images(found, ends, a, z)):
                     if shortest <= y - b <= longest and not taken[b:y].any() and all(y <= p or b >= q for p, q in kept):
                         kept.append((b, y))
                 if len(kept) > 1:

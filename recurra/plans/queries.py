@@ -661,7 +661,7 @@ def set_spans(spark, d):
 
 @query
 def warped_motifs(spark, d):
-    return warped.warped_motifs(sg.ord_week(spark, d).where("t < 160"), 8, 16)
+    return warped.warped_motifs(sg.ord_week(spark, d), 8, 16)
 
 
 @query
