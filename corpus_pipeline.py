@@ -11,8 +11,8 @@ from recurra.llm.scratch import Scratch
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.filter_quality(docs)
+    """Documents that the quality rules reject go, those of repeated short n-grams too."""
+    return quality_rules.filter_quality(docs, limits=quality_rules.SHORT_LIMITS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ QUERIES = {
     "op3_license_scan": op3.op3_license_scan,
     "op4_benchmark_decontamination": op4.op4_benchmark_decontamination,
     "op5_quality_rules": op5.op5_quality_rules,
+    "op5_quality_rules_short": op5.op5_quality_rules_short,
     "op7_minhash_near_dedup": op7.op7_minhash_near_dedup,
     "op8_byte_level_bpe": op8.op8_byte_level_bpe,
     "op6_toxicity": op6.op6_toxicity,
