@@ -23,6 +23,13 @@ def query(f: Query) -> Query:
     return f
 
 
+def emb_query(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Registers f over the whole vectors as NAME_whole, and as NAME over their first 8 elements, which the SQL of NAME takes."""
+    QUERIES[f.__name__] = lambda spark, d: f(sg.emb(spark, d, 8))
+    QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(sg.emb(spark, d))
+    return f
+
+
 def _r(c: str, n: int = 6) -> F.Column:
     return F.round(c, n).alias(c)
 
@@ -58,9 +65,9 @@ def win_constant(spark, d):
 # ---- signals
 
 
-@query
-def znorm_signal(spark, d):
-    return sg.z_normalise(sg.emb(spark, d)).select("dim", "t", _r("v"))
+@emb_query
+def znorm_signal(sig):
+    return sg.z_normalise(sig).select("dim", "t", _r("v"))
 
 
 @query
@@ -124,23 +131,23 @@ def distance_profile(sig: DataFrame, w: int, place: int) -> DataFrame:
     return win.join(F.broadcast(q), "dim").select("dim", "i", F.sqrt(square).alias("d"))  # one row a dim
 
 
-@query
-def query_profile(spark, d):
-    return distance_profile(sg.emb(spark, d), 16, 100).select("dim", "i", _r("d", 4))
+@emb_query
+def query_profile(sig):
+    return distance_profile(sig, 16, 100).select("dim", "i", _r("d", 4))
 
 
-@query
-def query_profile_pnorm(spark, d):
-    win = windows.windows(sg.emb(spark, d), 16, "x")
+@emb_query
+def query_profile_pnorm(sig):
+    win = windows.windows(sig, 16, "x")
     q = win.where("i = 100").select("dim", F.col("x").alias("qx"))
     p = F.aggregate(F.zip_with("x", "qx", lambda a, b: F.pow(F.abs(a - b), F.lit(3.0))), F.lit(0.0), lambda a, e: a + e)
     return win.join(F.broadcast(q), "dim").select("dim", "i", F.round(F.pow(p, F.lit(1 / 3.0)), 5).alias("d"))  # one row a dim
 
 
-@query
-def query_match(spark, d):
+@emb_query
+def query_match(sig):
     """Matches of a window by mean distance over dims, at most mean - 2 sd (at least the least), greedily apart."""
-    p = distance_profile(sg.emb(spark, d), 16, 100).groupBy("i").agg(F.round(F.avg("d"), 4).alias("d"))
+    p = distance_profile(sig, 16, 100).groupBy("i").agg(F.round(F.avg("d"), 4).alias("d"))
     cut = p.agg(F.greatest(F.avg("d") - 2 * F.stddev_pop("d"), F.min("d")).alias("cut"))
     near = p.join(F.broadcast(cut)).where("d <= cut")  # one row
     return greedy(near, 4)
@@ -552,15 +559,15 @@ def distances_too_small(spark, d):
     return checks.too_small(_nn(spark, d), 0.5)
 
 
-@query
-def dist_single(spark, d):
+@emb_query
+def dist_single(sig):
     """z-normed distance of one pair of windows per dim."""
-    return distance_profile(sg.emb(spark, d), 16, 100).where("i = 40").select("dim", _r("d", 4))
+    return distance_profile(sig, 16, 100).where("i = 40").select("dim", _r("d", 4))
 
 
-@query
-def sliding_dot(spark, d):
-    win = windows.windows(sg.emb(spark, d), 16, "x")
+@emb_query
+def sliding_dot(sig):
+    win = windows.windows(sig, 16, "x")
     q = win.where("i = 5").select("dim", F.col("x").alias("qx"))
     return win.join(F.broadcast(q), "dim").select("dim", "i", F.round(F.aggregate(F.zip_with("x", "qx", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e), 6).alias("qt"))  # one row a dim
 
@@ -594,15 +601,14 @@ def distance_matrix(spark, d):
     return a.join(F.broadcast(b)).select("i", "j", F.round(F.sqrt(s), 6).alias("d"))  # a stated query set: every tenth window
 
 
-@query
-def replace_distance(spark, d):
-    return distance_profile(sg.emb(spark, d), 16, 100).select("dim", "i", F.round(windows.replace_distance(F.round("d", 4), 0.0, -1.0), 4).alias("d"))
+@emb_query
+def replace_distance(sig):
+    return distance_profile(sig, 16, 100).select("dim", "i", F.round(windows.replace_distance(F.round("d", 4), 0.0, -1.0), 4).alias("d"))
 
 
-@query
-def pair_neighbours(spark, d):
+@emb_query
+def pair_neighbours(sig):
     """Windows nearer to one of two references than 1.2 times their mean distance, greedily a window apart."""
-    sig = sg.emb(spark, d)
     p = distance_profile(sig, 16, 100).groupBy("i").agg(F.avg("d").alias("a")).join(distance_profile(sig, 16, 300).groupBy("i").agg(F.avg("d").alias("b")), "i")
     cut = p.where("i = 300").select((F.col("a") * 0.9).alias("cut"))
     near = p.select("i", F.round(F.least("a", "b"), 4).alias("d")).join(F.broadcast(cut)).where("d < cut").drop("cut")  # one row

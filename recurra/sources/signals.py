@@ -45,9 +45,9 @@ def ord_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_signal(table(spark, sf_dir, "orders"), _since("o_orderdate", "1995-01-01 00:00:00", 604800), F.col("o_orderpriority"), F.count("*")).where("t >= 0")
 
 
-def emb(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
-    """The first elements of the vectors, in order of their ids."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode(F.slice("embedding", 1, dims)).alias("dim", "v")).select("dim", "t", F.col("v").cast("double").alias("v"))
+def emb(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
+    """The vectors, or their first `dims` elements, in order of their ids."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode("embedding" if dims is None else F.slice("embedding", 1, dims)).alias("dim", "v")).select("dim", "t", F.col("v").cast("double").alias("v"))
 
 
 def z_normalise(sig: DataFrame) -> DataFrame:
