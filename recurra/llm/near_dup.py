@@ -216,7 +216,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, sc
     percent = round(threshold * 100)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, np.zeros(0, np.uint64)
+        head, owns = None, []  # rows that share the pivot's id may have different texts
         for b in batches:
             key = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             role, u = b.column(2).to_pylist(), b.column(3).to_pylist()
@@ -226,15 +226,20 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, sc
                 for k in range(i, j):
                     mine = np.unique(h[first[k - i] : first[k - i + 1]])
                     if role[k] == 0:
-                        head, own = key[k], mine
+                        if key[k] != head:
+                            head, owns = key[k], []
+                        if not any(np.array_equal(own, mine) for own in owns):
+                            owns.append(mine)
                     elif key[k] == head:
-                        lo, hi = sorted((len(own), len(mine)))
-                        if 100 * lo >= percent * hi:
-                            both = np.concatenate([own, mine])
-                            both.sort()
-                            inter = int(np.count_nonzero(both[1:] == both[:-1]))
-                            if 100 * inter >= percent * (len(both) - inter):
-                                links.append((head[0], u[k]))
+                        for own in owns:
+                            lo, hi = sorted((len(own), len(mine)))
+                            if 100 * lo >= percent * hi:
+                                both = np.concatenate([own, mine])
+                                both.sort()
+                                inter = int(np.count_nonzero(both[1:] == both[:-1]))
+                                if 100 * inter >= percent * (len(both) - inter):
+                                    links.append((head[0], u[k]))
+                                    break
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
