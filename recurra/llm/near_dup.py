@@ -7,22 +7,29 @@
    per bucket with the members outside the pivot's component. Signatures are compared in batches; after each batch a
    pair is dropped if the posterior chance (uniform prior) that its similarity reaches the threshold, given the
    matches so far, is below MISS. What survives is verified on the full shingle sets, and links update components.
-3. Pivot rounds go on while they merge many components. What then remains are buckets whose members lie in several
-   components: every member outside the bucket's largest component is compared with all the others, in a grid of cells of bounded
-   size: signatures first, then the full sets of those with a survivor. No pair leaves its cell, and no link is lost
-   to a cap.
+3. Pivot rounds go on while they merge many components. What then remains are band buckets whose members lie in several
+   components, as a rule of texts that share a passage but not enough of it. Their members are dealt anew by a prefix
+   filter: of each set only the rarest shingles are keys, so many that two sets at the threshold must share one (any
+   order of shingles is exact, rarity makes small buckets). A shared passage is not among them, so hot band buckets fall
+   apart, at the cost of one row a shingle, without pairs. The new buckets have pivot rounds of their own.
+4. Prefix buckets that still hold several components (chains of links) are compared in cells bounded in rows and in
+   shingles: every member outside the bucket's largest component with all the others, signatures first, then the full
+   sets of those with a survivor. No pair leaves its cell; of a member's links to one component in a cell one leaves.
 
 The chance to lose a pair at the threshold itself is (1 - 0.8**ROWS)**BANDS = 5e-8 in banding, and MISS in pruning.
 
 Defined results: a null or wordless text has no shingles, links with nothing and is its own component; fewer words
 than a shingle has make one shingle of them all; a row with a null id takes no part (component null, kept); rows that
-share an id are one vertex; an empty table gives an empty table; other columns are never read.
+share an id are one vertex with several texts; ids may be of any type that has an order; an empty table gives an empty
+table; other columns are never read.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +47,10 @@ BATCH = 16
 _rng = np.random.Generator(np.random.PCG64(7))
 MULTIPLY = _rng.integers(0, 2**31, N_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 2**32, N_HASHES, dtype=np.uint32)
-#: Rows of a block of the residual grid: members compared, and members that they are compared with.
-GRID_SMALL, GRID_ALL = 256, 2048
-BLOOM_BITS = 1 << 23
+#: Rows of a cell of the residual grid (members compared, and members that they are compared with), and shingles of either.
+GRID_SMALL, GRID_ALL, GRID_SHINGLES = 128, 256, 1 << 19
+#: Bits of the largest Bloom filter (8 MB); more ids than an eighth of it go without one.
+BLOOM_BITS = 1 << 26
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,33 +181,43 @@ def prune(pairs: DataFrame, base: DataFrame, least: dict[int, int]) -> DataFrame
     return both.mapInArrow(keep, "p long, u long")
 
 
-def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = tn.mix(ids.astype(np.int64).view(np.uint64))
-    at = np.concatenate([h % np.uint64(BLOOM_BITS), (h >> np.uint64(32)) % np.uint64(BLOOM_BITS)]).astype(np.int64)
+    at = np.concatenate([h % np.uint64(bits), (h >> np.uint64(32)) % np.uint64(bits)]).astype(np.int64)
     return at >> 6, at & 63
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs(doc_id, text) without most rows that are not among ids(doc_id): a Bloom filter of BLOOM_BITS (1 MB), so that few texts reach the next exchange. What it lets through besides is left to that join."""
+@contextmanager
+def only(docs: DataFrame, ids: DataFrame, at_most: int) -> Iterator[DataFrame]:
+    """docs(doc_id, text) without most rows that are not among ids(doc_id), of which there are `at_most`: a Bloom filter of 16 bits an id, so that few texts reach the next exchange. What it lets through besides is left to that join, and so is all where the filter would outgrow BLOOM_BITS. The filter lives as long as the context: run what reads the texts inside."""
+    size = 1 << max(16, (16 * at_most).bit_length())
+    if size > BLOOM_BITS:
+        size = BLOOM_BITS
+        if 8 * at_most > size:
+            yield docs
+            return
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            word, bit = _bits(b.column(0).to_numpy(zero_copy_only=False))
+            word, bit = _bits(b.column(0).to_numpy(zero_copy_only=False), size)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit.astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
     found = ids.distinct().mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most BLOOM_BITS / 64 rows
-    table = np.zeros(BLOOM_BITS // 64, np.uint64)
+    table = np.zeros(size // 64, np.uint64)
     table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                word, bit = _bits(b.column(0).to_numpy(zero_copy_only=False))
+                word, bit = _bits(b.column(0).to_numpy(zero_copy_only=False), size)
                 hit = ((shared.value[word] >> bit.astype(np.uint64)) & np.uint64(1)).astype(bool).reshape(2, -1).all(0)
                 yield b.filter(pa.array(hit))
 
-    return docs.mapInArrow(keep, docs.schema)
+    try:
+        yield docs.mapInArrow(keep, docs.schema)
+    finally:
+        shared.destroy()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
@@ -208,11 +226,8 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, sc
     A pivot's text meets its partners' in groups of about 64: a pivot of very many partners is sent to as many groups.
     """
     spark = docs.sparkSession
-    texts = only(docs, pairs.select(F.col("p").alias("doc_id")).unionByName(pairs.select(F.col("u").alias("doc_id"))))
     groups = pairs.groupBy("p").agg(F.ceil(F.count("*") / 64).alias("k"))
     pu = pairs.join(groups, "p").select("p", F.pmod(F.xxhash64("u"), "k").alias("s"), "u")
-    mine = pu.join(texts.withColumnRenamed("doc_id", "u"), "u").select("p", "s", F.lit(1).alias("role"), "u", "text")
-    heads = pu.select("p", "s").distinct().join(texts.withColumnRenamed("doc_id", "p"), "p").select("p", "s", F.lit(0).alias("role"), F.col("p").alias("u"), "text")
     percent = round(threshold * 100)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +258,41 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, sc
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
-    rows = heads.unionByName(mine).repartition(tasks(spark), "p", "s").sortWithinPartitions("p", "s", "role")
-    return scratch.save(rows.mapInArrow(check, "a long, b long"))
+    with only(docs, pairs.select(F.col("p").alias("doc_id")).unionByName(pairs.select(F.col("u").alias("doc_id"))), 2 * pairs.count()) as texts:
+        mine = pu.join(texts.withColumnRenamed("doc_id", "u"), "u").select("p", "s", F.lit(1).alias("role"), "u", "text")
+        heads = pu.select("p", "s").distinct().join(texts.withColumnRenamed("doc_id", "p"), "p").select("p", "s", F.lit(0).alias("role"), F.col("p").alias("u"), "text")
+        rows = heads.unionByName(mine).repartition(tasks(spark), "p", "s").sortWithinPartitions("p", "s", "role")
+        return scratch.save(rows.mapInArrow(check, "a long, b long"))
+
+
+def prefixes(docs: DataFrame, members: DataFrame, shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """buckets(doc_id, key): the keys of each text of members(doc_id), a written table, are its rarest shingles among them.
+
+    A set of n shingles reaches the threshold only with one that holds ceil(threshold * n) of them, so the two share one
+    of the first n - ceil(threshold * n) + 1 of each in any common order. Shingles that no other text has come first and
+    meet nobody; only the others are ordered, so a text without enough shared shingles has no key.
+    """
+    percent = round(threshold * 100)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, off in tn.blocks(b.column(1)):
+                h, first = shingles(data, off, shingle)
+                one = distinct(h, first)
+                at = np.concatenate([[0], np.cumsum(_sums(one.astype(np.uint64), first))]).astype(np.int32)
+                whole = pa.array(_sums(tn.mix(h) * one, first).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), whole, pa.ListArray.from_arrays(pa.array(at), pa.array(h[one].view(np.int64)))], ["doc_id", "whole", "keys"])
+
+    with only(docs, members, members.count()) as texts:
+        own = scratch.save(texts.join(members, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, whole long, keys array<long>"))
+    rows = own.select("doc_id", "whole", F.size("keys").cast("long").alias("n"), F.explode("keys").alias("key"))
+    often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = rows.join(often, "key").groupBy("doc_id", "whole", "n").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("s"))
+    length = F.size("s") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    keys = shared.select("doc_id", "s", length.cast("int").alias("k")).where("k > 0").select("doc_id", F.explode(F.slice("s", 1, F.col("k"))).alias("x"))
+    out = scratch.save(keys.select("doc_id", F.col("x.key").alias("key")).distinct())
+    scratch.drop(own)
+    return out
 
 
 def _standing(buckets: DataFrame, comp: DataFrame) -> DataFrame:
@@ -279,12 +327,15 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
 def residual_links(standing: DataFrame, base: DataFrame, docs: DataFrame, least: dict[int, int], shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
     """links(a, b) between components, for every member outside its bucket's largest component against all others.
 
-    Cells of at most about GRID_SMALL by GRID_ALL members first compare signatures; members with a surviving partner
-    stay. Their texts then meet in the same cells, where full sets are compared: pairs never leave a cell, links do.
+    Cells of at most about GRID_SMALL by GRID_ALL members and GRID_SHINGLES shingles first compare signatures; members
+    with a surviving partner stay. Their texts then meet in the same cells, where full sets are compared: pairs never
+    leave a cell, links do, one for a member and a component.
     """
     spark = base.sparkSession
-    n_small, n_all = F.ceil((F.col("n") - F.col("n_big")) / GRID_SMALL), F.ceil(F.col("n") / GRID_ALL)
-    rows = standing.withColumns({"ns": n_small, "na": n_all, "x": F.xxhash64("doc_id")}).join(base.select("doc_id", "sig"), "doc_id")
+    weight = standing.join(base.groupBy("doc_id").agg(F.sum("n_shingles").alias("w")), "doc_id").groupBy("key").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("c") != F.col("big"), F.col("w"))).alias("w_out"))
+    n_small = F.greatest(F.ceil((F.col("n") - F.col("n_big")) / GRID_SMALL), F.ceil(F.col("w_out") / GRID_SHINGLES))
+    n_all = F.greatest(F.ceil(F.col("n") / GRID_ALL), F.ceil(F.col("w") / GRID_SHINGLES))
+    rows = standing.join(weight, "key").withColumns({"ns": n_small, "na": n_all, "x": F.xxhash64("doc_id")}).join(base.select("doc_id", "sig"), "doc_id")
     cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     small = rows.where("c <> big").select("key", F.pmod("x", "ns").alias("i"), cells("na").alias("j"), F.lit(0).alias("role"), "doc_id", "c", "sig")
     every = rows.select("key", cells("ns").alias("i"), F.pmod(F.hash("x"), "na").cast("long").alias("j"), F.lit(1).alias("role"), "doc_id", "c", "sig")
@@ -322,9 +373,10 @@ def residual_links(standing: DataFrame, base: DataFrame, docs: DataFrame, least:
                 mark[at] = 1
                 inter = np.add.reduceat(mark[place], first)
                 mark[at] = 0
-                ok = (c[theirs] != c[k]) & (100 * inter >= percent * (size + len(sets[k]) - inter)) & (size > 0)
-                a += [int(ids[k])] * int(ok.sum())
-                b += ids[theirs[ok]].tolist()
+                ok = theirs[(c[theirs] != c[k]) & (100 * inter >= percent * (size + len(sets[k]) - inter)) & (size > 0)]
+                ok = ok[np.unique(c[ok], return_index=True)[1]]
+                a += [int(ids[k])] * len(ok)
+                b += ids[ok].tolist()
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -332,8 +384,10 @@ def residual_links(standing: DataFrame, base: DataFrame, docs: DataFrame, least:
         return df.repartition(tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     live = scratch.save(dealt(small.unionByName(every)).mapInArrow(compare, "key long, i long, j long, role int, doc_id long, c long"))
-    texts = only(docs, live.select("doc_id"))
-    return scratch.save(dealt(live.join(texts, "doc_id").select("key", "i", "j", "role", "doc_id", "c", "text")).mapInArrow(check, "a long, b long"))
+    with only(docs, live.select("doc_id"), live.count()) as texts:
+        links = scratch.save(dealt(live.join(texts, "doc_id").select("key", "i", "j", "role", "doc_id", "c", "text")).mapInArrow(check, "a long, b long"))
+    scratch.drop(live)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, miss: float = MISS) -> DataFrame:
@@ -341,7 +395,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
     least = least_matches(threshold, miss)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    given, number = docs, docs.select(id_col).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
+    vertex = docs[id_col].cast("long") if number else F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col]))
+    docs = docs.select(vertex.alias("doc_id"), docs[text_col].cast("string").alias("text"))
     base = scratch.save(signatures(docs, shingle))
     known = base.where("doc_id is not null and n_shingles > 0")
     sets = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -350,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
     rows = known.select("doc_id", "bands").join(reps, "doc_id").select("doc_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("p"), F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.save(rows.join(shared, "key").where("doc_id <> p or n > 2"))
+    bands = scratch.save(rows.join(shared, "key").where("doc_id <> p or n > 2"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Prunes and verifies pairs(p, u)."""
@@ -359,38 +415,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scratch.drop(left)
         return links
 
-    links = linked(buckets.where("doc_id <> p").select("p", F.col("doc_id").alias("u")).distinct())
-    comp = components(links, scratch)
-    buckets = buckets.where("n > 2 and doc_id <> p").select("key", "doc_id")
-    spread = None
-    for turn in range(1, 1_000_000):
-        standing = scratch.save(_standing(buckets, comp))
-        now = standing.where("c <> big").count()
-        if not now:
-            break
-        last = spread is not None and now > 0.8 * spread
-        if last:
-            links = links.unionByName(residual_links(standing, base, docs, least, shingle, threshold, scratch))
-        else:  # another pivot for each bucket, from its largest component
+    def rounds(buckets: DataFrame, links: DataFrame, comp: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+        """Pivot rounds while they help: the members that still stand in several components of a bucket, if any, links and components."""
+        spread = None
+        for turn in itertools.count(1):
+            standing = scratch.save(_standing(buckets, comp))
+            now = standing.where("c <> big").count()
+            if not now:
+                scratch.drop(standing)
+                return None, links, comp
+            if spread is not None and now > 0.8 * spread:
+                return standing, links, comp
+            # another pivot for each bucket, from its largest component
             pivot = standing.where("c = big").groupBy("key").agg(F.min_by("doc_id", F.xxhash64(F.lit(turn), "doc_id")).alias("p"))
             pairs = standing.where("c <> big").join(pivot, "key").select(F.least("p", "doc_id").alias("p"), F.greatest("p", "doc_id").alias("u")).distinct()
             links = links.unionByName(linked(pairs))
-        comp = components(links, scratch)
+            scratch.drop(standing, comp)
+            comp, spread = components(links, scratch), now
+
+    links = linked(bands.where("doc_id <> p").select("p", F.col("doc_id").alias("u")).distinct())
+    comp = components(links, scratch)
+    standing, links, comp = rounds(bands.where("n > 2 and doc_id <> p").select("key", "doc_id"), links, comp)
+    if standing is not None:
+        left = scratch.save(standing.select("doc_id").distinct())
         scratch.drop(standing)
-        spread = now
-        if last:
-            break
+        standing, links, comp = rounds(prefixes(docs, left, shingle, threshold, scratch), links, comp)
+    if standing is not None:
+        comp = components(links.unionByName(residual_links(standing, base, docs, least, shingle, threshold, scratch)), scratch)
 
     own = members.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("component"))
     own = own.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = base.select("doc_id", "n_shingles").join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    if not number:  # vertices are hashes of ids: back to the ids, and to the smallest of each class
+        ids = given.select(vertex.alias("v"), given[id_col].alias("id")).where("v is not null").distinct()
+        least_id = out.select("doc_id", "component_id").distinct().join(ids, F.col("doc_id") == F.col("v")).groupBy("component_id").agg(F.min("id").alias("least_id"))
+        out = out.join(least_id, "component_id", "left").join(ids, F.col("doc_id") == F.col("v"), "left").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least_id").alias("component_id"))
+    out = scratch.save(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    scratch.drop_all_but(out)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stand for their class, with all their columns; rows that share such an id all stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch, so that long texts don't fill a Python worker.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests on one machine) a fresh one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where that is unset, a fresh one if all runs in one local process (tests); on a cluster a machine's own folder would lose tables, so there it is an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.recurra.scratch", None)
     if not root:
-        root = spark.conf.get("spark.recurra.scratch", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="recurra-")
-            spark.conf.set("spark.recurra.scratch", root)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="recurra-")
+        spark.conf.set("spark.recurra.scratch", root)
     return root.rstrip("/")
 
 
@@ -26,22 +29,31 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.left: set[str] = set()
 
     def save(self, df: DataFrame) -> DataFrame:
         """df as a written table: a lost executor costs a read, not a recomputation."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
         df.write.parquet(path)
+        self.left.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in dfs:
-            if path := getattr(df, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+            self._delete(getattr(df, "_scratch_path", None))
+
+    def drop_all_but(self, df: DataFrame) -> None:
+        for path in self.left - {df._scratch_path}:
+            self._delete(path)
+
+    def _delete(self, path: str | None) -> None:
+        if path in self.left:
+            self.left.remove(path)
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def tasks(spark: SparkSession) -> int:
@@ -50,5 +62,8 @@ def tasks(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bounds the bytes of Arrow batches to BATCH_BYTES in this session, unless it has a smaller bound already. Plans are lazy, so the setting has to outlive this call."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdecimal() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

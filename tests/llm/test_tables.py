@@ -90,6 +90,57 @@ def test_residual_grid_finds_all_links(spark, monkeypatch):
     assert got == want
 
 
+def test_prefix_buckets_hold_every_link(spark):
+    """Texts that share a passage and their copies: all links share a key, most other pairs share none."""
+    r = random.Random(21)
+    passage = prose(r, 60)
+    texts = [f"{passage} {prose(r, r.randrange(20, 80))}" for _ in range(40)]
+    texts += [edited(r, t, 0.01) for t in texts[:12]] + ["a b c", "a b c"]
+    docs = table(spark, texts).select("doc_id", "text")
+    scratch = Scratch(spark, "t")
+    rows = near_dup.prefixes(docs, scratch.save(docs.select("doc_id")), 4, 0.8, scratch).collect()
+    keys = {}
+    for x in rows:
+        keys.setdefault(x["doc_id"], set()).add(x["key"])
+    sets = [shingle_set(t, 4) for t in texts]
+    meet = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            share = bool(keys.get(a, set()) & keys.get(b, set()))
+            meet += share
+            assert share or 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b])
+    assert meet < 60
+
+
+def test_near_duplicates_through_prefixes_and_cells(spark, monkeypatch):
+    """All the ways to a link, on texts that share a passage; few band buckets end after one pivot."""
+    monkeypatch.setattr(near_dup, "GRID_SMALL", 4)
+    monkeypatch.setattr(near_dup, "GRID_ALL", 8)
+    called = []
+    for name in ("prefixes", "residual_links"):
+        monkeypatch.setattr(near_dup, name, lambda *a, f=getattr(near_dup, name), n=name: (called.append(n), f(*a))[1])
+    r = random.Random(22)
+    passage = prose(r, 120)
+    texts = [f"{passage} {prose(r, r.randrange(35, 60))}" for _ in range(50)]
+    chain = [prose(r, 60)]
+    for _ in range(25):
+        chain.append(edited(r, chain[-1], 0.03))
+    texts += [edited(r, t, 0.01) for t in texts[:20]] + chain
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(table(spark, texts), shingle=4).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(range(len(texts))), texts, 4).items()}
+    assert "prefixes" in called
+
+
+def test_near_duplicates_of_string_ids(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["one two three four five six", "one two three four five six", "other words that stand here alone", None]
+    named = table(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    got = {x["doc_id"]: (x["component_id"], x["kept"]) for x in near_dup.near_duplicates(named).collect()}
+    assert got == {"d0": ("d0", True), "d1": ("d0", False), "d2": ("d2", True), "d3": ("d3", True)}
+    assert sorted(x["doc_id"] for x in near_dup.keep_one(named).collect()) == ["d0", "d2", "d3"]
+
+
 def test_posterior_bounds():
     least = near_dup.least_matches(0.8, 1e-6)
     assert list(least) == list(range(16, 129, 16)) and all(0 <= m <= n for n, m in least.items())
