@@ -7,8 +7,9 @@ length, the words before), and dynamic programming over ends chooses boundaries
 be inside a segment, so they are outside by definition. Spans of the field that touch a base span give way to it.
 
 The weights are trained on the driver by conditional likelihood, from the base spans and assigned secrets of a bounded
-sample of texts (labelled by rule, SAMPLE_ROWS rows) and from written examples of further forms; the model is a few
-kB and broadcast. Every text is searched by itself, whole: no shuffle.
+sample (labelled by rule; SAMPLE_ROWS different pieces of at most PIECE characters, of all pieces of all texts those of
+smallest hash) and from written examples of further forms; the model is a few kB and broadcast. Every text is searched
+by itself, whole: no shuffle.
 
 Defined results: null counts as empty text and has no spans; repeated rows are searched each; an empty table gives an
 empty table (and a field trained on the written examples alone); columns beside the text pass through `redact`
@@ -31,7 +32,7 @@ from recurra.llm.scratch import small_batches
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 MAX_TOKENS = 4
-SAMPLE_ROWS = 400
+SAMPLE_ROWS, PIECE = 400, 2000
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # Each digit run is entered at its first digit only, and taken whole: the same matches as without, in linear time.
@@ -339,13 +340,14 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Field:
-    """From the written examples and the texts of smallest hash, at most `rows`, that hold a digit or at sign."""
-    t = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.octet_length("t") < 20_000))
+def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> Field:
+    """From the written examples and `rows` pieces of the texts that hold a digit or at sign, by smallest hash; equal pieces count once."""
+    t = docs.select(F.explode(F.regexp_extract_all(docs[text_col].cast("string"), F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1))).alias("t")).where(F.col("t").rlike("[0-9@]"))
     t = t.withColumn("h", F.xxhash64("t"))
-    last = t.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # hashes alone are sorted; then only the chosen texts move
-    texts = [] if last is None else [r[0] for r in t.where(F.col("h") <= last).orderBy("h", "t").limit(rows).select("t").collect()]
-    return train_field([(x, ruled(x)) for x in texts] + 10 * written())
+    last = t.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # hashes alone move first; then only the chosen pieces
+    pieces = [] if last is None else [r[0] for r in t.where(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").select("t").collect()]
+    whole = [p.partition(" ")[2].rpartition(" ")[0] if len(p) == PIECE else p for p in pieces]  # without the tokens that the cuts go through
+    return train_field([(x, ruled(x)) for x in whole] + 10 * written())
 
 
 def _searched(column: pa.Array) -> Iterator[tuple[int, str]]:
@@ -422,4 +424,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     n = [count(k) for k in BASE]
-    return found.select("doc_id", *n, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    n_secret = F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    return found.select("doc_id", *n, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), n_spans, n_secret)
