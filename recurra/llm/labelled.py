@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recurra.llm import textnum as tn
 from recurra.llm.scratch import small_batches
 
-#: Rows of the sample, and bytes of its texts: the rows of smallest hash that fit.
+#: Rows of the sample, and bytes of its texts: the rows of smallest hash that fit; a text of more than all the bytes is passed over.
 MAX_ROWS, MAX_BYTES = 6000, 32 << 20
 
 
@@ -28,11 +28,24 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id
     """
     own = labels.select(labels[id_col].alias("i"), labels[label].cast("int").alias("y")).where("i is not null and y in (0, 1)").where(~held_out(F.col("i")))
     chosen = own.orderBy(F.xxhash64("i"), "i", "y").limit(max_rows)
+    table = _texts(docs, chosen, id_col, text_col, max_bytes)
+    return table.column("t").combine_chunks(), table.column("y").to_numpy().astype(np.int64)
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> pa.Array:
+    """Texts of at most max_rows rows of docs without a label that aren't held out, chosen as in `sample`."""
+    known = labels.where(labels[label].cast("int").isin(0, 1)).select(labels[id_col].alias("i"))
+    ids = docs.select(docs[id_col].alias("i")).where("i is not null").where(~held_out(F.col("i"))).distinct()
+    chosen = ids.join(known, "i", "left_anti").orderBy(F.xxhash64("i"), "i").limit(max_rows).select("i", F.lit(0).alias("y"))
+    return _texts(docs, chosen, id_col, text_col, max_bytes).column("t").combine_chunks()
+
+
+def _texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, max_bytes: int) -> pa.Table:
+    """t, y of the ids chosen(i, y), at most MAX_ROWS rows of two numbers, as far as max_bytes go."""
     rows = docs.select(docs[id_col].alias("i"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
-    got = rows.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("y").alias("y"), F.min("t").alias("t"))  # at most max_rows rows of two numbers
+    got = rows.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("y").alias("y"), F.min("t").alias("t")).where(F.octet_length("t") <= max_bytes)
     room = F.sum(F.octet_length("t")).over(Window.orderBy(F.xxhash64("i"), "i", "y", "t"))
-    table = got.withColumn("room", room).where(F.col("room") <= max_bytes).orderBy(F.xxhash64("i"), "i", "y", "t").select("t", "y").toArrow()
-    return table.column("t").combine_chunks(), table.column("y").to_numpy().astype(np.int64)
+    return got.withColumn("room", room).where(F.col("room") <= max_bytes).orderBy(F.xxhash64("i"), "i", "y", "t").select("t", "y").toArrow()
 
 
 def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], cut: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
