@@ -1,8 +1,9 @@
 """Quality classifier: a regularised quadratic discriminant over transformed document statistics.
 
 Per class: mean and covariance of the statistics, the covariance shrunk towards the pooled one and that towards its
-diagonal. A score is the posterior from log priors and Gaussian log densities, whose Mahalanobis terms come from one
-triangular solve with the Cholesky factor kept for each class. The model (a few kB) is fitted on the driver from a
+diagonal; both shrinkages are those of GRID with the greatest likelihood of left-out labels (FOLDS parts of the sample).
+A score is the posterior from log priors and Gaussian log densities, whose Mahalanobis terms come from one forward
+substitution with the Cholesky factor kept for each class. The model (a few kB) is fitted on the driver from a
 bounded sample (labelled.MAX_ROWS rows, labelled.MAX_BYTES bytes) and broadcast; every text is scored by itself.
 
 Defined results: null and empty texts have the statistics of an empty text and so a score; if the sample lacks a class,
@@ -21,7 +22,8 @@ from recurra.llm import labelled
 from recurra.llm import quality_rules as rules
 from recurra.llm import textnum as tn
 
-SHRINK_POOLED, SHRINK_DIAGONAL = 0.9, 0.1
+#: Shares of the pooled covariance in a class's, and of the diagonal in that; parts of the sample that are left out in turn.
+GRID, FOLDS = [(p, d) for p in (0.05, 0.2, 0.4, 0.6, 0.8, 0.95) for d in (0.02, 0.1, 0.3)], 5
 CUT = 0.3
 _UPPER = tn.byte_set((65, 90))
 _ALPHA = tn.byte_set((65, 90), (97, 122), (128, 255))
@@ -85,9 +87,10 @@ class Discriminant:
     center: np.ndarray
     scale: np.ndarray
     means: np.ndarray
-    factors: np.ndarray  # inverses of the Cholesky factors
+    factors: np.ndarray  # Cholesky factors of the covariances
     offsets: np.ndarray  # log prior minus half the log determinant
     constant: float | None = None
+    shrinkage: tuple[float, float] | None = None
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         return self.posterior(statistics(data, off))
@@ -96,16 +99,25 @@ class Discriminant:
         if self.constant is not None:
             return np.full(len(x), self.constant)
         x = (x - self.center) / self.scale
-        log = [o - 0.5 * (((x - m) @ f.T) ** 2).sum(1) for m, f, o in zip(self.means, self.factors, self.offsets)]
+        log = [o - 0.5 * (solved(f, x - m) ** 2).sum(1) for m, f, o in zip(self.means, self.factors, self.offsets)]
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pooled: float = SHRINK_POOLED, diagonal: float = SHRINK_DIAGONAL) -> Discriminant:
+def solved(low: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows y with low @ y = x for a lower triangular matrix, by forward substitution over all rows of x."""
+    y = np.empty_like(x)
+    for k in range(len(low)):
+        y[:, k] = (x[:, k] - y[:, :k] @ low[k, :k]) / low[k, k]
+    return y
+
+
+def fit(x: np.ndarray, y: np.ndarray, shrinkage: tuple[float, float] | None = None) -> Discriminant:
     d = x.shape[1]
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     if n.min() < 2:
         none = np.zeros(0)
         return Discriminant(none, none, none, none, none, float(y.mean()) if len(y) else 0.5)
+    pooled, diagonal = shrinkage or best_shrinkage(x, y)
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     x = (x - center) / scale
     means = np.stack([x[y == k].mean(0) for k in (0, 1)])
@@ -116,9 +128,23 @@ def fit(x: np.ndarray, y: np.ndarray, pooled: float = SHRINK_POOLED, diagonal: f
         c = (1 - pooled) * within[k] + pooled * common
         c = (1 - diagonal) * c + diagonal * np.diag(np.diag(c)) + 1e-4 * np.eye(d)
         low = np.linalg.cholesky(c)
-        factors.append(np.linalg.inv(low))
+        factors.append(low)
         offsets.append(np.log(n[k] / n.sum()) - np.log(np.diag(low)).sum())
-    return Discriminant(center, scale, means, np.stack(factors), np.array(offsets))
+    return Discriminant(center, scale, means, np.stack(factors), np.array(offsets), shrinkage=(pooled, diagonal))
+
+
+def best_shrinkage(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Of GRID the shares with the greatest mean log likelihood of the labels of left-out rows; of equals the last. The sample's order is by hash, so its parts are random."""
+    part = np.arange(len(y)) % FOLDS
+    score = []
+    for shares in GRID:
+        total = 0.0
+        for k in range(FOLDS):
+            model, out = fit(x[part != k], y[part != k], shares), part == k
+            p = np.clip(model.posterior(x[out]), 1e-9, 1 - 1e-9)
+            total += np.log(np.where(y[out] == 1, p, 1 - p)).sum()
+        score.append((total, shares))
+    return max(score)[1]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", **bounds) -> Discriminant:
