@@ -3,8 +3,9 @@
 Templates become words; of their K-word hashes each window of W gives its least (the rightmost of equals), so any run
 of K + W - 1 words shared with a text shares a fingerprint. The inverted index from fingerprint to (template, place) is
 broadcast; its size is bounded by MAX_WORDS words of templates, which is checked. A text's fingerprints that the
-index holds are hits; hits of one template on near diagonals are a candidate, and a local alignment of the template
-with the text around it, within a band about those diagonals, reports matched words, coverage and span.
+index holds are hits; hits of one template on diagonals within BAND are a candidate, and a local alignment of the
+template with the text around it, in a band of 3 * BAND + 1 diagonals, reports matched words, coverage and span. The
+bands of a block are aligned together in numpy, so a text that repeats a phrase makes many bands, never a wide one.
 
 Winnowing may pass over copies with changed words, so pairs of words are looked up too, all of them: an alignment of
 two words or more that reaches the coverage has two neighbouring words matched. Each pair's diagonal whose band holds
@@ -33,7 +34,8 @@ from recurra.llm import textnum as tn
 from recurra.llm.scratch import small_batches
 
 K, W = 3, 3
-BAND = 8
+#: Diagonals on either side of a candidate's first (its hits lie within as many above), and cells of bands aligned together.
+BAND, CELLS = 8, 1 << 16
 MIN_COVERAGE = 0.7
 MAX_WORDS = 2_000_000
 
@@ -197,35 +199,35 @@ class Index:
         return np.repeat(place[on], n), self.template[post], self.place[post]
 
 
-def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int]:
-    """Best local alignment (match 1, mismatch and gap -1) with diagonals text - template in [low, high]: its score, matched words, and span [start, end) in the text."""
-    best = (0, 0, 0, 0)
-    width = high - low + 1
-    above: list[tuple[int, int, int]] = [(0, 0, 0)] * (width + 1)  # score, matches, start, by diagonal
-    t, x, n = template.tolist(), text.tolist(), len(text)
-    for i, word in enumerate(t):
-        row: list[tuple[int, int, int]] = [(0, 0, 0)] * (width + 1)
-        left = (0, 0, 0)
-        for d in range(width):
-            j = i + low + d
-            if not 0 <= j < n:
-                left = (0, 0, 0)
-                continue
-            s, m, a = above[d]
-            same = x[j] == word
-            cell = (s + 1, m + 1, a if s else j) if same else (s - 1, m, a)
-            s, m, a = above[d + 1]
-            if s - 1 > cell[0]:
-                cell = (s - 1, m, a)
-            if left[0] - 1 > cell[0]:
-                cell = (left[0] - 1, left[1], left[2])
-            if cell[0] <= 0:
-                cell = (0, 0, 0)
-            row[d] = left = cell
-            if cell[0] > best[0]:
-                best = (cell[0], cell[1], cell[2], j + 1)
-        above = row
-    return best
+def align(template: np.ndarray, words: np.ndarray, low: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best local alignments (match 1, mismatch and gap -1) of the template with words[first:last] on the `width` diagonals from `low` on (place in words - place in template), one for each element of low: scores, matched words, and spans [start, end). One row of the template at a time, all bands together."""
+    n = len(low)
+    d = np.arange(width)
+    s, m, a = (np.zeros((n, width + 1), np.int64) for _ in range(3))  # score, matches, start, by diagonal
+    best = [np.zeros(n, np.int64) for _ in range(4)]
+    rows = np.arange(n)
+    for i, word in enumerate(template):
+        j = low[:, None] + (i + d)
+        inside = (j >= first[:, None]) & (j < last[:, None])
+        same = inside & (words[np.where(inside, j, 0)] == word)
+        score, matches = s[:, :-1] + np.where(same, 1, -1), m[:, :-1] + same
+        start = np.where(same & (s[:, :-1] == 0), j, a[:, :-1])
+        down = s[:, 1:] - 1 > score
+        score, matches, start = np.where(down, s[:, 1:] - 1, score), np.where(down, m[:, 1:], matches), np.where(down, a[:, 1:], start)
+        # gaps along the row: each cell takes the greatest of those before it, less their distance; of equals the nearest
+        score = np.where(inside, score, -(2**40)) + d
+        top = np.maximum.accumulate(score, 1)
+        at = np.maximum.accumulate(np.where(score == top, d, 0), 1)
+        score = np.where(inside, top - d, 0)
+        on = score > 0
+        s[:, :-1] = np.where(on, score, 0)
+        m[:, :-1] = np.where(on, np.take_along_axis(matches, at, 1), 0)
+        a[:, :-1] = np.where(on, np.take_along_axis(start, at, 1), 0)
+        k = s[:, :-1].argmax(1)
+        more = s[rows, k] > best[0]
+        for old, new in zip(best, (s[rows, k], m[rows, k], a[rows, k], j[rows, k] + 1)):
+            old[more] = new[more]
+    return tuple(best)
 
 
 def near_of(n: int, band: int) -> int:
@@ -303,24 +305,26 @@ def scan(data: np.ndarray, off: np.ndarray, index: Index, band: int = BAND, min_
     word, template, place = index.hits(*winnow(w, index.k, index.width))
     doc, diagonal = w.doc[word], word - place
     order = np.lexsort((diagonal, template, doc))
-    word, template, place, doc, diagonal = (x[order] for x in (word, template, place, doc, diagonal))
-    out, i = [], 0
-    while i < len(word):
-        own, j = index.words[template[i]], i + 1
-        near = near_of(len(own), band)
-        while j < len(word) and doc[j] == doc[i] and template[j] == template[i] and diagonal[j] - diagonal[j - 1] <= near:
+    template, doc, diagonal = (x[order].tolist() for x in (template, doc, diagonal))
+    found: dict[int, set[tuple[int, int]]] = {}
+    i = 0
+    while i < len(doc):  # hits on diagonals not farther apart than `near` in all are one candidate
+        near, j = near_of(len(index.words[template[i]]), band), i + 1
+        while j < len(doc) and doc[j] == doc[i] and template[j] == template[i] and diagonal[j] - diagonal[i] <= near:
             j += 1
-        a = max(int(w.first[doc[i]]), int(diagonal[i]) - near)
-        z = min(int(w.first[doc[i] + 1]), int(diagonal[j - 1]) + near + len(own))
-        score, matched, start, end = align(own, w.hash[a:z], int(diagonal[i]) - near - a, int(diagonal[j - 1]) + near - a)
-        if matched:
-            out.append((int(doc[i]), int(template[i]), score, matched, int(w.start[a + start]), int(w.end[a + end - 1])))
+        found.setdefault(template[i], set()).add((doc[i], diagonal[i]))
         i = j
     for b, t, d in by_pairs(w, index, band, min_coverage):
+        found.setdefault(t, set()).add((b, d))
+    out = []
+    for t, places in sorted(found.items()):
         own, near = index.words[t], near_of(len(index.words[t]), band)
-        a, z = max(int(w.first[b]), d - near), min(int(w.first[b + 1]), d + near + len(own))
-        score, matched, start, end = align(own, w.hash[a:z], d - near - a, d + near - a)
-        out.append((b, t, score, matched, int(w.start[a + start]), int(w.end[a + end - 1])))
+        width = 3 * near + 1
+        b, d = np.array(sorted(places)).T
+        for i in range(0, len(b), max(1, CELLS // width)):
+            part = slice(i, i + max(1, CELLS // width))
+            got = align(own, w.hash, d[part] - near, w.first[b[part]], w.first[b[part] + 1], width)
+            out += [(int(k), t, int(s), int(m), int(w.start[x]), int(w.end[z - 1])) for k, s, m, x, z in zip(b[part], *got) if m]
     return apart(out)
 
 
