@@ -6,8 +6,10 @@ since none fits. The shard's suffix array (prefix doubling) gives the Burrows-Wh
 tree of bit ranks, and every SAMPLE-th text position of the suffix array. All test phrases are searched backwards at
 once; ranges that stay are located by walking to sampled positions, and their spans of words are merged per text.
 
-Benchmark items are read in blocks of about ITEM_BYTES bytes, each broadcast by itself (its size is checked by an
-aggregate first), so the benchmark may grow: every block is one more pass over the texts, without a shuffle.
+Benchmark items are cut into pieces of at most PIECE_WORDS windows (so one long item is many pieces), different pieces
+are dealt to blocks of about ITEM_BYTES bytes, and each block is broadcast by itself: about 20 times its bytes, checked
+against BLOCK_MEMORY when built. So the benchmark may grow: every block is one more search of each shard, without a
+shuffle, and a worker holds one block at a time.
 
 Defined results: null texts and items have no words, so nothing is found; an item without words has no phrase; an
 item without id is named by the empty string; repeated rows and items are each treated alike; an empty benchmark
@@ -16,7 +18,6 @@ leaves everything clean; columns beside text pass through `remove_spans` untouch
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from recurra.llm import textnum as tn
 from recurra.llm.scratch import small_batches
 
 SAMPLE = 16
-ITEM_BYTES = 8 << 20
+ITEM_BYTES, PIECE_WORDS, BLOCK_MEMORY = 1 << 20, 4096, 64 << 20
 SHARD = 2 << 20
 
 
@@ -129,7 +130,7 @@ class FmIndex:
             on = on[(length[on] > k) & (lo[on] < hi[on])]
             if not len(on):
                 break
-            c = phrases[on, length[on] - 1 - k]
+            c = phrases[on, length[on] - 1 - k].astype(np.int64)
             lo[on], hi[on] = self.before[c] + self.tree.rank(c, lo[on]), self.before[c] + self.tree.rank(c, hi[on])
         return lo, hi
 
@@ -160,7 +161,7 @@ class Phrases:
         at = np.flatnonzero(w.first[w.doc + 1] - np.arange(len(symbol)) >= window)
         start = np.concatenate([at, w.first[whole]])
         length = np.concatenate([np.full(len(at), window), count[whole]]).astype(np.int64)
-        table = np.zeros((len(start), window), np.int64)
+        table = np.zeros((len(start), window), np.int32)
         for k in range(window):
             has = length > k
             table[has, k] = symbol[start[has] + k]
@@ -170,7 +171,7 @@ class Phrases:
         names, item = np.unique(np.array(ids, dtype=object).astype(str), return_inverse=True) if ids else (np.zeros(0, str), np.zeros(0, np.int64))
         pair = np.unique(np.stack([phrase, item.ravel()[np.concatenate([w.doc[at], whole])]], 1), axis=0) if len(phrase) else np.zeros((0, 2), np.int64)
         self.names = names.tolist()
-        self.item, self.first_item = pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(self.table) + 1))
+        self.item, self.first_item = pair[:, 1].astype(np.int32), np.searchsorted(pair[:, 0], np.arange(len(self.table) + 1)).astype(np.int32)
         self.least = int(self.length.min()) if len(self.length) else 0
         bits = 18
         self.shift = np.uint64(64 - bits)
@@ -179,6 +180,10 @@ class Phrases:
         self.slot_key[slot], self.slot_id[slot] = self.vocabulary, np.arange(1, len(slot) + 1)
         self.crowded = np.bincount(slot, minlength=1 << bits) > 1
 
+    def size(self) -> int:
+        """Bytes of the arrays and names."""
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray)) + sum(map(len, self.names))
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 for a word that no item holds."""
         slot = (hashes >> self.shift).astype(np.int64)
@@ -235,15 +240,22 @@ def find(data: np.ndarray, off: np.ndarray, phrases: Phrases) -> tuple[tn.Words,
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """Broadcast Phrases, one for each block of items of about ITEM_BYTES."""
+    """Broadcast Phrases, one for each block of pieces of items of about ITEM_BYTES."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("")).alias("i"), benchmark[text_col].cast("string").alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = F.translate(benchmark[text_col].cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("")).alias("i"), F.regexp_extract_all(low, F.lit(word), F.lit(0)).alias("w")).where("size(w) > 0")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)), F.lit(PIECE_WORDS))
+    pieces = items.select("i", "w", F.explode(starts).alias("at")).select("i", F.array_join(F.slice("w", F.col("at"), F.lit(PIECE_WORDS + window - 1)), " ").alias("t")).distinct()
+    size = pieces.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
     n = max(1, -(-size // ITEM_BYTES))
     out = []
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
-        out.append(spark.sparkContext.broadcast(Phrases([r[0] for r in rows], [r[1] for r in rows], window)))
+        rows = pieces.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+        built = Phrases([r[0] for r in rows], [r[1] for r in rows], window)
+        if built.size() > BLOCK_MEMORY:
+            raise ValueError(f"a block of benchmark items takes {built.size()} bytes; at most {BLOCK_MEMORY} are broadcast: make ITEM_BYTES smaller")
+        out.append(spark.sparkContext.broadcast(built))
     return out
 
 
@@ -257,7 +269,7 @@ def _cover(data: pa.Array, phrases: list) -> Iterator[tuple[int, int, np.ndarray
             names = p.value.names
             for d, k in zip(doc.tolist(), item.tolist()):
                 items[d].append(names[k])
-            if len(phrases) > 2:  # a worker holds one block of items at a time
+            if len(phrases) > 2:  # Spark has no public way to let go of a value in a worker; without this one it would hold all blocks
                 p.__dict__.pop("_value", None)
         yield i, j, off, w, hit, items
 
