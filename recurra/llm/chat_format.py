@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 END, HEAD = "</turn>", "### "
+#: Turns of a block whose spans are made together.
+BLOCK = 256
 _TEXT = [("\\", "\\s"), ("</turn>", "\\t/turn>"), ("###", "\\h\\h\\h")]
 _BACK = [("\\h", "#"), ("\\t", "<"), ("\\c", ":"), ("\\s", "\\")]
 
@@ -61,14 +63,21 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     header = lambda i: F.when(new(i), F.char_length(F.get("t", i)["er"]) + len(HEAD) + 2 + F.when(i == 0, 0).otherwise(1)).otherwise(0)
     sizes = F.transform("t", lambda x, i: F.struct(header(i).cast("long").alias("skip"), F.char_length(x["et"]).cast("long").alias("take"), (x["role"] == loss_role).alias("loss")))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    c = c.select("conv_id", F.array_join(F.transform("starts", message), "\n").alias("formatted"), sizes.alias("sizes"))
+    # spans by blocks of turns, each from its own start, then moved: an array is never copied turn by turn for the whole conversation
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("pos"), none.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         a, z = acc["pos"] + x["skip"], acc["pos"] + x["skip"] + x["take"]
         return F.struct((z + len(END)).alias("pos"), F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct(a.alias("start"), z.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
 
-    c = c.select("conv_id", F.array_join(F.transform("starts", message), "\n").alias("formatted"), sizes.alias("sizes"))
-    return c.select("conv_id", "formatted", F.aggregate("sizes", start, step)["spans"].alias("loss_spans"))
+    first = F.sequence(F.lit(1), F.size("sizes"), F.lit(BLOCK))
+    c = c.select("conv_id", "formatted", F.transform(first, lambda k: F.aggregate(F.slice("sizes", k, F.lit(BLOCK)), start, step)).alias("blocks"))
+    at = F.aggregate("blocks", F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["pos"])))
+    c = c.select("conv_id", "formatted", "blocks", at.alias("at"))
+    moved = F.transform("blocks", lambda b, k: F.transform(b["spans"], lambda s: F.struct((s["start"] + F.get("at", k)).alias("start"), (s["end"] + F.get("at", k)).alias("end"))))
+    return c.select("conv_id", "formatted", F.flatten(moved).alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:
