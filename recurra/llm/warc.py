@@ -1,19 +1,21 @@
 """Not-modified revisits of a crawl, resolved to the response that they stand for.
 
 A revisit record (a 304 answer) has no body: it stands for the latest earlier full response (status 200) of the same
-canonical URL. The as-of join is two windows over time slices: within (URL, slice) the last full response before each
-record; between slices, one pre-aggregated row a slice passes its last full response on. So a URL that holds a large
-part of all records is dealt out by slices, and no window ever sees more than a slice's records or one row a slice.
-
-Validators decide whether the response may be used: entity tags by weak comparison where the revisit has one, else
-equal modification dates where both have one, else nothing speaks against it ("unchecked"). Merged headers are the
+canonical URL. The as-of join is a tree over time: of each (URL, second) the full response is kept, then level by level
+the last one before each child of a node, in windows of at most RADIX children, and what a node was given by its parent
+passes on to children without an earlier sibling. So a URL that holds a large part of all records, even of one day, is
+dealt out by nodes, and no window ever sees more than RADIX rows. Only ids and times climb the tree; headers and digests
+are joined once, by the id found. Records without a URL match nothing and take no part.
+
+Validators decide whether the response may be used: entity tags by weak comparison where both have one, else equal
+modification dates where both have one, else nothing speaks against it ("unchecked"). Merged headers are the
 response's, replaced by those of the revisit that a 304 answer may update (PERMITTED); the body and headers that
 describe it stay the response's.
 
 Defined results: one row for each revisit record. Null or missing URL, or no earlier full response: "unmatched";
 validators that differ: "mismatch" (refers_to names the response, nothing is merged); records of one time: a response
-counts as earlier only if its time is smaller, and of full responses of one time the greatest id is the latest;
-repeated rows are resolved each; an empty table gives an empty table; other columns are not read.
+counts as earlier only if its time is smaller, and of full responses of one time the greatest id is the latest; without a
+time: "unmatched"; repeated revisits are resolved each, of responses that share id and time the greatest digest counts; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recurra.llm.scratch import Scratch
+
 #: Headers that a 304 answer may update; those that describe the body aren't among them.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid|sid|sessionid)(=|$)"
-SLICE_SECONDS = 86_400
+#: Children of a node of the tree over seconds, and its levels below the root (whose children are 2,000 years long).
+RADIX, LEVELS = 4096, 4
 _SCHEME = "^(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
 
 
@@ -37,23 +42,42 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
-def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def as_of(times: DataFrame) -> DataFrame:
+    """(url_key, ts, found): the latest full response before each time; times(url_key, ts, full): the response kept for that second or null."""
+    node = lambda level: F.floor(F.col("ts") / RADIX**level)
+    latest = F.max("full")
+    levels = [times.groupBy("url_key", F.col("ts").alias("node")).agg(latest.alias("full"))]
+    for level in range(1, LEVELS):
+        levels.append(times.groupBy("url_key", node(level).alias("node")).agg(latest.alias("full")))
+    given = None
+    for below in reversed(levels):
+        up = F.lit(0).cast("long") if given is None else F.floor(F.col("node") / RADIX)
+        before = Window.partitionBy("url_key", "up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        here = below.withColumn("up", up).withColumn("found", F.last("full", ignorenulls=True).over(before))
+        if given is not None:
+            here = here.join(given, ["url_key", "up"], "left").withColumn("found", F.coalesce("found", "given"))
+        given = here.select("url_key", F.col("node").alias("up"), F.col("found").alias("given"))
+    return given.select("url_key", F.col("up").alias("ts"), F.col("given").alias("found"))
+
+
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """records: record_id long, kind ('response' or 'revisit'), status int, url string, ts long (seconds), headers
     map<string,string> (lower-case names), digest string, n_bytes long.
 
     Result: record_id, url_key, ts, outcome ('resolved', 'unmatched', 'mismatch'), validator ('etag', 'last-modified',
     'unchecked'), refers_to, headers (merged), digest, n_bytes.
     """
-    full = F.when((F.col("kind") == "response") & (F.col("status") == 200) & F.col("url_key").isNotNull(), F.struct("ts", "record_id", "headers", "digest", "n_bytes"))
-    r = records.select("record_id", "kind", "status", canonical_url(F.col("url")).alias("url_key"), "ts", "headers", "digest", "n_bytes")
-    r = r.withColumns({"full": full, "slice": F.floor(F.col("ts") / slice_seconds)}).where("full is not null or kind = 'revisit'")
-    r = r.select("record_id", "kind", "url_key", "ts", "slice", "full", F.when(F.col("kind") == "revisit", F.col("headers")).alias("own"))
-    here = Window.partitionBy("url_key", "slice").orderBy("ts", F.col("full").isNotNull(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    within = r.withColumn("found", F.last("full", ignorenulls=True).over(here)).where("kind = 'revisit'")
-    per_slice = r.where("url_key is not null").groupBy("url_key", "slice").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.struct("ts", "record_id"))).alias("full"))
-    before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select("url_key", "slice", F.last("full", ignorenulls=True).over(before).alias("carried"))
-    j = within.join(carried, ["url_key", "slice"], "left").withColumn("f", F.coalesce("found", F.when(F.col("url_key").isNotNull(), F.col("carried"))))
+    scratch = Scratch(records.sparkSession, "revisits")
+    full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    r = records.select("record_id", "kind", "status", canonical_url(F.col("url")).alias("url_key"), "ts", "headers", "digest", "n_bytes").withColumn("full", F.coalesce(full, F.lit(False)))
+    r = scratch.save(r.where("full or kind = 'revisit'").drop("status"))  # read three times below, and much smaller than the bodies
+    known = r.where("url_key is not null and ts is not null")
+    times = as_of(known.select("url_key", "ts", F.when(F.col("full"), F.struct("ts", "record_id")).alias("full")))
+    own = r.where("kind = 'revisit'").select("record_id", "url_key", "ts", F.col("headers").alias("own"))
+    found = own.join(times, ["url_key", "ts"], "left")
+    answers = r.where("full").select(F.struct("ts", "record_id").alias("found"), F.struct("record_id", "headers", "digest", "n_bytes").alias("f"))
+    answers = answers.groupBy("found").agg(F.max_by("f", F.struct(F.col("f.digest"), F.col("f.n_bytes"))).alias("f"))  # rows that share an id and time: one of them
+    j = found.join(answers, "found", "left")
 
     tag = lambda h: F.regexp_replace(h["etag"], "^W/", "")
     mine, theirs = F.col("own"), F.col("f.headers")
