@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from recurra.llm import chat_format, near_dup, warc
 from recurra.llm.scratch import Scratch
 from tests.llm.common import clashing, lower, odd_texts, prose, table
@@ -169,7 +171,20 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
-def test_revisits(spark):
+def test_a_chat_of_100_000_turns(spark):
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t\\"), F.col("id").cast("string")).alias("text"))
+    out = chat_format.format_chats(df)
+    got = out.select(F.size("loss_spans").alias("n"), F.sha2(chat_format.masked(out["formatted"], F.slice("loss_spans", 66_000, 5)), 256).alias("h")).first()
+    loss = [f"t\\{k}" for k in range(n) if k % 3]
+    assert got["n"] == len(loss) and got["h"] == hashlib.sha256("".join(loss[65_999:66_004]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("radix", [4096, 16])
+def test_revisits(spark, monkeypatch, radix):
+    monkeypatch.setattr(warc, "RADIX", radix)
     r = random.Random(14)
     rows = []
     for k in range(400):

@@ -167,6 +167,79 @@ def test_pii_field(spark):
     assert pii.find_pii(df.limit(0), field).count() == 0
 
 
+def test_pii_added_spans_on_held_out_forms():
+    """Forms that the base patterns don't know, with other words and numbers than the written examples: found; numbers of other kinds: left alone."""
+    field = pii.train_field(10 * pii.written())
+    r = random.Random(20)
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    around = lambda n: " ".join(r.choices("we met near the harbour and then left for dinner again before noon".split(), k=n))
+
+    def code(n):
+        return "".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", k=n - 4)) + digits(4)
+
+    forms = [
+        lambda: ("secret", ' api_key = "', code(r.randrange(18, 40)), '" '),
+        lambda: ("secret", " password: ", code(r.randrange(18, 30)), " "),
+        lambda: ("phone", r.choice([" call ", " tel "]), f"({digits(3)}) {digits(3)}-{digits(4)}", " "),
+        lambda: ("phone", r.choice([" fax ", " phone "]), f"{digits(3)}-{digits(3)}-{digits(4)}", " "),
+    ]
+    for form in forms:
+        right = 0
+        for _ in range(100):
+            kind, before, span, after = form()
+            head = around(5) + before
+            right += field.decode(head + span + after + around(4)) == [(kind, len(head), len(head) + len(span))]
+        assert right >= 90
+    other = [lambda: f"in {r.randrange(1900, 2030)} we sold {digits(3)} of {digits(5)}", lambda: f"version {digits(1)}.{digits(2)}.{digits(1)} at {digits(2)}:{digits(2)}", lambda: f"order {digits(9)} on {digits(1)}/{digits(2)}/2024", lambda: f"pages {digits(2)}-{digits(3)} and {digits(2)}.{digits(2)}"]
+    assert sum(bool(field.decode(f"{around(4)} {form()} {around(3)}")) for form in other for _ in range(100)) <= 8
+
+
+def test_pii_sample(spark):
+    """Equal texts count once, long texts give pieces, nulls and empty tables none."""
+    long = " ".join(f'token = "{k:040x}"' for k in range(2000))
+    df = clashing(table(spark, ["a 1"] * 500 + [None, "", long]))
+    seen = []
+    real, pii.train_field = pii.train_field, lambda examples: seen.append([x for x in examples if x not in pii.written()])
+    try:
+        pii.train(df, rows=20)
+        pii.train(df.limit(0))
+    finally:
+        pii.train_field = real
+    assert 15 <= len(seen[0]) <= 20 and len({t for t, _ in seen[0]}) == len(seen[0]) and seen[1] == []
+    assert sum(len(t) > 1000 and len(g) > 20 for t, g in seen[0]) > 10
+
+
+def test_labelled_sample_passes_over_a_text_that_does_not_fit(spark):
+    docs = table(spark, ["x" * 5000 if k % 7 == 0 else f"text {k}" for k in range(50)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    texts, y = labelled.sample(docs, labels, "toxic", max_bytes=4000)
+    import zlib
+
+    want = [k for k in range(50) if k % 7 and zlib.crc32(str(k).encode()) % 5]
+    assert sorted(texts.to_pylist()) == sorted(f"text {k}" for k in want) and len(y) == len(want)
+
+
+def test_quality_densities_by_formula():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    y = (r.random(400) < 0.4).astype(int)
+    x = r.normal(size=(400, 4)) @ r.normal(size=(4, 4)) + y[:, None]
+    m = quality_model.fit(x, y)
+    pooled, diagonal = m.shrinkage
+    z = (x - x.mean(0)) / x.std(0)
+    cov = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    common = ((y == 0).sum() * cov[0] + (y == 1).sum() * cov[1]) / len(y)
+    density = []
+    for k in (0, 1):
+        c = (1 - pooled) * cov[k] + pooled * common
+        c = (1 - diagonal) * c + diagonal * np.diag(np.diag(c)) + 1e-4 * np.eye(4)
+        v = z - z[y == k].mean(0)
+        density.append((y == k).mean() * np.exp(-0.5 * np.einsum("ij,jk,ik->i", v, np.linalg.inv(c), v)) / np.sqrt(np.linalg.det(c)))
+    assert np.allclose(m.posterior(x), density[1] / (density[0] + density[1]))
+    assert m.shrinkage in quality_model.GRID
+
+
 def test_bpe_matches_the_library(spark):
     import public_tokenizers as public
     import tiktoken
@@ -236,6 +309,9 @@ def test_license_scan(spark):
         scores = [s[2] for s in licenses.scan(data, off, index) if index.names[s[1]] == name]
         assert max(scores) == full_local(own.tolist(), words.tolist())
         assert isinstance(mine[0]["coverage"], float) and np.isclose(mine[0]["coverage"], mine[0]["n_matched"] / len(own))
+        shown = texts[i][mine[0]["start"] : mine[0]["end"]]
+        common = [v for v in licenses.TEMPLATES[name].split() if v in shown.split()]
+        assert mine[0]["coverage"] >= 0.9 * len(common) / len(licenses.TEMPLATES[name].split()) and len(shown.split()) <= 1.3 * len(licenses.TEMPLATES[name].split())
     assert sum(x["doc_id"] == len(want) + 1 and x["license"] == "mit-line" for x in rows) == 5
     assert not [x for x in rows if x["doc_id"] == len(want) or x["doc_id"] > len(want) + 1]
     assert licenses.license_matches(df.limit(0)).count() == 0
@@ -308,3 +384,31 @@ def test_label_model_learns_voters():
     m = toxicity.LabelModel(v, np.where(v[:, -1] == 1, 0.9, 0.1))
     assert ((m.posterior(v) > 0.5) == y).mean() > 0.97
     assert m.parent[4] == 1 or m.parent[1] == 4  # the copy depends on its source
+
+
+def test_label_model_posteriors_by_enumeration():
+    """The posterior of each row against both joint probabilities, written out; unlabelled rows have one too."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    y = r.random(500) < 0.4
+    v = np.stack([np.where(r.random(500) < 0.2, 0, np.where(np.where(r.random(500) < a, y, ~y), 1, 2)) for a in (0.9, 0.8, 0.7)], 1)
+    given = np.where(r.random(500) < 0.5, 0, np.where(y, 1, 2))
+    v = np.concatenate([v, given[:, None]], 1)
+    m = toxicity.LabelModel(v, np.where(given == 1, 0.9, np.where(given == 2, 0.1, 0.4)))
+    for row, p in zip(v[:60], m.posterior(v)[:60]):
+        joint = []
+        for label, prior in ((0, 1 - m.prior), (1, m.prior)):
+            for j, answer in enumerate(row):
+                prior *= m.tables[j, label, row[m.parent[j]] if m.parent[j] >= 0 else 0, answer]
+            joint.append(prior)
+        assert np.isclose(p, joint[1] / sum(joint))
+    assert ((m.posterior(v) > 0.5) == y)[given == 0].mean() > 0.85 and m.label_right.min() > 0.95
+
+
+def test_toxicity_patterns():
+    import pyarrow as pa
+
+    found = toxicity.patterns_found(pa.array(["you are a stupid thing", "du bist ein Trottel", "tu es minable", "eres un idiota", "GO AWAY NOW RIGHT THIS minute", "what???", "f**k it", "a calm sentence about you", ""]))
+    assert found.any(1).tolist() == [True] * 7 + [False] * 2
+    assert toxicity.seeds_found(pa.array(["Idiot and basura", "none"])).tolist() == [[1, 1, 1, 1], [0, 0, 0, 0]]
