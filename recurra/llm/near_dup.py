@@ -8,13 +8,13 @@
    pair is dropped if the posterior chance (uniform prior) that its similarity reaches the threshold, given the
    matches so far, is below MISS. What survives is verified on the full shingle sets, and links update components.
 3. Pivot rounds go on while they merge many components. What then remains are band buckets whose members lie in several
-   components, as a rule of texts that share a passage but not enough of it. Their members are dealt anew by a prefix
-   filter: of each set only the rarest shingles are keys, so many that two sets at the threshold must share one (any
-   order of shingles is exact, rarity makes small buckets). A shared passage is not among them, so hot band buckets fall
-   apart, at the cost of one row a shingle, without pairs. The new buckets have pivot rounds of their own.
-4. Prefix buckets that still hold several components (chains of links) are compared in cells bounded in rows and in
-   shingles: every member outside the bucket's largest component with all the others, signatures first, then the full
-   sets of those with a survivor. No pair leaves its cell; of a member's links to one component in a cell one leaves.
+   components, many of texts that share a passage but not enough of it. A set reaches the threshold with another only
+   if that share of its shingles is found elsewhere, so members without it are dropped: one row a shingle counts them,
+   exactly and without pairs. Pivot rounds follow on what is left.
+4. Buckets that still hold several components (chains of links, texts just below the threshold) are compared in cells
+   bounded in rows and in shingles: every member outside the bucket's largest component with all the others, signatures
+   first, then the full sets of those with a survivor. A pair is compared in the last of the bands that it shares
+   alone. No pair leaves its cell; of a member's links to one component in a cell one leaves.
 
 The chance to lose a pair at the threshold itself is (1 - 0.8**ROWS)**BANDS = 5e-8 in banding, and MISS in pruning.
 
@@ -48,7 +48,7 @@ _rng = np.random.Generator(np.random.PCG64(7))
 MULTIPLY = _rng.integers(0, 2**31, N_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 2**32, N_HASHES, dtype=np.uint32)
 #: Rows of a cell of the residual grid (members compared, and members that they are compared with), and shingles of either.
-GRID_SMALL, GRID_ALL, GRID_SHINGLES = 128, 256, 1 << 19
+GRID_SMALL, GRID_ALL, GRID_SHINGLES = 256, 1024, 1 << 19
 #: Bits of the largest Bloom filter (8 MB); more ids than an eighth of it go without one.
 BLOOM_BITS = 1 << 26
 
@@ -265,13 +265,8 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, sc
         return scratch.save(rows.mapInArrow(check, "a long, b long"))
 
 
-def prefixes(docs: DataFrame, members: DataFrame, shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
-    """buckets(doc_id, key): the keys of each text of members(doc_id), a written table, are its rarest shingles among them.
-
-    A set of n shingles reaches the threshold only with one that holds ceil(threshold * n) of them, so the two share one
-    of the first n - ceil(threshold * n) + 1 of each in any common order. Shingles that no other text has come first and
-    meet nobody; only the others are ordered, so a text without enough shared shingles has no key.
-    """
+def possible(docs: DataFrame, members: DataFrame, shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """Of members(doc_id), a written table, those of whose shingles at least the threshold's share is in another member too: sets of n shingles reach it only with one that holds ceil(threshold * n) of them."""
     percent = round(threshold * 100)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +281,9 @@ def prefixes(docs: DataFrame, members: DataFrame, shingle: int, threshold: float
     with only(docs, members, members.count()) as texts:
         own = scratch.save(texts.join(members, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, whole long, keys array<long>"))
     rows = own.select("doc_id", "whole", F.size("keys").cast("long").alias("n"), F.explode("keys").alias("key"))
-    often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(often, "key").groupBy("doc_id", "whole", "n").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("s"))
-    length = F.size("s") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    keys = shared.select("doc_id", "s", length.cast("int").alias("k")).where("k > 0").select("doc_id", F.explode(F.slice("s", 1, F.col("k"))).alias("x"))
-    out = scratch.save(keys.select("doc_id", F.col("x.key").alias("key")).distinct())
+    often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
+    shared = rows.join(often, "key").groupBy("doc_id", "whole", "n").agg(F.count("*").alias("k")).where(100 * F.col("k") >= percent * F.col("n"))
+    out = scratch.save(shared.select("doc_id").distinct())  # repeated rows count more than once, so more stay, never fewer
     scratch.drop(own)
     return out
 
@@ -335,23 +328,25 @@ def residual_links(standing: DataFrame, base: DataFrame, docs: DataFrame, least:
     weight = standing.join(base.groupBy("doc_id").agg(F.sum("n_shingles").alias("w")), "doc_id").groupBy("key").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("c") != F.col("big"), F.col("w"))).alias("w_out"))
     n_small = F.greatest(F.ceil((F.col("n") - F.col("n_big")) / GRID_SMALL), F.ceil(F.col("w_out") / GRID_SHINGLES))
     n_all = F.greatest(F.ceil(F.col("n") / GRID_ALL), F.ceil(F.col("w") / GRID_SHINGLES))
-    rows = standing.join(weight, "key").withColumns({"ns": n_small, "na": n_all, "x": F.xxhash64("doc_id")}).join(base.select("doc_id", "sig"), "doc_id")
+    rows = standing.join(weight, "key").withColumns({"ns": n_small, "na": n_all, "x": F.xxhash64("doc_id")}).join(base.select("doc_id", "sig", "bands"), "doc_id")
     cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    small = rows.where("c <> big").select("key", F.pmod("x", "ns").alias("i"), cells("na").alias("j"), F.lit(0).alias("role"), "doc_id", "c", "sig")
-    every = rows.select("key", cells("ns").alias("i"), F.pmod(F.hash("x"), "na").cast("long").alias("j"), F.lit(1).alias("role"), "doc_id", "c", "sig")
+    small = rows.where("c <> big").select("key", F.pmod("x", "ns").alias("i"), cells("na").alias("j"), F.lit(0).alias("role"), "doc_id", "c", "sig", "bands")
+    every = rows.select("key", cells("ns").alias("i"), F.pmod(F.hash("x"), "na").cast("long").alias("j"), F.lit(1).alias("role"), "doc_id", "c", "sig", "bands")
     percent = round(threshold * 100)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 3):
             role, c, sig = t.column("role").to_numpy(), t.column("c").to_numpy(), _matrix(t.column("sig").combine_chunks())
             theirs, live = np.flatnonzero(role == 1), np.zeros(len(role), bool)
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            later = bands[:, np.flatnonzero(bands[0] == t.column("key")[0].as_py())[0] + 1 :] if len(role) else bands
             for k in np.flatnonzero(role == 0):
-                other = theirs[c[theirs] != c[k]]
+                other = theirs[(c[theirs] != c[k]) & ~(later[theirs] == later[k]).any(1)]  # a pair that shares a later band meets there
                 at = other[surviving(np.broadcast_to(sig[k], (len(other), N_HASHES)), sig[other], least)]
                 live[at] = True
                 live[k] |= len(at) > 0
             if live.any():
-                yield from t.drop_columns("sig").filter(pa.array(live)).combine_chunks().to_batches()
+                yield from t.drop_columns(["sig", "bands"]).filter(pa.array(live)).combine_chunks().to_batches()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 3):
@@ -435,11 +430,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = linked(bands.where("doc_id <> p").select("p", F.col("doc_id").alias("u")).distinct())
     comp = components(links, scratch)
-    standing, links, comp = rounds(bands.where("n > 2 and doc_id <> p").select("key", "doc_id"), links, comp)
+    buckets = bands.where("n > 2 and doc_id <> p").select("key", "doc_id")
+    standing, links, comp = rounds(buckets, links, comp)
     if standing is not None:
         left = scratch.save(standing.select("doc_id").distinct())
         scratch.drop(standing)
-        standing, links, comp = rounds(prefixes(docs, left, shingle, threshold, scratch), links, comp)
+        standing, links, comp = rounds(scratch.save(buckets.join(possible(docs, left, shingle, threshold, scratch), "doc_id", "left_semi")), links, comp)
     if standing is not None:
         comp = components(links.unionByName(residual_links(standing, base, docs, least, shingle, threshold, scratch)), scratch)
 

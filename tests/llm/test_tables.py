@@ -74,52 +74,46 @@ def test_near_duplicates_odd_tables(spark):
 
 
 def test_residual_grid_finds_all_links(spark, monkeypatch):
-    """Cells much smaller than a bucket."""
+    """Cells much smaller than the buckets: one link at least for every linked pair that shares a band."""
     monkeypatch.setattr(near_dup, "GRID_SMALL", 4)
     monkeypatch.setattr(near_dup, "GRID_ALL", 8)
     from pyspark.sql import functions as F
 
     r = random.Random(12)
     base = prose(r, 80)
-    texts = [edited(r, base, 0.05) for _ in range(40)]
+    texts = [edited(r, base, 0.012) for _ in range(40)]
     docs = table(spark, texts).select("doc_id", "text")
-    base_table = near_dup.signatures(docs, 4).cache()
-    standing = docs.select(F.lit(1).cast("long").alias("key"), "doc_id", F.col("doc_id").alias("c"), F.lit(40).cast("long").alias("nc"), F.lit(0).cast("long").alias("big"), F.lit(40).cast("long").alias("n"), F.lit(1).cast("long").alias("n_big"))
-    links = near_dup.residual_links(standing, base_table, docs, near_dup.least_matches(0.8, 1e-6), 4, 0.8, Scratch(spark, "t"))
+    scratch = Scratch(spark, "t")
+    base_table = scratch.save(near_dup.signatures(docs, 4))
+    buckets = base_table.select("doc_id", F.explode("bands").alias("key"))
+    standing = near_dup._standing(buckets, docs.select(F.col("doc_id").alias("v"), F.col("doc_id").alias("c")))
+    links = near_dup.residual_links(standing, base_table, docs, near_dup.least_matches(0.8, 1e-6), 4, 0.8, scratch)
     got = {frozenset((x["a"], x["b"])) for x in links.collect()}
     sets = [shingle_set(t, 4) for t in texts]
     want = {frozenset((a, b)) for a in range(40) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert got == want
+    assert got == want and len(want) > 20
 
 
-def test_prefix_buckets_hold_every_link(spark):
-    """Texts that share a passage and their copies: all links share a key, most other pairs share none."""
+def test_members_that_can_link_stay(spark):
+    """Texts that share a passage, and copies: what has a link stays, what shares too little goes."""
     r = random.Random(21)
     passage = prose(r, 60)
     texts = [f"{passage} {prose(r, r.randrange(20, 80))}" for _ in range(40)]
     texts += [edited(r, t, 0.01) for t in texts[:12]] + ["a b c", "a b c"]
     docs = table(spark, texts).select("doc_id", "text")
     scratch = Scratch(spark, "t")
-    rows = near_dup.prefixes(docs, scratch.save(docs.select("doc_id")), 4, 0.8, scratch).collect()
-    keys = {}
-    for x in rows:
-        keys.setdefault(x["doc_id"], set()).add(x["key"])
+    left = {x["doc_id"] for x in near_dup.possible(docs, scratch.save(docs.select("doc_id")), 4, 0.8, scratch).collect()}
     sets = [shingle_set(t, 4) for t in texts]
-    meet = 0
-    for a in range(len(texts)):
-        for b in range(a):
-            share = bool(keys.get(a, set()) & keys.get(b, set()))
-            meet += share
-            assert share or 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b])
-    assert meet < 60
+    linked = {i for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for i in (a, b)}
+    assert linked <= left and len(left) < len(linked) + 8 and len(linked) > 20
 
 
-def test_near_duplicates_through_prefixes_and_cells(spark, monkeypatch):
-    """All the ways to a link, on texts that share a passage; few band buckets end after one pivot."""
+def test_near_duplicates_through_all_stages(spark, monkeypatch):
+    """Texts that share a passage, copies of some, and a chain of edits."""
     monkeypatch.setattr(near_dup, "GRID_SMALL", 4)
     monkeypatch.setattr(near_dup, "GRID_ALL", 8)
     called = []
-    for name in ("prefixes", "residual_links"):
+    for name in ("possible", "residual_links"):
         monkeypatch.setattr(near_dup, name, lambda *a, f=getattr(near_dup, name), n=name: (called.append(n), f(*a))[1])
     r = random.Random(22)
     passage = prose(r, 120)
@@ -130,7 +124,7 @@ def test_near_duplicates_through_prefixes_and_cells(spark, monkeypatch):
     texts += [edited(r, t, 0.01) for t in texts[:20]] + chain
     got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(table(spark, texts), shingle=4).collect()}
     assert got == {i: c for i, (_, c) in brute_components(list(range(len(texts))), texts, 4).items()}
-    assert "prefixes" in called
+    assert "possible" in called
 
 
 def test_near_duplicates_of_string_ids(spark):
