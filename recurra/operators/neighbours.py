@@ -1,7 +1,8 @@
 """Nearest windows of a series: self-joins with exclusion zones by row blocks, and the edges they give.
 
-A block is BLOCK windows of one dim (or of all dims together) against every window: its task receives the series as one
-array, and only k rows a window leave it; the quadratic matrix exists a block at a time.
+The windows of a dim (or of all dims together) are dealt to as many parts as the session has shuffle partitions, so a
+series is copied once a part, not once a block. A part's task receives the series as one array and compares its windows
+with every window block by block, each of at most kernels.CELLS distances; only k rows a window leave it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from recurra.functions import kernels
 
+#: Windows of a block at most, and of a part at least.
 BLOCK = 512
 
 
@@ -28,16 +30,33 @@ def stacked(sig: DataFrame) -> DataFrame:
     return packed(sig, "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("x"))
 
 
-def by_block(series: DataFrame, w: int, n: F.Column, block: int = BLOCK) -> DataFrame:
-    """series repeated for each block of its windows, dealt out to tasks."""
-    last = F.greatest(F.floor((n - w) / block), F.lit(0)).cast("int")
+def by_part(series: DataFrame, w: int, n: F.Column) -> DataFrame:
+    """series(keys..., x) repeated for each part of its windows [first, last), dealt out to tasks; n: length of a series."""
     keys = [c for c in series.columns if c != "x"]
-    return series.where(n >= w).withColumn("block", F.explode(F.sequence(F.lit(0), last))).repartition(*keys, "block")
+    most = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = (n - w + 1).cast("long")
+    parts = F.least(F.ceil(count / BLOCK), F.lit(most))
+    rows = series.where(n >= w).withColumns({"count": count, "parts": parts}).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    edge = lambda k: F.floor(k * F.col("count") / F.col("parts"))
+    return rows.select(*keys, "x", edge(F.col("part")).alias("first"), edge(F.col("part") + 1).alias("last")).repartition(*keys, "first")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows, x as an array of numbers or a list of such arrays, without Python numbers between."""
+    numbers = lambda v: v.cast(pa.float64()).to_numpy(zero_copy_only=False)
     for b in batches:
-        yield from b.to_pylist()
+        names = b.schema.names
+        for k in range(b.num_rows):
+            row = {c: b.column(i)[k] for i, c in enumerate(names)}
+            x = row.pop("x").values
+            yield {c: v.as_py() for c, v in row.items()} | {"x": [numbers(y.values) for y in x] if pa.types.is_list(x.type) else numbers(x)}
+
+
+def blocks(r: dict, m: int, dims: int = 1) -> Iterator[tuple[int, int]]:
+    """The part's windows, so many at a time that their distances to m windows in all dims are kernels.CELLS numbers at most (or one window's)."""
+    step = max(1, min(BLOCK, kernels.CELLS // (m * dims)))
+    for a in range(r["first"], r["last"], step):
+        yield a, min(a + step, r["last"])
 
 
 def knn(sig: DataFrame, w: int, k: int = 1, metric: str = "detrended", zone: int | None = None, digits: int | None = 6) -> DataFrame:
@@ -45,39 +64,41 @@ def knn(sig: DataFrame, w: int, k: int = 1, metric: str = "detrended", zone: int
     zone = w if zone is None else zone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            s = kernels.Series(np.array(r["x"], float), w)
-            a = r["block"] * BLOCK
-            z = min(a + BLOCK, len(s.windows))
-            d = np.sqrt(kernels.squared(s, a, z, metric))
-            i, rank, j, best = kernels.nearest(d if digits is None else np.round(d, digits), a, zone, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r["dim"], np.int32)), pa.array(i), pa.array(rank.astype(np.int32)), pa.array(j), pa.array(best)], ["dim", "i", "rank", "j", "d"])
+        for r in rows_of(batches):
+            s = kernels.Series(r["x"], w)
+            for a, z in blocks(r, len(s.windows)):
+                d = np.sqrt(kernels.squared(s, a, z, metric))
+                i, rank, j, best = kernels.nearest(d if digits is None else np.round(d, digits), a, zone, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r["dim"], np.int32)), pa.array(i), pa.array(rank.astype(np.int32)), pa.array(j), pa.array(best)], ["dim", "i", "rank", "j", "d"])
 
-    return by_block(packed(sig, "dim"), w, F.size("x")).select("dim", "x", "block").mapInArrow(run, "dim int, i long, rank int, j long, d double")
+    return by_part(packed(sig, "dim"), w, F.size("x")).mapInArrow(run, "dim int, i long, rank int, j long, d double")
 
 
 def closest_pairs(sig: DataFrame, w: int, metric: str, top: int, multi: bool = False, digits: int = 6) -> DataFrame:
-    """The `top` pairs (dim, i, j, d) of windows w or more apart, by (d, dim, i, j); multi: one distance over all dims, the root of the mean of the dims' squares. Each block keeps its own `top`."""
+    """The `top` pairs (dim, i, j, d) of windows w or more apart, by (d, dim, i, j); multi: one distance over all dims, the root of the mean of the dims' squares. Each part keeps its own `top`."""
 
-    def best(d: np.ndarray, a: int, dim: int) -> tuple[np.ndarray, ...]:
+    def best(d: np.ndarray, a: int) -> tuple[np.ndarray, ...]:
         d = np.round(np.sqrt(d), digits)
         d[np.arange(d.shape[1]) - (a + np.arange(len(d)))[:, None] < w] = np.nan
         kth = np.sort(np.partition(d.ravel(), min(top, d.size) - 1)[:top])  # NaN come last
         kth = kth[~np.isnan(kth)]
         i, j = np.nonzero(d <= kth[-1]) if len(kth) else (np.zeros(0, int), np.zeros(0, int))
         order = np.lexsort((j, i, d[i, j]))[:top]
-        return np.full(len(order), dim, np.int32), i[order] + a, j[order], d[i[order], j[order]]
+        return d[i[order], j[order]], i[order] + a, j[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            parts = [kernels.Series(np.array(x, float), w) for x in (r["x"] if multi else [r["x"]])]
-            a = r["block"] * BLOCK
-            z = min(a + BLOCK, len(parts[0].windows))
-            d = sum(kernels.squared(s, a, z, metric) for s in parts) / len(parts)
-            dim, i, j, v = best(d, a, -1 if multi else r["dim"])
-            yield pa.RecordBatch.from_arrays([pa.array(dim), pa.array(i), pa.array(j), pa.array(v)], ["dim", "i", "j", "d"])
-
-    series = by_block(stacked(sig), w, F.size(F.col("x")[0])).select("x", "block") if multi else by_block(packed(sig, "dim"), w, F.size("x")).select("dim", "x", "block")
+        for r in rows_of(batches):
+            parts = [kernels.Series(x, w) for x in (r["x"] if multi else [r["x"]])]
+            kept = [np.zeros(0), np.zeros(0, int), np.zeros(0, int)]
+            for a, z in blocks(r, len(parts[0].windows), len(parts)):
+                new = best(sum(kernels.squared(s, a, z, metric) for s in parts) / len(parts), a)
+                kept = [np.concatenate(c) for c in zip(kept, new)]
+                order = np.lexsort((kept[2], kept[1], kept[0]))[:top]
+                kept = [c[order] for c in kept]
+            v, i, j = kept
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), -1 if multi else r["dim"], np.int32)), pa.array(i), pa.array(j), pa.array(v)], ["dim", "i", "j", "d"])
+
+    series = by_part(stacked(sig), w, F.size(F.col("x")[0])) if multi else by_part(packed(sig, "dim"), w, F.size("x"))
     return series.mapInArrow(run, "dim int, i long, j long, d double").orderBy("d", "dim", "i", "j").limit(top)
 
 
@@ -86,25 +107,27 @@ def per_pair(sig: DataFrame, w: int, metric: str, make: Callable[[np.ndarray, in
     names = [x.strip().split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            parts = [kernels.Series(np.array(x, float), w) for x in r["x"]]
-            a = r["block"] * BLOCK
-            z = min(a + BLOCK, len(parts[0].windows))
-            got = make(np.stack([np.sqrt(kernels.squared(s, a, z, metric)) for s in parts]), a)
-            yield pa.RecordBatch.from_arrays([pa.array(got[n]) for n in names], names)
+        for r in rows_of(batches):
+            parts = [kernels.Series(x, w) for x in r["x"]]
+            for a, z in blocks(r, len(parts[0].windows), len(parts)):
+                got = make(np.stack([np.sqrt(kernels.squared(s, a, z, metric)) for s in parts]), a)
+                yield pa.RecordBatch.from_arrays([pa.array(got[n]) for n in names], names)
 
-    return by_block(stacked(sig), w, F.size(F.col("x")[0])).select("x", "block").mapInArrow(run, schema)
+    return by_part(stacked(sig), w, F.size(F.col("x")[0])).mapInArrow(run, schema)
 
 
-def filtration(neighbours: DataFrame, drop_first: bool = False) -> DataFrame:
-    """edges(dim, u, v, w, kind): neighbour edges once for each unordered pair, and edges between consecutive windows weighing the greater of their nearest distances. drop_first leaves out the first neighbour edge of each dim in order of (u, v)."""
+def filtration(neighbours: DataFrame, drop_first: bool = False, time_edges: bool = True) -> DataFrame:
+    """edges(dim, u, v, w, kind): neighbour edges once for each unordered pair, and (time_edges) edges between consecutive windows weighing the greater of their nearest distances. drop_first leaves out the first neighbour edge of each dim in order of (u, v)."""
     from pyspark.sql import Window
 
     near = neighbours.select("dim", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.col("d").alias("w")).groupBy("dim", "u", "v").agg(F.min("w").alias("w"))
     if drop_first:
         first = near.groupBy("dim").agg(F.min(F.struct("u", "v")).alias("first"))
         near = near.join(F.broadcast(first), "dim").where(F.struct("u", "v") != F.col("first")).drop("first")  # one row a dim
+    near = near.withColumn("kind", F.lit("near"))
+    if not time_edges:
+        return near
     nn = neighbours.where("rank = 0").select("dim", F.col("i").alias("u"), F.col("d"))
     step = Window.partitionBy("dim").orderBy("u")
     time = nn.select("dim", "u", F.lead("u").over(step).alias("v"), F.greatest("d", F.lead("d").over(step)).alias("w")).where("v = u + 1")
-    return near.withColumn("kind", F.lit("near")).unionByName(time.withColumn("kind", F.lit("time")))
+    return near.unionByName(time.withColumn("kind", F.lit("time")))
