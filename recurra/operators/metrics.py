@@ -93,22 +93,61 @@ def event_prf(real: list[Interval], pred: list[Interval], threshold: float) -> t
     return precision, recall, 2 * precision * recall / (precision + recall) if precision + recall else 0.0
 
 
-def event_score(real: list[tuple[list[Interval], set[int]]], pred: list[tuple[list[Interval], set[int]]], threshold: float, weighted: bool = False, dims: bool = False) -> tuple[float, float, float]:
-    """Mean event precision, recall, F1 over motifs (events, dims) paired by common samples, times the Jaccard index of dims if `dims`. Unpaired motifs count 0; weighted by number of real events."""
-    samples = [[{t for a, z in ev for t in range(a, z + 1)} for ev, _ in side] for side in (real, pred)]
-    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
-    w = np.array([[len(x & y) * (jac(real[i][1], pred[j][1]) if dims else 1) for j, y in enumerate(samples[1])] for i, x in enumerate(samples[0])]).reshape(len(real), len(pred))
-    paired = {i: j for i, j in assignment(w)}
-    n = max(len(real), len(pred))
-    if not n:
-        return 0.0, 0.0, 0.0
-    total = sum(len(ev) for ev, _ in real)
+def averaged(pairs: list[tuple[int, float, float]], sizes: list[float], weighted: bool = False) -> tuple[float, float, float]:
+    """Precision, recall and F1 of (real, precision, recall) pairs averaged over the real motifs: alike (1/N each, paired or not), or by their sizes."""
+    total = sum(sizes)
+    w = [(x / total if total else 0.0) if weighted else 1 / len(sizes) for x in sizes]
     out = np.zeros(3)
-    for i, j in paired.items():
-        out += np.array(event_prf(real[i][0], pred[j][0], threshold)) * (len(real[i][0]) / total if weighted and total else 1 / n)
+    for i, p, r in pairs:
+        out += w[i] * np.array([p, r, 2 * p * r / (p + r) if p + r else 0.0])
     return tuple(float(x) for x in out)
 
 
+def sample_score(overlap: np.ndarray, real: list[int], pred: list[int], weighted: bool = False) -> tuple[float, float, float]:
+    """Mean sample precision, recall, F1 over real labels, paired by greatest overlap; real, pred: samples of each label. weighted: by number of real samples."""
+    return averaged([(i, overlap[i, j] / pred[j] if pred[j] else 0.0, overlap[i, j] / real[i] if real[i] else 0.0) for i, j in assignment(overlap)], real, weighted) if len(real) else (0.0, 0.0, 0.0)
+
+
+def event_score(real: list[tuple[list[Interval], set[int]]], pred: list[tuple[list[Interval], set[int]]], threshold: float | list[float], weighted: bool = False, dims: bool = False) -> tuple:
+    """Mean event precision, recall, F1 over real motifs (events, dims), each paired with a predicted one by common samples (times the Jaccard index of dims if `dims`). Real motifs without a pair count 0, predicted ones don't count; weighted by number of real events. dims: precision, recall, F1 of dims too. A list of thresholds gives a list of such results."""
+    if isinstance(threshold, (list, tuple, np.ndarray)):
+        return [event_score(real, pred, float(t), weighted, dims) for t in threshold]
+    if not real or not pred:
+        return (0.0,) * (6 if dims else 3)
+    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    w = np.array([[_shared(x, y) * (jac(c, d) if dims else 1) for y, d in pred] for x, c in real])
+    pairs, sizes = assignment(w), [len(ev) for ev, _ in real]
+    out = averaged([(i, *event_prf(real[i][0], pred[j][0], threshold)[:2]) for i, j in pairs], sizes, weighted)
+    if dims:
+        part = lambda a, b: len(a & b) / len(b) if b else 0.0
+        out += averaged([(i, part(real[i][1], pred[j][1]), part(pred[j][1], real[i][1])) for i, j in pairs], sizes, weighted)
+    return out
+
+
+def _shared(a: list[Interval], b: list[Interval]) -> int:
+    """Common samples of two lists of disjoint intervals, in one walk over both."""
+    a, b, i, j, n = sorted(a), sorted(b), 0, 0, 0
+    while i < len(a) and j < len(b):
+        n += _common(a[i], b[j])
+        if a[i][1] < b[j][1]:
+            i += 1
+        else:
+            j += 1
+    return n
+
+
+def multivariate_overlap(a: dict[int, Interval], b: dict[int, Interval]) -> float:
+    """The least intersection over hull of two occurrences (dim: start, end exclusive) over their dims; a dim that one lacks has 0."""
+    if not a or a.keys() != b.keys():
+        return 0.0
+    return min(max(0, min(a[d][1], b[d][1]) - max(a[d][0], b[d][0])) / (max(a[d][1], b[d][1]) - min(a[d][0], b[d][0])) for d in a)
+
+
+def subspaces_overlap(a: set[int], b: set[int], threshold: float) -> bool:
+    """Whether the Jaccard index of two sets of dims reaches the threshold."""
+    return bool(a | b) and len(a & b) >= threshold * len(a | b)
+
+
 def best_matches(overlaps: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(gt, occ, disc): every ground-truth occurrence's discovered set of greatest rate, if above the threshold; of equals the smallest. overlaps(gt, occ, disc, rate)."""
     best = overlaps.where(F.col("rate") > threshold).groupBy("gt", "occ").agg(F.max_by("disc", F.struct("rate", (-F.col("disc")).alias("d"))).alias("disc"))
@@ -116,7 +155,7 @@ def best_matches(overlaps: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def set_scores(matrix: np.ndarray, missed: np.ndarray, spurious: np.ndarray, off_target: bool = False) -> dict[str, float]:
-    """Micro and macro precision, recall, F1 of a matching matrix (ground truth x discovered) with unmatched margins, after the assignment of greatest diagonal."""
+    """Micro and macro precision, recall, F1 of a matching matrix (ground truth x discovered) with unmatched margins, after the assignment of greatest diagonal. off_target: discovered sets without a partner count as wrong. Means are over the paired sets (precision), the real ones (recall, and F1 where fewer are discovered)."""
     g, d = matrix.shape
     pairs = assignment(matrix)
     hit = sum(matrix[i, j] for i, j in pairs)
@@ -129,8 +168,10 @@ def set_scores(matrix: np.ndarray, missed: np.ndarray, spurious: np.ndarray, off
         pi = matrix[i, j] / (matrix[:, j].sum() + spurious[j]) if matrix[:, j].sum() + spurious[j] else 0.0
         ri = matrix[i, j] / (matrix[i].sum() + missed[i]) if matrix[i].sum() + missed[i] else 0.0
         each.append((pi, ri, 2 * pi * ri / (pi + ri) if pi + ri else 0.0))
-    n = max(g, d) if off_target else g
-    macro = np.array(each).sum(0) / n if each and n else np.zeros(3)
+    mine, m = np.array(each).reshape(-1, 3).sum(0), min(g, d)
+    found_sets = d if off_target else m
+    over = (found_sets, g, found_sets if d >= g else g)
+    macro = [float(x / n) if n else 0.0 for x, n in zip(mine, over)]
     return {"micro_precision": p, "micro_recall": r, "micro_f1": 2 * p * r / (p + r) if p + r else 0.0, "macro_precision": macro[0], "macro_recall": macro[1], "macro_f1": macro[2]}
 
 
