@@ -52,8 +52,9 @@ def match(a: MotifSet, b: MotifSet, delta: float, complete: bool = False) -> tup
 
 
 def merge(left: list[MotifSet], right: list[MotifSet], delta: float, complete: bool = False, keep_right: bool = True) -> list[MotifSet]:
-    """Pairwise joins of two lists; a join of two occurrences or more is a set of its own, rests of one or none vanish."""
+    """Pairwise joins of two lists; a join of two occurrences or more is a set of its own, what it leaves of one or none vanishes, sets that joined nothing stay."""
     out: list[MotifSet] = []
+    kept: list[MotifSet] = []
     rests = list(right)
     for a in left:
         for k, b in enumerate(rests):
@@ -64,24 +65,34 @@ def merge(left: list[MotifSet], right: list[MotifSet], delta: float, complete: b
             joined, a_rest, b_rest = match(a, b, delta, complete)
             if len(joined.occurrences) >= 2:
                 out.append(joined)
-                a, rests[k] = a_rest, b_rest
-        if len(a.occurrences) > 1:
-            out.append(a)
-    return out + [b for b in rests if keep_right and len(b.occurrences) > 1]
-
-
-def plan(n_dims: int, include: list[int] = (), exclude: list[int] = (), together: list[list[int]] = ()) -> list[list[int]]:
-    """Groups of dims to search, in order: the included jointly first, then those that must occur together, then single dims except excluded and grouped ones."""
+                a, rests[k] = (x if len(x.occurrences) > 1 else MotifSet() for x in (a_rest, b_rest))
+        kept.append(a)
+    return out + [x for x in kept if x.occurrences] + [b for b in rests if keep_right and b.occurrences]
+
+
+def plan(n_dims: int, include: list[int | str] = (), exclude: list[int | str] = (), together: list[list[int | str]] = (), names: list[str] | None = None) -> list[list[int]]:
+    """Groups of dims to search, in order: the included jointly first, then those that must occur together, then single dims except excluded and grouped ones (the included ones too, so that what is left of them can join). Dims by number, or all of a constraint by name where names are given."""
+
+    def numbers(dims: list[int | str]) -> list[int]:
+        if all(isinstance(d, str) for d in dims) and dims:
+            if unknown := [d for d in dims if d not in (names or ())]:
+                raise ValueError(f"no dim is named {', '.join(unknown)}")
+            return [names.index(d) for d in dims]
+        if not all(isinstance(d, int) for d in dims):
+            raise ValueError(f"dims of one constraint are all numbers or all names: {dims}")
+        if dims and not 0 <= min(dims) <= max(dims) < n_dims:
+            raise ValueError(f"dims are numbered from 0 to {n_dims - 1}: {dims}")
+        return list(dims)
+
+    include, exclude, together = numbers(include), numbers(exclude), [numbers(g) for g in together]
     grouped = {d for g in together for d in g}
-    out = [list(include)] if len(include) > 1 else []
-    out += [list(g) for g in together]
-    return out + [[d] for d in range(n_dims) if d not in grouped and d not in exclude]
+    return ([include] if include else []) + together + [[d] for d in range(n_dims) if d not in grouped and d not in exclude]
 
 
-def apply(groups: list[list[int]], discover: Callable[[list[int]], list[MotifSet]], delta: float, complete: bool = False, include: list[int] = (), least_dims: int = 1) -> list[MotifSet]:
-    """Discovers motif sets per group of dims and folds the lists from left to right; sets with all included dims and enough dims stay."""
+def apply(groups: list[list[int]], discover: Callable[[list[int]], list[MotifSet]], delta: float, complete: bool = False, included: bool = False, least_dims: int = 1) -> list[MotifSet]:
+    """Discovers motif sets per group of dims and folds the lists from left to right; sets with enough dims stay. included: the first group must be in every set, so sets of later groups only join."""
     found = [[s for s in discover(g) if s.occurrences] for g in groups]
     out = found[0] if found else []
     for more in found[1:]:
-        out = merge(out, more, delta, complete, keep_right=not include)
-    return [s for s in out if set(include) <= set(s.dims) and len(s.dims) >= least_dims]
+        out = merge(out, more, delta, complete, keep_right=not included)
+    return [s for s in out if len(s.dims) >= least_dims]
