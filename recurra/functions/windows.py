@@ -30,7 +30,10 @@ def statistics(w: int, *keys: str) -> dict[str, Column]:
     """Expressions by name, over windows of w samples that begin at each row."""
     o = frame(w, *keys)
     spread = (w * w - 1) / 12
-    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
+    finite = F.coalesce(~F.isnan("v") & (F.abs("v") < float("inf")), F.lit(False))
+    number = F.when(~F.isnan("v"), F.col("v"))  # neither null nor NaN
+    sound = F.when(finite, F.col("v"))
+    whole = F.bool_and(finite).over(o)
     return {
         "mean": F.avg("v").over(o),
         "std": F.stddev_pop("v").over(o),
@@ -40,8 +43,15 @@ def statistics(w: int, *keys: str) -> dict[str, Column]:
         "low": F.min("v").over(o),
         "high": F.max("v").over(o),
         "finite": F.bool_and(finite).over(o),
-        "constant": (F.max("v").over(o) == F.min("v").over(o)) & F.bool_and(finite).over(o),
+        "constant": F.coalesce((F.max("v").over(o) == F.min("v").over(o)) & whole, F.lit(False)),
         "x": F.collect_list("v").over(o),
+        # over what is left without missing samples; of one with infinite ones no deviation
+        "nan_std": F.when(F.max(F.abs(number)).over(o) < float("inf"), F.stddev_pop(sound).over(o)),
+        "nan_low": F.min(number).over(o),
+        "nan_high": F.max(number).over(o),
+        # of windows with any unsound sample: mean infinite, deviation 0, so that their distance is that of a constant one
+        "valid_mean": F.when(whole, F.avg(sound).over(o)).otherwise(float("inf")),
+        "valid_std": F.when(whole, F.stddev_pop(sound).over(o)).otherwise(0.0),
     }
 
 

@@ -6,6 +6,7 @@ equi-join on positions; reachability by squaring the closure until it stops grow
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -24,10 +25,10 @@ def closure(edges: DataFrame) -> DataFrame:
     """reach(src, dst) over one edge or more, by squaring; each round cuts the lineage with a checkpoint."""
     sc = edges.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
         shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="recurra-"))  # the session's folder; a local one only where none is set, as in tests
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="recurra-"))  # a fresh folder only where all runs in one local process, as in tests
     reach, n = edges.select("src", "dst").distinct().checkpoint(), -1
     while (m := reach.count()) != n:
         n = m

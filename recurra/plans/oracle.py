@@ -22,6 +22,12 @@ def win(w: int) -> str:
  FROM sig WINDOW o AS (PARTITION BY dim ORDER BY t ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) QUALIFY n = {w})"""
 
 
+HOLES = """hole AS (SELECT dim, t, CASE WHEN k < 9 THEN 5.0 WHEN k = 40 THEN NULL WHEN k = 60 THEN 'nan'::DOUBLE WHEN k = 80 THEN CASE WHEN dim = 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END ELSE v END AS v
+  FROM (SELECT *, (t + 37 * dim) % 101 AS k FROM sig))"""
+HOLE_WIN = """hw AS (SELECT * FROM (SELECT dim, t AS i, count(*) OVER o AS n, count(s) OVER o AS n_sound, count(f) OVER o AS n_number, avg(s) OVER o AS mean, stddev_pop(s) OVER o AS sd, min(f) OVER o AS low, max(f) OVER o AS high
+  FROM (SELECT *, CASE WHEN NOT isnan(v) THEN v END AS f, CASE WHEN isfinite(v) THEN v END AS s FROM hole) WINDOW o AS (PARTITION BY dim ORDER BY t ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)) WHERE n = 7)"""
+
+
 def dist(metric: str, w: int, a: str = "a", b: str = "b") -> str:
     """Squared distance of windows a and b; NULL where one is degenerate."""
     q = f"list_dot_product({a}.x, {b}.x)"
@@ -89,7 +95,9 @@ ORACLE: dict[str, str] = {
     "win_slope_resid": f"WITH {EV}, {win(24)} SELECT CAST(dim AS INTEGER) AS dim, i, round(slope, 6) AS slope, round(eta, 4) AS eta FROM win",
     "win_energy": f"WITH {EV}, {win(24)} SELECT CAST(dim AS INTEGER) AS dim, i, round(energy, 4) AS energy FROM win",
     "win_minmax": f"WITH {LI}, {win(28)} SELECT CAST(dim AS INTEGER) AS dim, i, low, high FROM win",
-    "win_constant": f"WITH {LI}, {win(7)} SELECT CAST(dim AS INTEGER) AS dim, i, low = high AS constant, true AS finite FROM win",
+    "win_constant": f"WITH {LI}, {HOLES}, {HOLE_WIN} SELECT CAST(dim AS INTEGER) AS dim, i, n_sound = 7 AND low = high AS constant, n_sound = 7 AS finite FROM hw",
+    "win_nan_rules": f"""WITH {LI}, {HOLES}, {HOLE_WIN} SELECT CAST(dim AS INTEGER) AS dim, i, round(CASE WHEN n_number = n_sound AND n_sound > 0 THEN sd END, 3) AS nan_std, low AS nan_low, high AS nan_high,
+round(CASE WHEN n_sound = 7 THEN mean ELSE 'inf'::DOUBLE END, 3) AS valid_mean, round(CASE WHEN n_sound = 7 THEN sd ELSE 0 END, 3) AS valid_std FROM hw""",
     "znorm_signal": f"WITH {EMB} SELECT CAST(dim AS INTEGER) AS dim, t, round((v - avg(v) OVER (PARTITION BY dim)) / stddev_pop(v) OVER (PARTITION BY dim), 6) AS v FROM sig",
     "znorm_windows": f"WITH {OW}, {win(8)} SELECT CAST(dim AS INTEGER) AS dim, i, round(list_sum(list_transform(x, lambda e: abs((e - mean) / CASE WHEN sd < 1e-7 THEN 1 ELSE sd END))), 5) AS weight FROM win",
     "block_max_downsample": f"WITH {LI} SELECT CAST(dim AS INTEGER) AS dim, t // 28 AS t, max(v) AS v FROM sig GROUP BY ALL",
@@ -105,7 +113,7 @@ ORACLE: dict[str, str] = {
     "dist_mv_raw": top_pairs("raw", 8, True),
     "query_profile": f"WITH {EMB}, {win(16)}, q AS (SELECT * FROM win WHERE i = 100) SELECT CAST(b.dim AS INTEGER) AS dim, b.i, round(sqrt(CASE WHEN a.sd < 1e-7 AND b.sd < 1e-7 THEN 0 WHEN a.sd < 1e-7 OR b.sd < 1e-7 THEN 16 ELSE greatest(0, 32 * (1 - (list_dot_product(a.x, b.x) - 16 * a.mean * b.mean) / (16 * a.sd * b.sd))) END), 4) AS d FROM win b JOIN q a USING (dim)",
     "query_profile_pnorm": f"WITH {EMB}, {win(16)}, q AS (SELECT * FROM win WHERE i = 100) SELECT CAST(b.dim AS INTEGER) AS dim, b.i, round(list_sum(list_transform(list_zip(a.x, b.x), lambda e: abs(e[1] - e[2]) ** 3)) ** (1 / 3.0), 5) AS d FROM win b JOIN q a USING (dim)",
-    "query_match": f"""WITH {EMB}, {win(16)}, q AS (SELECT * FROM win WHERE i = 100),
+    "query_match": f"""WITH {EV.replace("sig AS (", "hour AS (")}, sig AS (SELECT dim, t // 3 AS t, max(v) AS v FROM hour GROUP BY ALL), {win(16)}, q AS (SELECT * FROM win WHERE i = 100),
 p AS (SELECT b.i, round(avg(sqrt(greatest(0, 32 * (1 - (list_dot_product(a.x, b.x) - 16 * a.mean * b.mean) / (16 * a.sd * b.sd))))), 4) AS d FROM win b JOIN q a USING (dim) GROUP BY b.i),
 r AS (SELECT greatest(avg(d) - 2 * stddev_pop(d), min(d)) AS r FROM p),
 g AS (SELECT list_reduce(list_sort(list({{'d': d, 'i': i}})), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.i - y.i) <= 4)) = 0 THEN list_append(acc, y) ELSE acc END, CAST([] AS STRUCT(d DOUBLE, i BIGINT)[])) AS k FROM p, r WHERE d <= r)
@@ -157,7 +165,11 @@ def _profile(w: int) -> str:
 
 
 ORACLE |= {
-    "signal_checks": f"WITH {LI} SELECT CAST(dim AS INTEGER) AS dim, count(*) AS n, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_infinite, min(v) AS low, max(v) AS high, max(t) - min(t) + 1 = count(DISTINCT t) AS dense FROM sig GROUP BY dim",
+    "signal_checks": f"""WITH {LI}, {HOLES} SELECT CAST(dim AS INTEGER) AS dim, count(*) AS n, count(*) FILTER (v IS NULL OR isnan(v)) AS n_missing, count(*) FILTER (isinf(v)) AS n_infinite,
+min(v) FILTER (NOT isnan(v)) AS low, max(v) FILTER (NOT isnan(v)) AS high, max(t) - min(t) + 1 = count(DISTINCT t) AS dense FROM hole WHERE t % 1000 <> 999 OR dim <> 1 GROUP BY dim""",
+    "set_spans": f"""WITH {OW}, m AS (SELECT dim, avg(v) AS m FROM sig GROUP BY dim), hot AS (SELECT dim, t FROM sig JOIN m USING (dim) WHERE v > 1.25 * m),
+run AS (SELECT dim, min(t) AS s, max(t) + 1 AS e FROM (SELECT dim, t, t - row_number() OVER (PARTITION BY dim ORDER BY t) AS g FROM hot) GROUP BY dim, g),
+pk AS (SELECT t, CAST(count(*) - 2 AS INTEGER) AS motif FROM hot GROUP BY t HAVING count(*) >= 2) SELECT motif, t AS occ, min(s) AS start, max(e) AS "end" FROM pk JOIN run ON s <= t AND t < e GROUP BY motif, t""",
     "distances_too_small": f"WITH {KNN1} SELECT avg(d) < 0.5 AS too_small FROM nn",
     "dist_single": f"WITH {EMB}, {win(16)} SELECT CAST(b.dim AS INTEGER) AS dim, round({_profile(16)}, 4) AS d FROM win a JOIN win b ON a.dim = b.dim AND a.i = 100 AND b.i = 40",
     "sliding_dot": f"WITH {EMB}, {win(16)} SELECT CAST(b.dim AS INTEGER) AS dim, b.i, round(list_dot_product(a.x, b.x), 6) AS qt FROM win a JOIN win b ON a.dim = b.dim AND a.i = 5",

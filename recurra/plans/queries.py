@@ -59,7 +59,14 @@ def win_minmax(spark, d):
 
 @query
 def win_constant(spark, d):
-    return windows.windows(sg.li_day(spark, d), 7, "constant", "finite")
+    return windows.windows(sg.with_holes(sg.li_day(spark, d)), 7, "constant", "finite")
+
+
+@query
+def win_nan_rules(spark, d):
+    """Statistics that pass over missing and infinite samples, and those that need whole windows."""
+    w = windows.windows(sg.with_holes(sg.li_day(spark, d)), 7, "nan_std", "nan_low", "nan_high", "valid_mean", "valid_std")
+    return w.select("dim", "i", _r("nan_std", 3), "nan_low", "nan_high", _r("valid_mean", 3), _r("valid_std", 3))
 
 
 # ---- signals
@@ -144,13 +151,24 @@ def query_profile_pnorm(sig):
     return win.join(F.broadcast(q), "dim").select("dim", "i", F.round(F.pow(p, F.lit(1 / 3.0)), 5).alias("d"))  # one row a dim
 
 
-@emb_query
-def query_match(sig):
+def _match(sig: DataFrame, place: int, zone: int) -> DataFrame:
     """Matches of a window by mean distance over dims, at most mean - 2 sd (at least the least), greedily apart."""
-    p = distance_profile(sig, 16, 100).groupBy("i").agg(F.round(F.avg("d"), 4).alias("d"))
+    p = distance_profile(sig, 16, place).groupBy("i").agg(F.round(F.avg("d"), 4).alias("d"))
     cut = p.agg(F.greatest(F.avg("d") - 2 * F.stddev_pop("d"), F.min("d")).alias("cut"))
     near = p.join(F.broadcast(cut)).where("d <= cut")  # one row
-    return greedy(near, 4)
+    return greedy(near, zone)
+
+
+@query
+def query_match(spark, d):
+    """Windows of 16 hours like those from hour 100 on, over all event types after block maxima of 3 hours."""
+    return _match(sg.block_max(sg.ev_signal(spark, d), 3), 100, 4)
+
+
+@query
+def query_match_whole(spark, d):
+    """The same of the vectors' elements."""
+    return _match(sg.emb(spark, d), 100, 4)
 
 
 def greedy(found: DataFrame, zone: int) -> DataFrame:
@@ -250,14 +268,13 @@ def _ab(spark, d, flip: bool) -> DataFrame:
     def make(batches):
         import pyarrow as pa
 
-        for r in neighbours._rows(batches):
-            s = [kernels.Series(np.array(x, float), 24) for x in (r["x"][4], r["x"][0])[:: 1 if flip else -1]]
-            a = r["block"] * neighbours.BLOCK
-            z = min(a + neighbours.BLOCK, len(s[0].windows))
-            best = np.fmin.reduce(np.round(np.sqrt(kernels.squared(s[0], a, z, "znorm", s[1])), 5), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, z)), pa.array(best, from_pandas=True)], ["i", "d"])
+        for r in neighbours.rows_of(batches):
+            s = [kernels.Series(x, 24) for x in (r["x"][4], r["x"][0])[:: 1 if flip else -1]]
+            for a, z in neighbours.blocks(r, len(s[1].windows)):
+                best = np.fmin.reduce(np.round(np.sqrt(kernels.squared(s[0], a, z, "znorm", s[1])), 5), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, z)), pa.array(best, from_pandas=True)], ["i", "d"])
 
-    return neighbours.by_block(neighbours.stacked(sg.ev_signal(spark, d)), 24, F.size(F.col("x")[0])).select("x", "block").mapInArrow(make, "i long, d double")
+    return neighbours.by_part(neighbours.stacked(sg.ev_signal(spark, d)), 24, F.size(F.col("x")[0])).mapInArrow(make, "i long, d double")
 
 
 @query
@@ -465,15 +482,15 @@ def _motif_lists(mask: DataFrame) -> list:
 
 @query
 def event_scores(spark, d):
-    """Event precision, recall and F1 at several thresholds, macro and weighted, with and without dims."""
+    """Event precision, recall and F1 at several thresholds, macro and weighted; with dims in the pairing, those of dims too."""
     real, pred = (_motif_lists(m) for m in _masks(spark, d))
-    rows = [(float(th), wt, dm, *(round(x, 6) for x in metrics.event_score(real, pred, th, wt, dm))) for th in (0.25, 0.5, 0.75) for wt in (False, True) for dm in (False, True)]
-    return spark.createDataFrame(rows, "threshold double, weighted boolean, with_dims boolean, precision double, recall double, f1 double")
+    rows = [(float(th), wt, dm, *(round(x, 6) for x in metrics.event_score(real, pred, th, wt, dm)), *([None] * 3 * (not dm))) for th in (0.25, 0.5, 0.75) for wt in (False, True) for dm in (False, True)]
+    return spark.createDataFrame(rows, "threshold double, weighted boolean, with_dims boolean, precision double, recall double, f1 double, dim_precision double, dim_recall double, dim_f1 double")
 
 
 @query
 def sample_scores(spark, d):
-    """Sample precision, recall, F1 of the labels assigned by greatest overlap."""
+    """Sample precision, recall, F1 of the labels assigned by greatest overlap, and their means alike (real -1) and by size (real -2)."""
     real, pred = _masks(spark, d)
     rows = metrics.overlap_matrix(real, pred).collect()
     size = [dict(m.groupBy("label").count().collect()) for m in (real, pred)]
@@ -482,6 +499,7 @@ def sample_scores(spark, d):
     for r in rows:
         w[a.index(r["real"]), b.index(r["pred"])] = r["n"]
     out = [(int(a[i]), int(b[j]), float(w[i, j] / size[1][b[j]]), float(w[i, j] / size[0][a[i]]), float(2 * w[i, j] / (size[0][a[i]] + size[1][b[j]]))) for i, j in metrics.assignment(w)]
+    out += [(-1 - k, -1, *metrics.sample_score(w, [size[0][x] for x in a], [size[1][x] for x in b], k == 1)) for k in (0, 1)]
     return spark.createDataFrame(out, "real int, pred int, precision double, recall double, f1 double")
 
 
@@ -496,7 +514,8 @@ def set_scores(spark, d):
     m = np.zeros((len(g), len(k)))
     for r in hit:
         m[g.index(r["gt"]), k.index(r["disc"])] = r["count"]
-    s = metrics.set_scores(m, np.array([n[0][x] for x in g]) - m.sum(1), np.maximum(np.array([n[1][x] for x in k]) - m.sum(0), 0))
+    margins = np.array([n[0][x] for x in g]) - m.sum(1), np.maximum(np.array([n[1][x] for x in k]) - m.sum(0), 0)
+    s = metrics.set_scores(m, *margins) | {f"{key}_off_target": v for key, v in metrics.set_scores(m, *margins, off_target=True).items()}
     s["ami"] = metrics.adjusted_mutual_information(m) if m.any() else 0.0
     return spark.createDataFrame([(key, float(v)) for key, v in s.items()], "score string, value double")
 
@@ -511,7 +530,21 @@ def _found(spark, f: methods.Found) -> DataFrame:
 
 @query
 def coordinated_motifs(spark, d):
-    return _found(spark, methods.CoordMotifs(24, 36).fit(sg.ev_signal(spark, d)))
+    return _found(spark, methods.LinkedMotifs(24, 36).fit(sg.ev_signal(spark, d)))
+
+
+@query
+def retuned_motifs(spark, d):
+    """Under other cuts and numbers, from one neighbour search."""
+    with methods.LinkedMotifs(24, 36).prepared(sg.ev_signal(spark, d)) as tail:
+        found = [tail.found(), tail.found(n_patterns=2), tail.found(ratio=0.8)]
+    return spark.createDataFrame([(k, m, ",".join(map(str, x.dims)), len(x.spans)) for k, f in enumerate(found) for m, x in enumerate(f.motifs)], "run int, motif int, dims string, n int")
+
+
+@query
+def sdim_motifs_auto_radius(spark, d):
+    """One reference, within mean - 2 sd of its distances."""
+    return _found(spark, methods.sdim_motifs(sg.ord_week(spark, d), 8, 2, ratio=None, single=True))
 
 
 @query
@@ -551,7 +584,7 @@ def synthetic_signal(spark, d):
 
 @query
 def signal_checks(spark, d):
-    return checks.signal_checks(sg.li_day(spark, d))
+    return checks.signal_checks(sg.with_holes(sg.li_day(spark, d)).where("t % 1000 <> 999 or dim <> 1"))
 
 
 @query
@@ -579,17 +612,17 @@ def distance_matrix_whole(spark, d):
     def make(batches):
         import pyarrow as pa
 
-        for r in neighbours._rows(batches):
-            parts = [kernels.Series(np.array(x, float), 8) for x in r["x"]]
-            a, m = r["block"] * neighbours.BLOCK, len(parts[0].windows)
-            z = min(a + neighbours.BLOCK, m)
-            for p, one in enumerate(parts):
-                for q, other in enumerate(parts):
-                    v = np.round(np.sqrt(kernels.squared(one, a, z, "raw", other)), 6).ravel()
-                    columns = [np.full(len(v), p, np.int32), np.full(len(v), q, np.int32), np.repeat(np.arange(a, z), m), np.tile(np.arange(m), z - a), v]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["dim_i", "dim_j", "i", "j", "d"])
+        for r in neighbours.rows_of(batches):
+            parts = [kernels.Series(x, 8) for x in r["x"]]
+            m = len(parts[0].windows)
+            for a, z in neighbours.blocks(r, m):
+                for p, one in enumerate(parts):
+                    for q, other in enumerate(parts):
+                        v = np.round(np.sqrt(kernels.squared(one, a, z, "raw", other)), 6).ravel()
+                        columns = [np.full(len(v), p, np.int32), np.full(len(v), q, np.int32), np.repeat(np.arange(a, z), m), np.tile(np.arange(m), z - a), v]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["dim_i", "dim_j", "i", "j", "d"])
 
-    return neighbours.by_block(neighbours.stacked(sg.ord_week(spark, d)), 8, F.size(F.col("x")[0])).select("x", "block").mapInArrow(make, "dim_i int, dim_j int, i long, j long, d double")
+    return neighbours.by_part(neighbours.stacked(sg.ord_week(spark, d)), 8, F.size(F.col("x")[0])).mapInArrow(make, "dim_i int, dim_j int, i long, j long, d double")
 
 
 @query
@@ -608,7 +641,7 @@ def replace_distance(sig):
 
 @emb_query
 def pair_neighbours(sig):
-    """Windows nearer to one of two references than 1.2 times their mean distance, greedily a window apart."""
+    """Windows nearer to one of two references than 0.9 times the distance between these, greedily a window apart."""
     p = distance_profile(sig, 16, 100).groupBy("i").agg(F.avg("d").alias("a")).join(distance_profile(sig, 16, 300).groupBy("i").agg(F.avg("d").alias("b")), "i")
     cut = p.where("i = 300").select((F.col("a") * 0.9).alias("cut"))
     near = p.select("i", F.round(F.least("a", "b"), 4).alias("d")).join(F.broadcast(cut)).where("d < cut").drop("cut")  # one row
@@ -660,9 +693,13 @@ def linkage_rates(spark, d):
 
 @query
 def set_spans(spark, d):
-    """Start and end over all dims of each occurrence of generated subspace motifs, as one interval."""
-    rows = [(m, k, dim, a, z) for m, occ in enumerate(synthetic.make_subspace(3)[1]) for k, o in enumerate(occ) for dim, (a, z) in o.items()]
-    return spark.createDataFrame(rows, "motif int, occ int, dim int, start long, end long").groupBy("motif", "occ").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    """Start and end over all dims of each occurrence of subspace motifs, as one interval: the weeks in which two or more priorities have more orders than a quarter above their mean, each dim with the run that it has there."""
+    s = sg.ord_week(spark, d)
+    on = s.join(F.broadcast(s.groupBy("dim").agg(F.avg("v").alias("m"))), "dim").where("v > 1.25 * m").select(F.col("dim").alias("label"), "t")  # one row a dim
+    runs = metrics.mask_to_intervals(on).select(F.col("label").alias("dim"), (F.col("start") - 1).alias("start"), "end")
+    peaks = on.groupBy("t").agg(F.count("*").alias("n")).where("n >= 2").select("t", (F.col("n") - 2).cast("int").alias("motif"))
+    parts = peaks.join(runs, (F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")))
+    return parts.groupBy("motif", F.col("t").alias("occ")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 @query

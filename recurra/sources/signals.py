@@ -50,6 +50,13 @@ def emb(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode("embedding" if dims is None else F.slice("embedding", 1, dims)).alias("dim", "v")).select("dim", "t", F.col("v").cast("double").alias("v"))
 
 
+def with_holes(sig: DataFrame) -> DataFrame:
+    """sig with stretches of one value, missing, NaN and infinite samples, by a rule on dim and t: to try the operators that look for them."""
+    k = F.pmod(F.col("t") + 37 * F.col("dim"), F.lit(101))
+    v = F.when(k < 9, 5.0).when(k == 40, F.lit(None)).when(k == 60, float("nan")).when(k == 80, F.when(F.col("dim") == 0, float("inf")).otherwise(float("-inf"))).otherwise(F.col("v"))
+    return sig.withColumn("v", v.cast("double"))
+
+
 def z_normalise(sig: DataFrame) -> DataFrame:
     """Every dim to mean 0 and population deviation 1; a constant dim to 0. Statistics are aggregated and joined, so no window holds a whole series."""
     stats = sig.groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))

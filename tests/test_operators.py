@@ -188,7 +188,7 @@ def test_assignment_is_optimal():
 
 def test_scores_of_a_perfect_and_a_half_match():
     events = [([(1, 10), (21, 30)], {0, 1}), ([(41, 50)], {2})]
-    assert metrics.event_score(events, events, 0.9, dims=True) == (1, 1, 1)
+    assert metrics.event_score(events, events, 0.9, dims=True) == (1, 1, 1, 1, 1, 1)
     p, r, f = metrics.event_score(events, [([(1, 10)], {0, 1})], 0.5)
     assert (p, r) == (0.5, 0.25) and 0 < f < 1
     assert metrics.event_prf([(1, 10)], [(5, 14)], 0.9) == (0, 0, 0) and metrics.event_prf([], [], 0.5) == (0, 0, 0)
@@ -217,7 +217,7 @@ def test_subspace_merge():
 def test_coordinated_motifs_find_what_was_planted(spark):
     x, truth = synthetic.make(7)
     sig = synthetic.signals(spark, 1, seed=7).drop("series_id")
-    found = methods.CoordMotifs(40, 60).fit(sig)
+    found = methods.LinkedMotifs(40, 60).fit(sig)
     planted = [s for _, _, spans in truth for s in spans]
     mine = [s for m in found.motifs for s in m.spans]
     assert sum(any(min(z, y) - max(a, b) >= 30 for b, y in mine) for a, z in planted) >= 0.9 * len(planted)
