@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from recurra.llm import textnum as tn
 from recurra.llm.scratch import small_batches
 
 NONE = np.int32(2**31 - 1)
@@ -221,7 +222,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, schema: str, row) -> DataF
                 out = [row(*x) for x in bpe.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(x)) for x in zip(*out))], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tn.released(run), schema)
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

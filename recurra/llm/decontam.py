@@ -293,7 +293,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
                     ["doc_id", "n_words", "n_hit", "n_items", "items", "spans"],
                 )
 
-    return own.mapInArrow(search, schema)
+    return own.mapInArrow(tn.released(search), schema)
 
 
 def _owner(start: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -341,7 +341,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
                     part = pa.RecordBatch.from_arrays(columns, names)
                 yield part
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tn.released(clean), docs.schema)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,4 +61,4 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
                 s = np.clip(shared.value(data, off), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, held_out boolean, score double, predicted int")
+    return own.mapInArrow(tn.released(run), f"doc_id {own.dtypes[0][1]}, held_out boolean, score double, predicted int")

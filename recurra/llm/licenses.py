@@ -356,7 +356,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, mi
                     ["doc_id", "license", "n_matched", "coverage", "start", "end"],
                 )
 
-    return own.mapInArrow(search, f"doc_id {own.dtypes[0][1]}, license string, n_matched long, coverage double, start long, end long")
+    return own.mapInArrow(tn.released(search), f"doc_id {own.dtypes[0][1]}, license string, n_matched long, coverage double, start long, end long")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -379,7 +379,7 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
                 base[k], spans[k] = as_rows(x), as_rows(y)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, _LIST), pa.array(spans, _LIST)], ["doc_id", "base", "spans"])
 
-    return own.mapInArrow(search, f"doc_id {own.dtypes[0][1]}, {SPANS}")
+    return own.mapInArrow(tn.released(search), f"doc_id {own.dtypes[0][1]}, {SPANS}")
 
 
 def redact(docs: DataFrame, field: Field, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -415,7 +415,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", chars_col: str
                 b = pa.RecordBatch.from_arrays(columns, names)
             yield b
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tn.released(clean), docs.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

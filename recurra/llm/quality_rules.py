@@ -117,7 +117,7 @@ def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[k]) for k in names)], [b.schema.names[0], *names])
 
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return own.mapInArrow(judge, f"doc_id {own.dtypes[0][1]}, {MEASURES}, " + ", ".join(f"dup_{n}gram_share double" for n in sorted({BASE_N, *limits})))
+    return own.mapInArrow(tn.released(judge), f"doc_id {own.dtypes[0][1]}, {MEASURES}, " + ", ".join(f"dup_{n}gram_share double" for n in sorted({BASE_N, *limits})))
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
@@ -131,7 +131,7 @@ def filter_quality(docs: DataFrame, text_col: str = "text", limits: dict[int, fl
             if b.num_rows:
                 yield b.filter(pa.array(_columns(b.column(place), limits=limits, line_limit=line_limit)["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tn.released(keep), docs.schema)
 
 
 def op5_quality_rules_short(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch, so that long texts don't fill a Python worker.
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group of a written table, which its writer holds.
+ROW_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +37,7 @@ class Scratch:
         """df as a written table: a lost executor costs a read, not a recomputation."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         self.left.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

@@ -7,7 +7,8 @@ mixed afterwards; two different words or n-grams agree with a chance of about 2*
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,20 @@ LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def released(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """step, after which a Python worker gives freed memory back to the system: workers outlive their tasks, and what they keep adds up in an executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     """A table of 256 booleans, true within the given closed ranges."""
     t = np.zeros(256, bool)
