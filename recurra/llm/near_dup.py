@@ -9,14 +9,15 @@
    matches so far, is below MISS. What survives is verified on the full shingle sets, and links update components.
 3. Pivot rounds go on while they merge many components. What then remains are band buckets whose members lie in several
    components, many of texts that share a passage but not enough of it. A set reaches the threshold with another only
-   if that share of its shingles is found elsewhere, so members without it are dropped: one row a shingle counts them,
-   exactly and without pairs. Pivot rounds follow on what is left.
+   if that share of its shingles is found elsewhere. A quarter of the shingles, by hash, counts how many are, one row
+   each and no pairs; members for which the chance of such a count is below MISS (Chernoff's bound) are dropped.
 4. Buckets that still hold several components (chains of links, texts just below the threshold) are compared in cells
    bounded in rows and in shingles: every member outside the bucket's largest component with all the others, signatures
    first, then the full sets of those with a survivor. A pair is compared in the last of the bands that it shares
    alone. No pair leaves its cell; of a member's links to one component in a cell one leaves.
 
-The chance to lose a pair at the threshold itself is (1 - 0.8**ROWS)**BANDS = 5e-8 in banding, and MISS in pruning.
+The chance to lose a pair at the threshold itself is (1 - 0.8**ROWS)**BANDS = 5e-8 in banding, MISS in pruning, and
+2 * MISS in the third step (for either text).
 
 Defined results: a null or wordless text has no shingles, links with nothing and is its own component; fewer words
 than a shingle has make one shingle of them all; a row with a null id takes no part (component null, kept); rows that
@@ -51,6 +52,8 @@ ADD = _rng.integers(0, 2**32, N_HASHES, dtype=np.uint32)
 GRID_SMALL, GRID_ALL, GRID_SHINGLES = 256, 1024, 1 << 19
 #: Bits of the largest Bloom filter (8 MB); more ids than an eighth of it go without one.
 BLOOM_BITS = 1 << 26
+#: One shingle of so many counts what a text shares.
+SHARE = 4
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +134,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 sums = [pa.array(_sums(tn.mix(h ^ np.uint64(c)) * one, first).view(np.int64)) for c in (0x1234567, 0x89ABCDEF01)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), *sums, fixed.cast(pa.binary()), bands], [x.split()[0] for x in SIGNATURE.split(", ")])
 
-    return docs.mapInArrow(make, SIGNATURE)
+    return docs.mapInArrow(tn.released(make), SIGNATURE)
 
 
 def least_matches(threshold: float, miss: float) -> dict[int, int]:
@@ -167,20 +170,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(buf, np.uint8)[off[0] : off[-1]].view(np.uint32).reshape(len(data), N_HASHES)
 
 
-def prune(pairs: DataFrame, base: DataFrame, least: dict[int, int]) -> DataFrame:
-    """The pairs(p, u) whose signatures outlive the batches."""
-    sig = base.select("doc_id", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"doc_id": "p", "sig": "sp"}), "p").join(sig.withColumnsRenamed({"doc_id": "u", "sig": "su"}), "u").select("p", "u", "sp", "su")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                at = pa.array(surviving(_matrix(b.column(2)), _matrix(b.column(3)), least))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["p", "u"])
-
-    return both.mapInArrow(keep, "p long, u long")
-
-
 def _bits(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = tn.mix(ids.astype(np.int64).view(np.uint64))
     at = np.concatenate([h % np.uint64(bits), (h >> np.uint64(32)) % np.uint64(bits)]).astype(np.int64)
@@ -189,7 +178,7 @@ def _bits(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @contextmanager
 def only(docs: DataFrame, ids: DataFrame, at_most: int) -> Iterator[DataFrame]:
-    """docs(doc_id, text) without most rows that are not among ids(doc_id), of which there are `at_most`: a Bloom filter of 16 bits an id, so that few texts reach the next exchange. What it lets through besides is left to that join, and so is all where the filter would outgrow BLOOM_BITS. The filter lives as long as the context: run what reads the texts inside."""
+    """docs(doc_id, ...) without most rows that are not among ids(doc_id), of which there are `at_most`: a Bloom filter of 16 bits an id, so that few texts or signatures reach the next exchange. What it lets through besides is left to that join, and so is all where the filter would outgrow BLOOM_BITS. The filter lives as long as the context: run what reads the texts inside."""
     size = 1 << max(16, (16 * at_most).bit_length())
     if size > BLOOM_BITS:
         size = BLOOM_BITS
@@ -202,7 +191,7 @@ def only(docs: DataFrame, ids: DataFrame, at_most: int) -> Iterator[DataFrame]:
             word, bit = _bits(b.column(0).to_numpy(zero_copy_only=False), size)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit.astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
-    found = ids.distinct().mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most BLOOM_BITS / 64 rows
+    found = ids.distinct().mapInArrow(tn.released(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most BLOOM_BITS / 64 rows
     table = np.zeros(size // 64, np.uint64)
     table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -215,11 +204,26 @@ def only(docs: DataFrame, ids: DataFrame, at_most: int) -> Iterator[DataFrame]:
                 yield b.filter(pa.array(hit))
 
     try:
-        yield docs.mapInArrow(keep, docs.schema)
+        yield docs.where("doc_id is not null").mapInArrow(tn.released(keep), docs.schema)
     finally:
         shared.destroy()
 
 
+def prune(pairs: DataFrame, base: DataFrame, least: dict[int, int], scratch: Scratch) -> DataFrame:
+    """The pairs(p, u), a written table, whose signatures outlive the batches."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = pa.array(surviving(_matrix(b.column(2)), _matrix(b.column(3)), least))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["p", "u"])
+
+    ids = pairs.select(F.col("p").alias("doc_id")).unionByName(pairs.select(F.col("u").alias("doc_id")))
+    with only(base.select("doc_id", "sig"), ids, 2 * pairs.count()) as sig:
+        both = pairs.join(sig.withColumnsRenamed({"doc_id": "p", "sig": "sp"}), "p").join(sig.withColumnsRenamed({"doc_id": "u", "sig": "su"}), "u").select("p", "u", "sp", "su")
+        return scratch.save(both.mapInArrow(tn.released(keep), "p long, u long"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
     """links(a, b): the pairs(p, u) whose full shingle sets reach the threshold. pairs is a written table.
 
@@ -262,28 +266,35 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, sc
         mine = pu.join(texts.withColumnRenamed("doc_id", "u"), "u").select("p", "s", F.lit(1).alias("role"), "u", "text")
         heads = pu.select("p", "s").distinct().join(texts.withColumnRenamed("doc_id", "p"), "p").select("p", "s", F.lit(0).alias("role"), F.col("p").alias("u"), "text")
         rows = heads.unionByName(mine).repartition(tasks(spark), "p", "s").sortWithinPartitions("p", "s", "role")
-        return scratch.save(rows.mapInArrow(check, "a long, b long"))
+        return scratch.save(rows.mapInArrow(tn.released(check), "a long, b long"))
 
 
-def possible(docs: DataFrame, members: DataFrame, shingle: int, threshold: float, scratch: Scratch) -> DataFrame:
-    """Of members(doc_id), a written table, those of whose shingles at least the threshold's share is in another member too: sets of n shingles reach it only with one that holds ceil(threshold * n) of them."""
-    percent = round(threshold * 100)
+def possible(docs: DataFrame, members: DataFrame, shingle: int, threshold: float, miss: float, scratch: Scratch) -> DataFrame:
+    """Of members(doc_id), a written table, those that may have a partner among them: sets of n shingles reach the threshold only with one that holds that share of them.
+
+    Of a text's m shingles in the sample, k are another member's too. The text goes where m * D(k / m, threshold) exceeds
+    log(1 / miss) below the threshold (D: Kullback-Leibler divergence), which bounds the chance of so few.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, off in tn.blocks(b.column(1)):
                 h, first = shingles(data, off, shingle)
                 one = distinct(h, first)
-                at = np.concatenate([[0], np.cumsum(_sums(one.astype(np.uint64), first))]).astype(np.int32)
                 whole = pa.array(_sums(tn.mix(h) * one, first).view(np.int64))
+                one &= h % np.uint64(SHARE) == 0
+                at = np.concatenate([[0], np.cumsum(_sums(one.astype(np.uint64), first))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), whole, pa.ListArray.from_arrays(pa.array(at), pa.array(h[one].view(np.int64)))], ["doc_id", "whole", "keys"])
 
     with only(docs, members, members.count()) as texts:
-        own = scratch.save(texts.join(members, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, whole long, keys array<long>"))
-    rows = own.select("doc_id", "whole", F.size("keys").cast("long").alias("n"), F.explode("keys").alias("key"))
+        own = scratch.save(texts.join(members, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tn.released(sets), "doc_id long, whole long, keys array<long>"))
+    rows = own.select("doc_id", "whole", F.explode("keys").alias("key"))
     often = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
-    shared = rows.join(often, "key").groupBy("doc_id", "whole", "n").agg(F.count("*").alias("k")).where(100 * F.col("k") >= percent * F.col("n"))
-    out = scratch.save(shared.select("doc_id").distinct())  # repeated rows count more than once, so more stay, never fewer
+    shared = rows.join(often, "key").groupBy("doc_id", "whole").agg(F.count("*").alias("k"))  # repeated rows count more than once, so more stay, never fewer
+    q, t = F.greatest(F.col("k") / F.col("m"), F.lit(1e-9)), threshold
+    far = q * F.log(q / t) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - t))).otherwise(0.0)
+    counted = own.select("doc_id", "whole", F.size("keys").alias("m")).join(shared, ["doc_id", "whole"], "left").select("doc_id", "m", F.coalesce("k", F.lit(0)).alias("k"))
+    out = scratch.save(counted.where((F.col("m") == 0) | (q >= t) | (F.col("m") * far <= -math.log(miss))).select("doc_id").distinct())
     scratch.drop(own)
     return out
 
@@ -328,25 +339,25 @@ def residual_links(standing: DataFrame, base: DataFrame, docs: DataFrame, least:
     weight = standing.join(base.groupBy("doc_id").agg(F.sum("n_shingles").alias("w")), "doc_id").groupBy("key").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("c") != F.col("big"), F.col("w"))).alias("w_out"))
     n_small = F.greatest(F.ceil((F.col("n") - F.col("n_big")) / GRID_SMALL), F.ceil(F.col("w_out") / GRID_SHINGLES))
     n_all = F.greatest(F.ceil(F.col("n") / GRID_ALL), F.ceil(F.col("w") / GRID_SHINGLES))
-    rows = standing.join(weight, "key").withColumns({"ns": n_small, "na": n_all, "x": F.xxhash64("doc_id")}).join(base.select("doc_id", "sig", "bands"), "doc_id")
+    rows = standing.join(weight, "key").withColumns({"ns": n_small, "na": n_all, "x": F.xxhash64("doc_id")})
     cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    small = rows.where("c <> big").select("key", F.pmod("x", "ns").alias("i"), cells("na").alias("j"), F.lit(0).alias("role"), "doc_id", "c", "sig", "bands")
-    every = rows.select("key", cells("ns").alias("i"), F.pmod(F.hash("x"), "na").cast("long").alias("j"), F.lit(1).alias("role"), "doc_id", "c", "sig", "bands")
+    small = rows.where("c <> big").select("key", F.pmod("x", "ns").alias("i"), cells("na").alias("j"), F.lit(0).alias("role"), "doc_id", "c")
+    every = rows.select("key", cells("ns").alias("i"), F.pmod(F.hash("x"), "na").cast("long").alias("j"), F.lit(1).alias("role"), "doc_id", "c")
     percent = round(threshold * 100)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 3):
             role, c, sig = t.column("role").to_numpy(), t.column("c").to_numpy(), _matrix(t.column("sig").combine_chunks())
             theirs, live = np.flatnonzero(role == 1), np.zeros(len(role), bool)
-            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            later = bands[:, np.flatnonzero(bands[0] == t.column("key")[0].as_py())[0] + 1 :] if len(role) else bands
+            bands = band_keys(sig)
+            later = bands[:, np.flatnonzero(bands[0] == t.column("key")[0].as_py())[0] + 1 :]
             for k in np.flatnonzero(role == 0):
                 other = theirs[(c[theirs] != c[k]) & ~(later[theirs] == later[k]).any(1)]  # a pair that shares a later band meets there
                 at = other[surviving(np.broadcast_to(sig[k], (len(other), N_HASHES)), sig[other], least)]
                 live[at] = True
                 live[k] |= len(at) > 0
             if live.any():
-                yield from t.drop_columns(["sig", "bands"]).filter(pa.array(live)).combine_chunks().to_batches()
+                yield from t.drop_columns("sig").filter(pa.array(live)).combine_chunks().to_batches()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 3):
@@ -378,9 +389,11 @@ def residual_links(standing: DataFrame, base: DataFrame, docs: DataFrame, least:
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(tasks(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    live = scratch.save(dealt(small.unionByName(every)).mapInArrow(compare, "key long, i long, j long, role int, doc_id long, c long"))
+    with only(base.select("doc_id", "sig"), standing.select("doc_id"), standing.count()) as sig:
+        members = small.unionByName(every).join(sig, "doc_id").select("key", "i", "j", "role", "doc_id", "c", "sig")
+        live = scratch.save(dealt(members).mapInArrow(tn.released(compare), "key long, i long, j long, role int, doc_id long, c long"))
     with only(docs, live.select("doc_id"), live.count()) as texts:
-        links = scratch.save(dealt(live.join(texts, "doc_id").select("key", "i", "j", "role", "doc_id", "c", "text")).mapInArrow(check, "a long, b long"))
+        links = scratch.save(dealt(live.join(texts, "doc_id").select("key", "i", "j", "role", "doc_id", "c", "text")).mapInArrow(tn.released(check), "a long, b long"))
     scratch.drop(live)
     return links
 
@@ -405,9 +418,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Prunes and verifies pairs(p, u)."""
-        left = scratch.save(prune(pairs, base, least))
+        pairs = scratch.save(pairs)
+        left = prune(pairs, base, least, scratch)
         links = verify(left, docs, shingle, threshold, scratch)
-        scratch.drop(left)
+        scratch.drop(pairs, left)
         return links
 
     def rounds(buckets: DataFrame, links: DataFrame, comp: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame]:
@@ -435,8 +449,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if standing is not None:
         left = scratch.save(standing.select("doc_id").distinct())
         scratch.drop(standing)
-        standing, links, comp = rounds(scratch.save(buckets.join(possible(docs, left, shingle, threshold, scratch), "doc_id", "left_semi")), links, comp)
-    if standing is not None:
+        standing = scratch.save(_standing(buckets.join(possible(docs, left, shingle, threshold, miss, scratch), "doc_id", "left_semi"), comp))
         comp = components(links.unionByName(residual_links(standing, base, docs, least, shingle, threshold, scratch)), scratch)
 
     own = members.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("component"))
