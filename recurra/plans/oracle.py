@@ -113,11 +113,6 @@ round(CASE WHEN n_sound = 7 THEN mean ELSE 'inf'::DOUBLE END, 3) AS valid_mean,
     "dist_mv_raw": top_pairs("raw", 8, True),
     "query_profile": f"WITH {EMB}, {win(16)}, q AS (SELECT * FROM win WHERE i = 100) SELECT CAST(b.dim AS INTEGER) AS dim, b.i, round(sqrt(CASE WHEN a.sd < 1e-7 AND b.sd < 1e-7 THEN 0 WHEN a.sd < 1e-7 OR b.sd < 1e-7 THEN 16 ELSE greatest(0, 32 * (1 - (list_dot_product(a.x, b.x) - 16 * a.mean * b.mean) / (16 * a.sd * b.sd))) END), 4) AS d FROM win b JOIN q a USING (dim)",
     "query_profile_pnorm": f"WITH {EMB}, {win(16)}, q AS (SELECT * FROM win WHERE i = 100) SELECT CAST(b.dim AS INTEGER) AS dim, b.i, round(list_sum(list_transform(list_zip(a.x, b.x), lambda e: abs(e[1] - e[2]) ** 3)) ** (1 / 3.0), 5) AS d FROM win b JOIN q a USING (dim)",
-    "query_match": f"""WITH {EV}, {win(16)}, q AS (SELECT * FROM win WHERE i = 200),
-p AS (SELECT b.i, round(avg(sqrt(greatest(0, 32 * (1 - (list_dot_product(a.x, b.x) - 16 * a.mean * b.mean) / (16 * a.sd * b.sd))))), 4) AS d FROM win b JOIN q a USING (dim) GROUP BY b.i),
-r AS (SELECT greatest(avg(d) - 2 * stddev_pop(d), min(d)) AS r FROM p),
-g AS (SELECT list_reduce(list_sort(list({{'d': d, 'i': i}})), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.i - y.i) <= 4)) = 0 THEN list_append(acc, y) ELSE acc END, CAST([] AS STRUCT(d DOUBLE, i BIGINT)[])) AS k FROM p, r WHERE d <= r)
-SELECT unnest(k).i AS i, unnest(k).d AS d FROM g""",
     "ktanh_transform": f"WITH {KNN1} SELECT CAST(dim AS INTEGER) AS dim, i, round(2 * sqrt(tanh(10 * d * d) / tanh(40)), 6) AS d FROM nn",
     "knn1_profile": f"WITH {KNN1} SELECT CAST(dim AS INTEGER) AS dim, i, j, d FROM nn QUALIFY row_number() OVER (PARTITION BY dim ORDER BY d, i) <= 10",
     "knn_k_exclusion": f"WITH {OWK} SELECT CAST(dim AS INTEGER) AS dim, i, CAST(rank AS INTEGER) AS rank, y.j AS j, y.d AS d FROM knn",
@@ -165,6 +160,11 @@ def _profile(w: int) -> str:
 
 
 ORACLE |= {
+    "query_match": f"""WITH {EV}, {win(16)}, q AS (SELECT * FROM win WHERE i = 200),
+p AS (SELECT b.i, round(avg({_profile(16)}), 4) AS d FROM win b JOIN q a USING (dim) GROUP BY b.i),
+r AS (SELECT greatest(avg(d) - 2 * stddev_pop(d), min(d)) AS r FROM p),
+g AS (SELECT list_reduce(list_sort(list({{'d': d, 'i': i}})), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.i - y.i) <= 4)) = 0 THEN list_append(acc, y) ELSE acc END, CAST([] AS STRUCT(d DOUBLE, i BIGINT)[])) AS k FROM p, r WHERE d <= r)
+SELECT unnest(k).i AS i, unnest(k).d AS d FROM g""",
     "signal_checks": f"""WITH {LI}, {HOLES} SELECT CAST(dim AS INTEGER) AS dim, count(*) AS n, count(*) FILTER (v IS NULL OR isnan(v)) AS n_missing, count(*) FILTER (isinf(v)) AS n_infinite,
 min(v) FILTER (NOT isnan(v)) AS low, max(v) FILTER (NOT isnan(v)) AS high, max(t) - min(t) + 1 = count(DISTINCT t) AS dense FROM hole WHERE t % 1000 <> 999 OR dim <> 1 GROUP BY dim""",
     "set_spans": f"""WITH {OW}, m AS (SELECT dim, avg(v) AS m FROM sig GROUP BY dim), hot AS (SELECT dim, t FROM sig JOIN m USING (dim) WHERE v > 1.25 * m),
