@@ -54,6 +54,8 @@ GRID_SMALL, GRID_ALL, GRID_SHINGLES = 256, 1024, 1 << 19
 BLOOM_BITS = 1 << 26
 #: One shingle of so many counts what a text shares.
 SHARE = 4
+#: Ids of dropped documents, and their bytes as text, that are broadcast to take them out (a hash table of about 100 MB).
+GONE_IDS, GONE_BYTES = 1 << 21, 1 << 25
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -465,8 +467,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stand for their class, with all their columns; rows that share such an id all stay."""
+    """The rows of docs that stand for their class, with all their columns; rows that share such an id all stay.
+
+    Up to GONE_IDS dropped ids are broadcast, so that no text moves; beyond that the join deals all rows by id.
+    """
     gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select("doc_id").distinct()
+    n, size = gone.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("doc_id").cast("string"))), F.lit(0))).first()
+    if n <= GONE_IDS and size <= GONE_BYTES:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
 
 

@@ -137,6 +137,19 @@ def test_near_duplicates_of_string_ids(spark):
     assert sorted(x["doc_id"] for x in near_dup.keep_one(named).collect()) == ["d0", "d2", "d3"]
 
 
+@pytest.mark.parametrize("bound", [("GONE_IDS", 10), ("GONE_IDS", 0), ("GONE_BYTES", 0)])
+def test_keep_one_both_ways(spark, monkeypatch, bound):
+    """Dropped ids are broadcast within the bounds and dealt beyond them; the rows that stay are the same."""
+    monkeypatch.setattr(near_dup, *bound)
+    texts = ["one two three four five six", "one two three four five six", "other words that stand here alone", None, "one two three four five six"]
+    rows = table(spark, texts)
+    rows = rows.union(spark.createDataFrame([(None, "one two three four five six", "", "", 0)], rows.schema))
+    kept = near_dup.keep_one(rows)
+    assert sorted((-1 if x["doc_id"] is None else x["doc_id"]) for x in kept.collect()) == [-1, 0, 2, 3]
+    plan = kept._jdf.queryExecution().toString()
+    assert ("strategy=broadcast" in plan) == (bound[1] > 0)
+
+
 def test_posterior_bounds():
     least = near_dup.least_matches(0.8, 1e-6)
     assert list(least) == list(range(16, 129, 16)) and all(0 <= m <= n for n, m in least.items())
