@@ -423,6 +423,12 @@ def _events(mask: DataFrame) -> DataFrame:
     return iv.select("label", (F.col("label") * 100000 + F.col("start") - 1).cast("long").alias("id"), (F.col("start") - 1).alias("start"), "end")
 
 
+def _labelled_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(gt, occ, disc, rate). Numbers of events are unique within a label only, so labels go with them through the join."""
+    a, b = (x.withColumn("id", F.struct("label", "id")) for x in (a, b))
+    return metrics.interval_overlaps(a, b).select(F.col("a.label").alias("gt"), F.col("a.id").alias("occ"), F.col("b.label").alias("disc"), "rate")
+
+
 @query
 def mask_to_intervals(spark, d):
     return metrics.mask_to_intervals(_masks(spark, d)[0])
@@ -446,9 +452,7 @@ def interval_overlap(spark, d):
 
 @query
 def gt_best_match(spark, d):
-    a, b = (_events(m) for m in _masks(spark, d))
-    o = metrics.interval_overlaps(a, b).join(a.select(F.col("id").alias("a"), F.col("label").alias("gt")), "a").join(b.select(F.col("id").alias("b"), F.col("label").alias("disc")), "b")
-    return metrics.best_matches(o.select("gt", F.col("a").alias("occ"), "disc", "rate"))
+    return metrics.best_matches(_labelled_overlaps(*(_events(m) for m in _masks(spark, d))))
 
 
 def _dim_prf(s: DataFrame) -> DataFrame:
@@ -507,8 +511,7 @@ def sample_scores(spark, d):
 def set_scores(spark, d):
     """Micro and macro scores of the matching matrix, and adjusted mutual information of the labelings."""
     a, b = (_events(m) for m in _masks(spark, d))
-    o = metrics.interval_overlaps(a, b).join(a.select(F.col("id").alias("a"), F.col("label").alias("gt")), "a").join(b.select(F.col("id").alias("b"), F.col("label").alias("disc")), "b")
-    hit = metrics.best_matches(o.select("gt", F.col("a").alias("occ"), "disc", "rate")).groupBy("gt", "disc").count().collect()
+    hit = metrics.best_matches(_labelled_overlaps(a, b)).groupBy("gt", "disc").count().collect()
     n = [dict(x.groupBy("label").count().collect()) for x in (a, b)]
     g, k = sorted(n[0]), sorted(n[1])
     m = np.zeros((len(g), len(k)))
