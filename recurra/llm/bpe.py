@@ -195,7 +195,7 @@ class Bpe:
         i = 0
         while i < len(texts):
             j, size = i, 0
-            while j < len(texts) and (j == i or size < 1 << 20):
+            while j < len(texts) and (j == i or size < 1 << 18):
                 size += len(texts[j] or "")
                 j += 1
             cut = [self.pieces(t or "") for t in texts[i:j]]

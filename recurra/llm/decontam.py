@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index over each training shard.
 
-A shard is a block of whole texts. Its words become symbols of the benchmark's vocabulary; stretches of other words
+A shard is a block of whole texts of about SHARD bytes. Its words become symbols of the benchmark's vocabulary; stretches of other words
 become one separator, since no test phrase holds them, and stretches shorter than the shortest phrase are left out,
 since none fits. The shard's suffix array (prefix doubling) gives the Burrows-Wheeler transform, kept as a wavelet
 tree of bit ranks, and every SAMPLE-th text position of the suffix array. All test phrases are searched backwards at
@@ -30,7 +30,7 @@ from recurra.llm.scratch import small_batches
 
 SAMPLE = 16
 ITEM_BYTES, PIECE_WORDS, BLOCK_MEMORY = 1 << 20, 4096, 64 << 20
-SHARD = 2 << 20
+SHARD = 1 << 19
 
 
 class WaveletTree:
