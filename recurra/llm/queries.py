@@ -12,6 +12,7 @@ from recurra.llm import quality_model as op9
 from recurra.llm import quality_rules as op5
 from recurra.llm import toxicity as op6
 from recurra.llm import warc as op1
+from recurra.llm import word_bpe as op11
 
 QUERIES = {
     "op1_warc_revisits": op1.op1_warc_revisits,
@@ -25,6 +26,7 @@ QUERIES = {
     "op6_toxicity": op6.op6_toxicity,
     "op9_quality_classifier": op9.op9_quality_classifier,
     "op10_pii": op10.op10_pii,
+    "op11_word_bpe": op11.op11_word_bpe,
 }
 
 SQL: dict[str, str] = {
