@@ -5,6 +5,7 @@ from __future__ import annotations
 from recurra.llm import bpe as op8
 from recurra.llm import chat_format as op2
 from recurra.llm import decontam as op4
+from recurra.llm import lexical as op12
 from recurra.llm import licenses as op3
 from recurra.llm import near_dup as op7
 from recurra.llm import pii as op10
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_classifier": op9.op9_quality_classifier,
     "op10_pii": op10.op10_pii,
     "op11_word_bpe": op11.op11_word_bpe,
+    "op12_lexical_search": op12.op12_lexical_search,
 }
 
 SQL: dict[str, str] = {
@@ -35,4 +37,5 @@ SQL: dict[str, str] = {
     "op4_benchmark_decontamination": op4.SQL,
     "op5_quality_rules": op5.SQL,
     "op7_minhash_near_dedup": op7.SQL,
+    "op12_lexical_search": op12.SQL,
 }

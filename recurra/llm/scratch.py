@@ -33,11 +33,11 @@ class Scratch:
         self.n = 0
         self.left: set[str] = set()
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """df as a written table: a lost executor costs a read, not a recomputation."""
+    def save(self, df: DataFrame, **options) -> DataFrame:
+        """df as a written table: a lost executor costs a read, not a recomputation. options: of the writer."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.write.options(**{"parquet.block.size": ROW_GROUP} | options).parquet(path)
         self.left.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
