@@ -7,6 +7,7 @@ from recurra.llm import chat_format as op2
 from recurra.llm import decontam as op4
 from recurra.llm import lexical as op12
 from recurra.llm import licenses as op3
+from recurra.llm import merkle as op13
 from recurra.llm import near_dup as op7
 from recurra.llm import pii as op10
 from recurra.llm import quality_model as op9
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_pii": op10.op10_pii,
     "op11_word_bpe": op11.op11_word_bpe,
     "op12_lexical_search": op12.op12_lexical_search,
+    "op13_merkle_manifest": op13.op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -38,4 +40,5 @@ SQL: dict[str, str] = {
     "op5_quality_rules": op5.SQL,
     "op7_minhash_near_dedup": op7.SQL,
     "op12_lexical_search": op12.SQL,
+    "op13_merkle_manifest": op13.SQL,
 }

@@ -33,10 +33,10 @@ class Scratch:
         self.n = 0
         self.left: set[str] = set()
 
-    def save(self, df: DataFrame, **options) -> DataFrame:
-        """df as a written table: a lost executor costs a read, not a recomputation. options: of the writer."""
+    def save(self, df: DataFrame, name: str | None = None, **options) -> DataFrame:
+        """df as a written table: a lost executor costs a read, not a recomputation. name: of its folder; options: of the writer."""
         self.n += 1
-        path = f"{self.root}/t{self.n}"
+        path = f"{self.root}/{name or f't{self.n}'}"
         df.write.options(**{"parquet.block.size": ROW_GROUP} | options).parquet(path)
         self.left.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
