@@ -203,6 +203,8 @@ def _scan(low: int, names: list[str]):
             if not held:
                 return
             parent = above.get(held[0][0] // WIDTH)
+            if parent is None and held[0][0] not in own and len(held) == 1 and held[0][0] == 0:
+                held.clear()  # a group's root at the edge of this band: its proof is given to the band below
             for k, (pos, digest, rest) in enumerate(held):
                 if (mine := own.get(pos)) is None:
                     sides = [d for o, (_, d, _) in enumerate(held) if o != k]
