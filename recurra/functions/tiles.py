@@ -36,12 +36,17 @@ class Block:
         if metric not in METRICS:
             raise ValueError(f"metric {metric!r}; known are {', '.join(METRICS)}")
         x = np.asarray(x, float)
+        sound = np.isfinite(x)
+        whole = sliding_window_view(sound, w).all(1)
+        x = np.where(sound, x, 0.0)  # windows that hold such a sample are degenerate; it must not run on along the diagonals
+        centre = 0.0 if metric == "raw" else x.mean()  # a shift that no other metric sees
         s = Series(x, w)
         m = len(s.mean)
         none, one = np.zeros(m), np.ones(m)
+        s.energy[~whole] = s.eta[~whole] = s.std[~whole] = np.nan
         if metric == "raw":
             return Block(first, x, w, none, none, one, s.energy)
-        x = x - (centre := x.mean())  # a shift that no other metric sees
+        x = x - centre
         if metric == "detrended":
             return Block(first, x, w, s.mean - centre, s.slope, s.eta, none)
         return Block(first, x, w, s.mean - centre, none, s.std * np.sqrt(w), none)
@@ -49,6 +54,10 @@ class Block:
     def __len__(self) -> int:
         return len(self.mean)
 
+    def part(self, a: int, z: int) -> Block:
+        """Windows a..z of the block."""
+        return Block(self.first + a, self.x[a : z + self.w - 1], self.w, *(v[a:z] for v in (self.mean, self.slope, self.scale, self.energy)))
+
 
 def dots(x: np.ndarray, y: np.ndarray, w: int) -> np.ndarray:
     """Dot products of all windows of x with all of y."""
@@ -71,13 +80,17 @@ def dots(x: np.ndarray, y: np.ndarray, w: int) -> np.ndarray:
 
 def squared(a: Block, b: Block, metric: str, digits: int = 6) -> np.ndarray:
     """Squared distances of the windows of two blocks; NaN where a window is degenerate. digits: those of the distance that matter."""
-    w, top = a.w, np.abs(a.x).max() * np.abs(b.x).max() * a.w
-    q = dots(a.x, b.x, w)
+    w = a.w
     if metric == "raw":
-        d = a.energy[:, None] + b.energy - 2 * q
-        near = np.nonzero(d < np.sqrt(np.finfo(float).eps) * 1e-2 * (a.energy[:, None] + b.energy))
-        _again(d, near, a, b, lambda u, v, i, j: ((u - v) ** 2).sum(1))
+        centre, ones = a.x.mean(), np.ones(w)
+        x, y = a.x - centre, b.x - centre  # one shift for both changes no distance
+        left, right = (np.where(np.isnan(e), np.nan, np.correlate(v * v, ones, "valid")) for v, e in ((x, a.energy), (y, b.energy)))
+        d = left[:, None] + right - 2 * dots(x, y, w)
+        error = 16 * np.finfo(float).eps * max(left.max(initial=0, where=left > 0), right.max(initial=0, where=right > 0)) * 10.0 ** (digits + 2)
+        _again(d, np.nonzero(d < error**2), a, b, lambda u, v, i, j: ((u - v) ** 2).sum(1))
         return np.maximum(d, 0, out=d)
+    top = np.abs(a.x).max() * np.abs(b.x).max() * w
+    q = dots(a.x, b.x, w)
     q -= np.multiply.outer(w * a.mean, b.mean)
     if metric == "detrended":
         q -= np.multiply.outer(w * (w * w - 1) / 12 * a.slope, b.slope)
@@ -134,39 +147,71 @@ def best_apart(d: np.ndarray, zone: int, k: int) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def merge_apart(row: np.ndarray, j: np.ndarray, d: np.ndarray, zone: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, rank, j, d) of the picks that are certain, and the rows (each once) that aren't finished.
+def strips(n: int, size: int = 2 * SEED) -> list[tuple[int, int]]:
+    return [(a, min(a + size, n)) for a in range(0, n, size)]
+
 
-    row, j, d: of each row the lists of all tiles, each list the tile's own greedy picks. Picking greedily from all lists, a pick
-    may leave out a candidate c of another tile's list; what c had left out there, and no list holds, comes after c in order
-    of (d, j). So every pick before the first candidate left out is the pick from all windows. From there on the row isn't
-    certain, and it is finished only if it has k picks or no candidate was ever left out. A tile's list has k picks or all
-    there are, so its end needs no care.
+def distances(a: Block, b: Block, metric: str, digits: int | None) -> np.ndarray:
+    """Distances of the windows of two blocks, rounded; infinite where a window is degenerate."""
+    out = np.empty((len(a), len(b)))
+    for r, z in strips(len(a)):
+        d = np.sqrt(squared(a.part(r, z), b, metric, 9 if digits is None else digits))
+        out[r:z] = d if digits is None else np.round(d, digits)
+    out[np.isnan(out)] = np.inf
+    return out
+
+
+@dataclass
+class Merged:
+    """picks: (row, turn, column, distance); left: places in the input of candidates that still hold; asks: (row, tile) whose list has to be made anew."""
+
+    picks: tuple[np.ndarray, ...]
+    left: np.ndarray
+    asks: tuple[np.ndarray, np.ndarray]
+
+
+def merge_apart(row: np.ndarray, tile: np.ndarray, j: np.ndarray, d: np.ndarray, want: np.ndarray, zone: int) -> Merged:
+    """The picks of each row that are certain, from the lists of its tiles; want: how many the row (same for its candidates) still needs.
+
+    A tile's list are its own greedy picks, as many as wanted or all there are. Picking greedily from all lists in order of
+    (d, column), a pick may leave out a candidate c of another tile's list. What c had left out within that tile, and no list holds,
+    comes after c in this order: every pick before the first candidate left out is the pick from all windows. From there on the
+    row isn't certain. Then the tiles that lost a candidate have to make their lists anew, apart from the picks so far; the
+    lists of all other tiles still hold, as none of theirs went but by being picked. Each turn has one certain pick at
+    least, so `want` turns end it.
     """
     order = np.lexsort((j, d, row))
-    row, j, d = row[order], j[order], d[order]
-    names, first, count = np.unique(row, return_index=True, return_counts=True)
+    srow, stile, sj, sd = row[order], tile[order], j[order], d[order]
+    names, first, count = np.unique(srow, return_index=True, return_counts=True)
     n, width = len(names), int(count.max()) if len(count) else 0
-    place = np.arange(len(row)) - np.repeat(first, count)
-    line = np.repeat(np.arange(n), count)
+    place, line = np.arange(len(row)) - np.repeat(first, count), np.repeat(np.arange(n), count)
     jj, dd = np.full((n, width), -1, np.int64), np.full((n, width), np.inf)
-    jj[line, place], dd[line, place] = j, d
-    free = jj >= 0
-    horizon = np.full(n, width)  # the first place of a candidate left out
-    at, picks, live = np.arange(n), [], np.ones(n, bool)
-    n_picks = np.zeros(n, np.int64)
-    for rank in range(k):
-        if not width:
-            break
+    jj[line, place], dd[line, place] = sj, sd
+    free, lost = jj >= 0, np.zeros((n, width), bool)
+    need = want[order][first] if n else np.zeros(0, np.int64)
+    horizon, n_picks = np.full(n, width), np.zeros(n, np.int64)
+    picks = []
+    for turn in range(int(need.max()) if n else 0):
         p = free.argmax(1)
-        live &= free[at, p] & (p < horizon)
-        on = np.flatnonzero(live)
-        picks.append((names[on], np.full(len(on), rank), jj[on, p[on]], dd[on, p[on]]))
+        at = np.arange(n)
+        on = np.flatnonzero(free[at, p] & (p < horizon) & (n_picks == turn) & (turn < need))
+        if not len(on):
+            break
+        p = p[on]
+        picks.append((names[on], np.full(len(on), turn), jj[on, p], dd[on, p]))
         n_picks[on] += 1
-        free[on, p[on]] = False
-        gone = free[on] & (np.abs(jj[on] - jj[on, p[on]][:, None]) < zone)
+        free[on, p] = False
+        gone = free[on] & (np.abs(jj[on] - jj[on, p][:, None]) < zone)
         free[on] &= ~gone
+        lost[on] |= gone
         horizon[on] = np.minimum(horizon[on], np.where(gone.any(1), gone.argmax(1), width))
-    open_ = names[(n_picks < k) & (horizon < width)]
+    unsure = (n_picks < need) & (horizon < width)
+    asked = lost[line, place] & unsure[line]
+    asks = np.unique(np.stack([srow[asked], stile[asked]]), axis=1)
+    stale = np.zeros(len(row), bool)
+    if asks.shape[1]:
+        span = int(stile.max()) + 1
+        stale = np.isin(line * span + stile, np.searchsorted(names, asks[0]) * span + asks[1])
+    left = order[free[line, place] & unsure[line] & ~stale]
     got = tuple(np.concatenate(c) for c in zip(*picks)) if picks else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
-    return *got, open_
+    return Merged(got, left, (asks[0], asks[1]))
