@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1024
+#: Places whose edges are brought to a forest together, round by round; the last round takes what is left of a dim.
+RANGES = (1 << 14, 1 << 19)
 
 
 class Forest:
@@ -64,30 +67,75 @@ def cut_components(edges: list[tuple[float, int, int]], birth_cut: float, gap_cu
     return [(x, f.root(x), own[x]) for x in sorted(f.up)]
 
 
+def spanning(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of the least spanning forest, in order of (w, u, v)."""
+    order = np.lexsort((v, u, w))
+    nodes, ends = np.unique(np.concatenate([u[order], v[order]]), return_inverse=True)
+    up, kept = list(range(len(nodes))), []
+    for at, a, b in zip(order.tolist(), ends[: len(u)].tolist(), ends[len(u) :].tolist()):
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[a] = b
+            kept.append(at)
+    return np.array(kept, np.int64)
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """The edges(dim, u, v, w) of each dim's least spanning forest, edges of equal weight in order of (u, v).
+
+    An edge that closes a circle of lesser ones within some of the edges does so within all, so ranges of places give their own forests
+    first, wider ranges those of what these left: n - 1 edges of n windows at most come together, whatever the number of edges.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        return t.take(pa.array(spanning(*(t[c].to_numpy() for c in ("u", "v", "w")))))
+
+    out = edges.select("dim", "u", "v", "w")
+    for size in RANGES:
+        out = out.groupBy("dim", F.floor(F.col("u") / size)).applyInArrow(run, out.schema)
+    return out
+
+
 def _edges_of(b: pa.Table) -> list[tuple[float, int, int]]:
     return sorted(zip(b["w"].to_pylist(), b["u"].to_pylist(), b["v"].to_pylist()))
 
 
 def persistence(edges: DataFrame) -> DataFrame:
-    """persistence(dim, birth, death, cluster) of edges(dim, u, v, w), Kruskal per dim; edges of equal weight by (u, v)."""
+    """persistence(dim, birth, death, cluster) of edges(dim, u, v, w); edges of equal weight by (u, v).
+
+    The elder rule is replayed on each dim's forest alone: no other edge joins components, and a node's least edge, which
+    gives its birth, is in the forest.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         rows = diagram(_edges_of(t))
         dim = t["dim"][0].as_py()
         return pa.table({"dim": pa.array([dim] * len(rows), pa.int32()), "birth": [r[0] for r in rows], "death": [r[1] for r in rows], "cluster": pa.array([r[2] for r in rows], pa.int64())})
 
-    return edges.select("dim", "u", "v", "w").groupBy("dim").applyInArrow(run, "dim int, birth double, death double, cluster long")
+    return forest(edges).groupBy("dim").applyInArrow(run, "dim int, birth double, death double, cluster long")
 
 
 def components(edges: DataFrame, birth_cut: float, gap_cut: float) -> DataFrame:
-    """(dim, pos, root, birth) of the thresholded union-find per dim."""
+    """(dim, pos, root, birth) of the thresholded union-find per dim, on forests.
+
+    An edge of weight birth_cut or more counts only between nodes that lesser edges bear; the others are taken out first. Of what is
+    left, an edge outside the forest joins nothing: along the path of lesser edges between its ends, each component had an edge whose
+    weight was gap_cut or more beyond its birth, births only fall and weights only rise.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         rows = cut_components(_edges_of(t), birth_cut, gap_cut)
         dim = t["dim"][0].as_py()
         return pa.table({"dim": pa.array([dim] * len(rows), pa.int32()), "pos": pa.array([r[0] for r in rows], pa.int64()), "root": pa.array([r[1] for r in rows], pa.int64()), "birth": pa.array([r[2] for r in rows], pa.float64())})
 
-    return edges.select("dim", "u", "v", "w").groupBy("dim").applyInArrow(run, "dim int, pos long, root long, birth double")
+    low, high = (edges.select("dim", "u", "v", "w").where(x) for x in (F.col("w") < birth_cut, F.col("w") >= birth_cut))
+    born = low.select("dim", F.explode(F.array("u", "v")).alias("node")).distinct()
+    for end in ("u", "v"):
+        high = high.join(born.withColumnRenamed("node", end), ["dim", end], "left_semi").select("dim", "u", "v", "w")
+    return forest(low.unionByName(high)).groupBy("dim").applyInArrow(run, "dim int, pos long, root long, birth double")
 
 
 def births(edges: DataFrame) -> DataFrame:
