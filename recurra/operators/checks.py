@@ -42,7 +42,7 @@ def relabel(cands: DataFrame) -> DataFrame:
     return cands.select("cand", F.concat_ws("/", d, n.cast("string")).alias("label"))
 
 
-def islands(flags: DataFrame) -> DataFrame:
-    """(start, end exclusive) of the runs of true flags(t, on)."""
-    on = flags.where("on").select("t", (F.col("t") - F.row_number().over(Window.orderBy("t"))).alias("g"))
-    return on.groupBy("g").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("end")).select("start", "end")
+def islands(flags: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., start, end exclusive) of the runs of true flags(keys..., t, on), for each value of the keys."""
+    on = flags.where("on").select(*keys, "t", (F.col("t") - F.row_number().over(Window.partitionBy(*keys).orderBy("t"))).alias("g"))
+    return on.groupBy(*keys, "g").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("end")).drop("g")

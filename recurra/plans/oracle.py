@@ -11,7 +11,7 @@ LI = """cell AS (SELECT l_returnflag AS key, (epoch_us(l_shipdate) - epoch_us(TI
 sig AS (SELECT dim, t, coalesce(v, 0) AS v FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS dim, unnest(range((SELECT max(t) + 1 FROM cell))) AS t FROM (SELECT DISTINCT key FROM cell)) LEFT JOIN cell USING (key, t))"""
 OW = """cell AS (SELECT o_orderpriority AS key, (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01')) // 604800000000 AS t, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL),
 sig AS (SELECT dim, t, coalesce(v, 0) AS v FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS dim, unnest(range((SELECT max(t) + 1 FROM cell))) AS t FROM (SELECT DISTINCT key FROM cell)) LEFT JOIN cell USING (key, t))"""
-EMB = """sig AS (SELECT vec_id AS t, unnest(range(8)) AS dim, CAST(unnest(embedding[1:8]) AS DOUBLE) AS v FROM embeddings)"""
+EMB = """sig AS (SELECT vec_id AS t, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"""
 
 
 def win(w: int) -> str:
@@ -128,8 +128,8 @@ z AS (SELECT dim, i, list_transform(list_transform(x, lambda e: (e - mean) / CAS
 df AS (SELECT k, ks.dim, unnest(a.x) - unnest(b.x) AS v FROM ks JOIN z a ON a.dim = ks.dim AND a.i = 10 JOIN z b ON b.dim = ks.dim AND b.i = 100)
 SELECT k, round(8 * (80 - 8 * count(DISTINCT dim)) + count(DISTINCT dim) * 8 * log2(count(DISTINCT v)) + count(DISTINCT v) * 8, 6) AS bits FROM df GROUP BY k""",
     "ab_join_profile": f"WITH {EV}, {win(24)} SELECT a.i, min(round(sqrt({dist('znorm', 24)}), 5)) AS d FROM win a JOIN win b ON a.dim = 0 AND b.dim = 4 GROUP BY a.i",
-    "mpdist": f"WITH {EV}, {win(24)}, p AS (SELECT a.i, b.i AS j, round(sqrt({dist('znorm', 24)}), 5) AS d FROM win a JOIN win b ON a.dim = 0 AND b.dim = 4), u AS (SELECT min(d) AS d FROM p GROUP BY i UNION ALL SELECT min(d) FROM p GROUP BY j) SELECT d AS distance FROM u QUALIFY row_number() OVER (ORDER BY d) = 1 + ceil(0.05 * 1440)",
-    "topk_merge": f"WITH {OWK}, u AS (SELECT DISTINCT i, y.j AS j, y.d AS d FROM knn WHERE dim IN (0, 1)) SELECT i, j, d FROM u QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 3",
+    "mpdist": f"WITH {EV}, {win(24)}, p AS (SELECT a.i, b.i AS j, round(sqrt({dist('znorm', 24)}), 5) AS d FROM win a JOIN win b ON a.dim = 0 AND b.dim = 4), u AS (SELECT min(d) AS d FROM p GROUP BY i UNION ALL SELECT min(d) FROM p GROUP BY j) SELECT d AS distance FROM u QUALIFY row_number() OVER (ORDER BY d) = 1 + ceil(0.05 * (SELECT count(*) FROM sig WHERE dim IN (0, 4)))",
+    "topk_merge": f"WITH {OWK}, u AS (SELECT DISTINCT i, y.j AS j, y.d AS d FROM knn) SELECT i, j, d FROM u QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 3",
     "pan_contrast": f"WITH {KNN1}, p AS (SELECT dim, i, percent_rank() OVER (ORDER BY d) AS r FROM nn) SELECT CAST(dim AS INTEGER) AS dim, i, round(1 / (1 + exp(-10 * (r - 0.2))), 6) AS contrast, r <= 0.2 AS on FROM p",
     "overlap_graph": f"WITH {CAND} SELECT src, dst, round(weight, 6) AS weight FROM edge",
     "scc_merge": f"WITH RECURSIVE {CAND}, {REACH} SELECT cand, array_to_string(dims, ',') AS dims, (SELECT count(*) FROM mpos WHERE scc = cand) AS n_positions FROM merged",
@@ -149,7 +149,7 @@ c2 AS (SELECT sink, ancestor, 'both' AS part, (SELECT count(*) FROM cpos a JOIN
 SELECT a.id AS a, b.id AS b, round((least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s)), 6) AS rate FROM a JOIN b ON a.s < b.e AND b.s < a.e""",
     "gt_best_match": f"""WITH {MASKS}, a AS (SELECT label, label * 100000 + min(t) AS id, min(t) AS s, max(t) + 1 AS e FROM (SELECT label, t, t - row_number() OVER (PARTITION BY label ORDER BY t) AS g FROM rm) GROUP BY label, g), b AS (SELECT label, min(t) AS s, max(t) + 1 AS e FROM (SELECT label, t, t - row_number() OVER (PARTITION BY label ORDER BY t) AS g FROM pm) GROUP BY label, g),
 o AS (SELECT a.label AS gt, a.id AS occ, b.label AS disc, (least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s)) AS rate FROM a JOIN b ON a.s < b.e AND b.s < a.e) SELECT gt, occ, disc FROM o WHERE rate > 0.5 QUALIFY row_number() OVER (PARTITION BY gt, occ ORDER BY rate DESC, disc) = 1""",
-    "dim_prf": f"WITH {EV}, r AS (SELECT t % 50 AS motif, list(DISTINCT dim) AS r FROM sig WHERE v > 0 AND t < 400 GROUP BY 1), p AS (SELECT t % 50 AS motif, list(DISTINCT dim) AS p FROM sig WHERE v > 50 AND t >= 400 AND t < 500 GROUP BY 1) SELECT motif, round(len(list_intersect(r, p)) / len(p), 6) AS precision, round(len(list_intersect(r, p)) / len(r), 6) AS recall, round(2 * len(list_intersect(r, p)) / (len(r) + len(p)), 6) AS f1, round(len(list_intersect(r, p)) / len(list_distinct(list_concat(r, p))), 6) AS jaccard FROM r JOIN p USING (motif)",
+    "dim_prf": f"WITH {EV}, r AS (SELECT t % 50 AS motif, list(DISTINCT dim) AS r FROM sig WHERE v > 0 AND t < 400 GROUP BY 1), p AS (SELECT t % 50 AS motif, list(DISTINCT dim) AS p FROM sig WHERE v > 50 AND t >= 400 GROUP BY 1) SELECT motif, round(len(list_intersect(r, p)) / len(p), 6) AS precision, round(len(list_intersect(r, p)) / len(r), 6) AS recall, round(2 * len(list_intersect(r, p)) / (len(r) + len(p)), 6) AS f1, round(len(list_intersect(r, p)) / len(list_distinct(list_concat(r, p))), 6) AS jaccard FROM r JOIN p USING (motif)",
     "start_end_masks": f"WITH {EMB}, o AS (SELECT label AS motif, vec_id AS s, vec_id + 3 AS e FROM embeddings) SELECT DISTINCT CAST(motif AS INTEGER) AS motif, unnest(range(s, e)) AS t FROM o",
     "profile_from_neighbours": f"WITH {KNN1} SELECT CAST(n.dim AS INTEGER) AS dim, n.i, n.j, round(sqrt({dist('znorm', 24)}), 4) AS d FROM nn n JOIN win a ON n.dim = a.dim AND n.i = a.i JOIN win b ON n.dim = b.dim AND n.j = b.i",
 }
@@ -164,6 +164,11 @@ ORACLE |= {
 p AS (SELECT b.i, round(avg({_profile(16)}), 4) AS d FROM win b JOIN q a USING (dim) GROUP BY b.i),
 r AS (SELECT greatest(avg(d) - 2 * stddev_pop(d), min(d)) AS r FROM p),
 g AS (SELECT list_reduce(list_sort(list({{'d': d, 'i': i}})), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.i - y.i) <= 4)) = 0 THEN list_append(acc, y) ELSE acc END, CAST([] AS STRUCT(d DOUBLE, i BIGINT)[])) AS k FROM p, r WHERE d <= r)
+SELECT unnest(k).i AS i, unnest(k).d AS d FROM g""",
+    "query_match_whole": f"""WITH {EMB}, {win(16)}, q AS (SELECT * FROM win WHERE i = 100),
+p AS (SELECT b.i, round(avg({_profile(16)}), 4) AS d FROM win b JOIN q a USING (dim) GROUP BY b.i),
+r AS (SELECT greatest(avg(d) - 2 * stddev_pop(d), min(d)) AS r FROM p),
+g AS (SELECT list_reduce(list_sort(list({{'d': d, 'i': i}})), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.i - y.i) <= 4)) = 0 THEN list_append(acc, y) ELSE acc END, CAST([] AS STRUCT(d DOUBLE, i BIGINT)[])) AS k FROM p, r WHERE d <= r)
 SELECT unnest(k).i AS i, unnest(k).d AS d FROM g""",
     "signal_checks": f"""WITH {LI}, {HOLES} SELECT CAST(dim AS INTEGER) AS dim, count(*) AS n, count(*) FILTER (v IS NULL OR isnan(v)) AS n_missing, count(*) FILTER (isinf(v)) AS n_infinite,
 min(v) FILTER (NOT isnan(v)) AS low, max(v) FILTER (NOT isnan(v)) AS high, max(t) - min(t) + 1 = count(DISTINCT t) AS dense FROM hole WHERE t % 1000 <> 999 OR dim <> 1 GROUP BY dim""",
@@ -176,12 +181,12 @@ pk AS (SELECT t, CAST(count(*) - 2 AS INTEGER) AS motif FROM hot GROUP BY t HAVI
     "distance_matrix": f"WITH {OW}, {win(8)} SELECT a.i, b.i AS j, round(list_distance(a.x, b.x), 6) AS d FROM win a JOIN win b ON a.dim = 0 AND b.dim = 4 AND b.i % 10 = 0",
     "replace_distance": f"WITH {EMB}, {win(16)}, p AS (SELECT b.dim, b.i, round({_profile(16)}, 4) AS d FROM win a JOIN win b ON a.dim = b.dim AND a.i = 100) SELECT CAST(dim AS INTEGER) AS dim, i, CASE WHEN d = 0 THEN -1 ELSE d END AS d FROM p",
     "pair_neighbours": f"""WITH {EMB}, {win(16)}, p AS (SELECT b.i, avg({_profile(16)}) FILTER (a.i = 100) AS a, avg({_profile(16)}) FILTER (a.i = 300) AS b FROM win a JOIN win b ON a.dim = b.dim AND a.i IN (100, 300) GROUP BY b.i),
-n AS (SELECT i, round(least(a, b), 4) AS d FROM p WHERE round(least(a, b), 4) < (SELECT a * 0.9 FROM p WHERE i = 300)),
+n AS (SELECT i, round(least(a, b), 4) AS d FROM p WHERE round(least(a, b), 4) < (SELECT a * 0.98 FROM p WHERE i = 300)),
 g AS (SELECT list_reduce(list_sort(list({{'d': d, 'i': i}})), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.i - y.i) <= 15)) = 0 THEN list_append(acc, y) ELSE acc END, CAST([] AS STRUCT(d DOUBLE, i BIGINT)[])) AS k FROM n) SELECT unnest(k).i AS i, unnest(k).d AS d FROM g""",
     "subspace_include": f"WITH {OW}, {win(8)}, p AS (SELECT b.dim, round({_profile(8)}, 6) AS d FROM win a JOIN win b ON a.dim = b.dim AND a.i = 10 AND b.i = 100) SELECT CAST(row_number() OVER (ORDER BY CASE dim WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END, CASE WHEN dim NOT IN (1, 3) THEN d END, dim) - 1 AS INTEGER) AS k, CAST(dim AS INTEGER) AS dim FROM p",
     "total_coverage": f"WITH RECURSIVE {CAND}, {REACH} SELECT CAST(sum(coverage) AS BIGINT) AS total FROM (SELECT coverage FROM cover ORDER BY coverage DESC, cand LIMIT 3)",
     "relabelled": f"WITH {CAND} SELECT cand, dim || '/' || row_number() OVER (PARTITION BY dim ORDER BY n DESC, cand) AS label FROM cn",
-    "run_islands": f"WITH {EV} SELECT min(t) AS start, max(t) + 1 AS \"end\" FROM (SELECT t, t - row_number() OVER (ORDER BY t) AS g FROM sig WHERE dim = 0 AND v > 0) GROUP BY g",
-    "linkage_rates": """WITH e AS (SELECT vec_id AS m, CAST(floor(CAST(unnest(embedding[1:3]) AS DOUBLE) * 10) AS BIGINT) AS s FROM embeddings WHERE vec_id < 200),
+    "run_islands": f"WITH {EV} SELECT CAST(dim AS INTEGER) AS dim, min(t) AS start, max(t) + 1 AS \"end\" FROM (SELECT dim, t, t - row_number() OVER (PARTITION BY dim ORDER BY t) AS g FROM sig WHERE v > 0) GROUP BY dim, g",
+    "linkage_rates": """WITH e AS (SELECT vec_id AS m, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 10) AS BIGINT) AS s FROM embeddings),
 r AS (SELECT a.m // 2 AS k, greatest(0, least(a.s, b.s) + 20 - greatest(a.s, b.s)) / (greatest(a.s, b.s) + 20 - least(a.s, b.s)) AS r FROM e a JOIN e b ON a.m % 2 = 0 AND b.m = a.m + 1) SELECT k, round(avg(r), 6) AS average, round(min(r), 6) AS complete FROM r GROUP BY k""",
 }

@@ -24,9 +24,8 @@ def query(f: Query) -> Query:
 
 
 def emb_query(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """Registers f over the whole vectors as NAME_whole, and as NAME over their first 8 elements, which the SQL of NAME takes."""
-    QUERIES[f.__name__] = lambda spark, d: f(sg.emb(spark, d, 8))
-    QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(sg.emb(spark, d))
+    """Registers f over the vectors, an element a dim."""
+    QUERIES[f.__name__] = lambda spark, d: f(sg.emb(spark, d))
     return f
 
 
@@ -287,14 +286,14 @@ def ab_join_profile(spark, d):
 def mpdist(spark, d):
     """The (5 % of all samples + 1)-th smallest of both join profiles."""
     both = _ab(spark, d, False).unionByName(_ab(spark, d, True)).where("d is not null")
-    k = 1 + int(np.ceil(0.05 * 1440))
+    k = 1 + int(np.ceil(0.05 * sg.ev_signal(spark, d).where("dim in (0, 4)").count()))
     return both.orderBy("d").limit(k).agg(F.max("d").alias("distance"))
 
 
 @query
 def topk_merge(spark, d):
-    """The best three different neighbours of two dims' lists together."""
-    both = neighbours.knn(sg.ord_week(spark, d), 8, 3).where("dim in (0, 1)").select("i", "j", "d").distinct()
+    """The best three different neighbours of all dims' lists together."""
+    both = neighbours.knn(sg.ord_week(spark, d), 8, 3).select("i", "j", "d").distinct()
     return both.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where("n <= 3").drop("n")
 
 
@@ -462,17 +461,11 @@ def _dim_prf(s: DataFrame) -> DataFrame:
 
 
 @query
-def dim_prf_whole(spark, d):
+def dim_prf(spark, d):
     """Dims of the hours before 400 against those of all later hours."""
     return _dim_prf(sg.ev_signal(spark, d))
 
 
-@query
-def dim_prf(spark, d):
-    """As dim_prf_whole, up to hour 500, where the SQL ends."""
-    return _dim_prf(sg.ev_signal(spark, d).where("t < 500"))
-
-
 @query
 def start_end_masks(spark, d):
     e = sg.table(spark, d, "embeddings")
@@ -543,15 +536,19 @@ def _found(spark, f: methods.Found) -> DataFrame:
     return spark.createDataFrame(rows, "motif int, dims string, start long, end long")
 
 
+#: Weekly orders by priority hold motifs at every size; hourly events are noise, in which the automatic cuts rightly find none.
+MAIN = dict(wlen=8, max_wlen=12, n_patterns=3)
+
+
 @query
 def coordinated_motifs(spark, d):
-    return _found(spark, methods.LinkedMotifs(24, 36).fit(sg.ev_signal(spark, d)))
+    return _found(spark, methods.LinkedMotifs(**MAIN).fit(sg.ord_week(spark, d)))
 
 
 @query
 def retuned_motifs(spark, d):
     """Under other cuts and numbers, from one neighbour search."""
-    with methods.LinkedMotifs(24, 36).prepared(sg.ev_signal(spark, d)) as tail:
+    with methods.LinkedMotifs(**MAIN).prepared(sg.ord_week(spark, d)) as tail:
         found = [tail.found(), tail.found(n_patterns=2), tail.found(ratio=0.8)]
     return spark.createDataFrame([(k, m, ",".join(map(str, x.dims)), len(x.spans)) for k, f in enumerate(found) for m, x in enumerate(f.motifs)], "run int, motif int, dims string, n int")
 
@@ -656,9 +653,9 @@ def replace_distance(sig):
 
 @emb_query
 def pair_neighbours(sig):
-    """Windows nearer to one of two references than 0.9 times the distance between these, greedily a window apart."""
+    """Windows nearer to one of two references than 0.98 times the distance between these, greedily a window apart."""
     p = distance_profile(sig, 16, 100).groupBy("i").agg(F.avg("d").alias("a")).join(distance_profile(sig, 16, 300).groupBy("i").agg(F.avg("d").alias("b")), "i")
-    cut = p.where("i = 300").select((F.col("a") * 0.9).alias("cut"))
+    cut = p.where("i = 300").select((F.col("a") * 0.98).alias("cut"))
     near = p.select("i", F.round(F.least("a", "b"), 4).alias("d")).join(F.broadcast(cut)).where("d < cut").drop("cut")  # one row
     return greedy(near, 15)
 
@@ -682,11 +679,11 @@ def relabelled(spark, d):
 
 @query
 def run_islands(spark, d):
-    return checks.islands(sg.ev_signal(spark, d).where("dim = 0").select("t", (F.col("v") > 0).alias("on")))
+    return checks.islands(sg.ev_signal(spark, d).select("dim", "t", (F.col("v") > 0).alias("on")), "dim")
 
 
 @query
-def linkage_rates_whole(spark, d):
+def linkage_rates(spark, d):
     """Mean and least overlap rate over all pairs of dims of two motifs' occurrences: of vectors 2 k and 2 k + 1, all elements."""
     e = sg.table(spark, d, "embeddings").select(F.col("vec_id").alias("m"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 10)).alias("s"))
     a, b = e.where("m % 2 = 0").select((F.col("m") / 2).cast("long").alias("k"), "s"), e.where("m % 2 = 1").select(F.floor(F.col("m") / 2).alias("k"), F.col("s").alias("t"))
@@ -696,16 +693,6 @@ def linkage_rates_whole(spark, d):
     return rates.select("k", F.round(mean, 6).alias("average"), F.round(F.array_min("r"), 6).alias("complete"))
 
 
-@query
-def linkage_rates(spark, d):
-    """As linkage_rates_whole, of the 200 vectors and 3 elements that the SQL takes."""
-    e = sg.table(spark, d, "embeddings").where("vec_id < 200")
-    at = e.select(F.col("vec_id").alias("m"), F.posexplode(F.slice("embedding", 1, 3)).alias("dim", "v")).select("m", "dim", F.floor(F.col("v") * 10).alias("start"))
-    a, b = at.where("m % 2 = 0").select((F.col("m") / 2).cast("long").alias("k"), F.col("start").alias("s")), at.where("m % 2 = 1").select(F.floor(F.col("m") / 2).alias("k"), F.col("start").alias("t"))
-    rate = F.greatest(F.lit(0), F.least(F.col("s"), F.col("t")) + 20 - F.greatest("s", "t")) / (F.greatest(F.col("s"), F.col("t")) + 20 - F.least("s", "t"))
-    return a.join(b, "k").groupBy("k").agg(F.round(F.avg(rate), 6).alias("average"), F.round(F.min(rate), 6).alias("complete"))
-
-
 @query
 def set_spans(spark, d):
     """Start and end over all dims of each occurrence of subspace motifs, as one interval: the weeks in which two or more priorities have more orders than a quarter above their mean, each dim with the run that it has there."""

@@ -15,15 +15,15 @@ def test_all_elements_are_read(spark):
     x = np.array([r["embedding"] for r in sg.table(spark, SF, "embeddings").orderBy("vec_id").collect()], float)
     dims = x.shape[1]
     for name in ("znorm_signal", "query_profile", "query_profile_pnorm", "sliding_dot", "replace_distance"):
-        assert QUERIES[f"{name}_whole"](spark, SF).agg(F.countDistinct("dim")).first()[0] == dims > 8, name
-    assert QUERIES["dist_single_whole"](spark, SF).count() == dims
+        assert QUERIES[name](spark, SF).agg(F.countDistinct("dim")).first()[0] == dims > 8, name
+    assert QUERIES["dist_single"](spark, SF).count() == dims
     w = np.lib.stride_tricks.sliding_window_view(x, 16, 0)
     z = (w - w.mean(2, keepdims=True)) / w.std(2, keepdims=True)
-    for name, refs in (("query_match", [100]), ("pair_neighbours", [100, 300])):
+    for name, refs in (("query_match_whole", [100]), ("pair_neighbours", [100, 300])):
         if len(z) <= max(refs):
             continue
         d = np.stack([np.sqrt(((z - z[p]) ** 2).sum(2)).mean(1) for p in refs]).min(0)
-        got = QUERIES[f"{name}_whole"](spark, SF).collect()
+        got = QUERIES[name](spark, SF).collect()
         assert got
         for r in got:
             assert r["d"] == pytest.approx(d[r["i"]], abs=2e-4), name

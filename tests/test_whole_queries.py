@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 def test_linkage_rates_of_all_vectors_and_elements(spark):
     x = {r["vec_id"]: np.floor(np.array(r["embedding"], float) * 10) for r in sg.table(spark, SF, "embeddings").collect()}
-    got = {r["k"]: r for r in QUERIES["linkage_rates_whole"](spark, SF).collect()}
+    got = {r["k"]: r for r in QUERIES["linkage_rates"](spark, SF).collect()}
     assert set(got) == {m // 2 for m in x if m % 2 == 0 and m + 1 in x} and len(got) > 100
     for k in list(got)[::37]:
         a, b = x[2 * k][:, None], x[2 * k + 1]
@@ -49,11 +49,11 @@ def test_all_hours_and_dims_are_read(spark, monkeypatch):
             real.setdefault(r["t"] % 50, set()).add(r["dim"])
         if r["v"] > 50 and r["t"] >= 400:
             pred.setdefault(r["t"] % 50, set()).add(r["dim"])
-    got = {r["motif"]: r["jaccard"] for r in QUERIES["dim_prf_whole"](spark, SF).collect()}
+    got = {r["motif"]: r["jaccard"] for r in QUERIES["dim_prf"](spark, SF).collect()}
     for k in set(real) & set(pred):
         assert got[k] == pytest.approx(len(real[k] & pred[k]) / len(real[k] | pred[k]), abs=2e-6)
     assert QUERIES["subspace_merge"](spark, SF).agg(F.max("dim")).first()[0] >= 3
     seen = []
-    events = sg.ev_signal
-    monkeypatch.setattr(sg, "ev_signal", lambda *a: seen.append(a) or events(*a))
+    weeks = sg.ord_week
+    monkeypatch.setattr(sg, "ord_week", lambda *a: seen.append(a) or weeks(*a))
     assert QUERIES["coordinated_motifs"](spark, SF).columns and seen
