@@ -55,11 +55,17 @@ def statistics(w: int, *keys: str) -> dict[str, Column]:
     }
 
 
-def windows(sig: DataFrame, w: int, *names: str) -> DataFrame:
-    """(dim, i, names...) for every complete window of w samples."""
+def windows(sig: DataFrame, w: int, *names: str, override: str | None = None) -> DataFrame:
+    """(dim, i, names...) for every complete window of w samples.
+
+    override: a boolean column of sig that says at a window's first sample whether it is constant; null leaves that to the
+    samples. A window with unsound samples is never constant, whatever the column says.
+    """
     if w < 3:
         raise ValueError("windows have 3 samples at least")
     made = statistics(w)
+    if override:
+        made["constant"] = F.coalesce(made["finite"] & F.coalesce(F.col(override), made["constant"]), F.lit(False))
     return chunked(sig, 0, w - 1).select("own", "chunk", "dim", F.col("t").alias("i"), *(made[n].alias(n) for n in names), F.count("*").over(frame(w)).alias("n")).where((F.col("n") == w) & (F.col("own") == F.col("chunk"))).drop("n", "own", "chunk")
 
 

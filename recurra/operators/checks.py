@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +30,31 @@ def finite_windows(sig: DataFrame, w: int) -> DataFrame:
     return windows(sig, w, "finite")
 
 
-def include_order(pair_dims: DataFrame, include: list[int]) -> DataFrame:
-    """(k, dim) of pair_dims(dim, d): the included dims first in the order given, then by distance and dim."""
+def include_order(pair_dims: DataFrame, include: list[int], discords: bool = False) -> DataFrame:
+    """(k, dim) of pair_dims(dim, d): the included dims first in the order given, then by distance and dim; discords: the farthest first."""
     place = F.coalesce(*(F.when(F.col("dim") == d, k) for k, d in enumerate(dict.fromkeys(include))), F.lit(len(include)))
-    order = Window.orderBy(place, F.when(place == len(include), F.col("d")), "dim")  # one row a dim
+    d = F.when(place == len(include), F.col("d"))
+    order = Window.orderBy(place, d.desc() if discords else d, "dim")  # one row a dim
     return pair_dims.select((F.row_number().over(order) - 1).alias("k"), "dim")
 
 
+def equal_series(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(equal): whether two series (t, v) have the same samples; missing ones equal missing ones, NaN equals NaN. Two empty series are equal."""
+    both = a.select("t", F.col("v").alias("p"), F.lit(True).alias("in_a")).join(b.select("t", F.col("v").alias("q"), F.lit(True).alias("in_b")), "t", "full")
+    same = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & F.col("p").eqNullSafe(F.col("q"))
+    return both.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("equal"))
+
+
+def without_trivial(a: DataFrame, b: DataFrame, ignore_trivial: bool) -> bool:
+    """Whether a window's own neighbourhood is left out of a join of two series: only in a self-join. Warns where the caller's wish and the series disagree."""
+    equal = equal_series(a, b).first()[0]
+    if equal and not ignore_trivial:
+        warnings.warn("the series are equal, so this is a self-join: every window finds itself unless trivial matches are ignored", stacklevel=2)
+    if ignore_trivial and not equal:
+        warnings.warn("the series differ, so this is a join of two: trivial matches are not ignored", stacklevel=2)
+    return ignore_trivial and equal
+
+
 def relabel(cands: DataFrame) -> DataFrame:
     """(cand, label): candidates of equal dims numbered by descending number of positions, as dims/number."""
     d = F.array_join("dims", ",")

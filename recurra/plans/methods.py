@@ -34,6 +34,11 @@ class Found:
     def dimensions(self, spark) -> DataFrame:
         return spark.createDataFrame([(m, int(d)) for m, x in enumerate(self.motifs) for d in x.dims], "motif int, dim int")
 
+    def write(self, spark, path: str, mode: str = "error") -> None:
+        """Both tables as Parquet under path: occurrences, dimensions."""
+        self.occurrences(spark).write.mode(mode).parquet(f"{path}/occurrences")
+        self.dimensions(spark).write.mode(mode).parquet(f"{path}/dimensions")
+
 
 @dataclass
 class LinkedMotifs:
@@ -89,9 +94,10 @@ class Tail:
     edges: DataFrame
     n: int
 
-    def persistence(self) -> DataFrame:
-        """(dim, birth, death, cluster) of every dim."""
-        return ps.persistence(self.edges)
+    def persistence(self, infinite: bool = True, dim: int | None = None) -> DataFrame:
+        """(dim, birth, death, cluster) of every dim, or one. What never dies has an infinite death; infinite=False: 2, to which distances saturate."""
+        p = ps.persistence(self.edges if dim is None else self.edges.where(F.col("dim") == dim))
+        return p if infinite else p.withColumn("death", F.least("death", F.lit(2.0)))
 
     def cuts(self) -> tuple[float, float] | None:
         return self.method.cuts(self.edges)

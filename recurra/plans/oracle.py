@@ -95,6 +95,7 @@ ORACLE: dict[str, str] = {
     "win_slope_resid": f"WITH {EV}, {win(24)} SELECT CAST(dim AS INTEGER) AS dim, i, round(slope, 6) AS slope, round(eta, 4) AS eta FROM win",
     "win_energy": f"WITH {EV}, {win(24)} SELECT CAST(dim AS INTEGER) AS dim, i, round(energy, 4) AS energy FROM win",
     "win_minmax": f"WITH {LI}, {win(28)} SELECT CAST(dim AS INTEGER) AS dim, i, low, high FROM win",
+    "win_constant_override": f"WITH {LI}, {HOLES}, {HOLE_WIN} SELECT CAST(dim AS INTEGER) AS dim, i, CASE WHEN n_sound < 7 THEN false WHEN i % 50 < 5 THEN true WHEN i % 50 < 25 THEN false ELSE low = high END AS constant FROM hw",
     "win_constant": f"WITH {LI}, {HOLES}, {HOLE_WIN} SELECT CAST(dim AS INTEGER) AS dim, i, n_sound = 7 AND low = high AS constant, n_sound = 7 AS finite FROM hw",
     "win_nan_rules": f"""WITH {LI}, {HOLES}, {HOLE_WIN} SELECT CAST(dim AS INTEGER) AS dim, i, round(CASE WHEN n_number = n_sound AND n_sound > 0 THEN sd END, 3) AS nan_std, low AS nan_low, high AS nan_high,
 round(CASE WHEN n_sound = 7 THEN mean ELSE 'inf'::DOUBLE END, 3) AS valid_mean, round(CASE WHEN n_sound = 7 THEN sd ELSE 0 END, 3) AS valid_std FROM hw""",
@@ -183,6 +184,8 @@ pk AS (SELECT t, CAST(count(*) - 2 AS INTEGER) AS motif FROM hot GROUP BY t HAVI
     "pair_neighbours": f"""WITH {EMB}, {win(16)}, p AS (SELECT b.i, avg({_profile(16)}) FILTER (a.i = 100) AS a, avg({_profile(16)}) FILTER (a.i = 300) AS b FROM win a JOIN win b ON a.dim = b.dim AND a.i IN (100, 300) GROUP BY b.i),
 n AS (SELECT i, round(least(a, b), 4) AS d FROM p WHERE round(least(a, b), 4) < (SELECT a * 0.98 FROM p WHERE i = 300)),
 g AS (SELECT list_reduce(list_sort(list({{'d': d, 'i': i}})), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: abs(z.i - y.i) <= 15)) = 0 THEN list_append(acc, y) ELSE acc END, CAST([] AS STRUCT(d DOUBLE, i BIGINT)[])) AS k FROM n) SELECT unnest(k).i AS i, unnest(k).d AS d FROM g""",
+    "subspace_discords": f"WITH {OW}, {win(8)}, p AS (SELECT b.dim, round({_profile(8)}, 6) AS d FROM win a JOIN win b ON a.dim = b.dim AND a.i = 10 AND b.i = 100) SELECT CAST(row_number() OVER (ORDER BY dim <> 3, d DESC, dim) - 1 AS INTEGER) AS k, CAST(dim AS INTEGER) AS dim FROM p",
+    "equal_dims": f"WITH {EV} SELECT CAST(b.dim AS INTEGER) AS dim, bool_and(a.v = b.v) AS equal FROM sig a JOIN sig b ON a.dim = 0 AND a.t = b.t GROUP BY b.dim",
     "subspace_include": f"WITH {OW}, {win(8)}, p AS (SELECT b.dim, round({_profile(8)}, 6) AS d FROM win a JOIN win b ON a.dim = b.dim AND a.i = 10 AND b.i = 100) SELECT CAST(row_number() OVER (ORDER BY CASE dim WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END, CASE WHEN dim NOT IN (1, 3) THEN d END, dim) - 1 AS INTEGER) AS k, CAST(dim AS INTEGER) AS dim FROM p",
     "total_coverage": f"WITH RECURSIVE {CAND}, {REACH} SELECT CAST(sum(coverage) AS BIGINT) AS total FROM (SELECT coverage FROM cover ORDER BY coverage DESC, cand LIMIT 3)",
     "relabelled": f"WITH {CAND} SELECT cand, dim || '/' || row_number() OVER (PARTITION BY dim ORDER BY n DESC, cand) AS label FROM cn",

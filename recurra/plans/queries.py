@@ -61,6 +61,14 @@ def win_constant(spark, d):
     return windows.windows(sg.with_holes(sg.li_day(spark, d)), 7, "constant", "finite")
 
 
+@query
+def win_constant_override(spark, d):
+    """Constancy with some windows declared constant and others not."""
+    k = F.col("t") % 50
+    s = sg.with_holes(sg.li_day(spark, d)).withColumn("told", F.when(k < 5, True).when(k < 25, False))
+    return windows.windows(s, 7, "constant", override="told")
+
+
 @query
 def win_nan_rules(spark, d):
     """Statistics that pass over missing and infinite samples, and those that need whole windows."""
@@ -666,6 +674,24 @@ def subspace_include(spark, d):
     return checks.include_order(distance_profile(sg.ord_week(spark, d), 8, 10).where("i = 100").select("dim", F.round("d", 6).alias("d")), [3, 1])
 
 
+@query
+def subspace_discords(spark, d):
+    """Dims of a pair, one included first, then the farthest first."""
+    return checks.include_order(distance_profile(sg.ord_week(spark, d), 8, 10).where("i = 100").select("dim", F.round("d", 6).alias("d")), [3], discords=True)
+
+
+@query
+def equal_dims(spark, d):
+    """Whether the first event type's series equals itself, and each other type's."""
+    s = sg.ev_signal(spark, d)
+    first = s.where("dim = 0").select("t", "v")
+    out = None
+    for k in range(5):
+        one = checks.equal_series(first, s.where(F.col("dim") == k).select("t", "v")).select(F.lit(k).alias("dim"), "equal")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def total_coverage(spark, d):
     c, _, m = _scc(spark, d)

@@ -12,6 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def collection(spark: SparkSession, path: str, part: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """signal(series_id, dim, t, v) and motif_loc(series_id, set_id, occ_id, dim, start, end) of a collection of labelled series: folders `signal` and `motif_loc` under path, or under one of its parts ('validation', 'test')."""
+    root = f"{path}/{part}" if part else path
+    return spark.read.parquet(f"{root}/signal"), spark.read.parquet(f"{root}/motif_loc")
+
+
+def single(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """signal(dim, t, v) and motif_loc(set_id, occ_id, dim, start, end) of a collection of one series; more or none are refused."""
+    sig, truth = collection(spark, path)
+    if (n := len(sig.select("series_id").distinct().take(2))) != 1:
+        raise ValueError(f"{'no' if n == 0 else 'more than one'} series under {path}: `collection` reads those")
+    return sig.drop("series_id"), truth.drop("series_id")
+
+
 def to_signal(df: DataFrame, t: Column, key: Column, v: Column, length: int | None = None) -> DataFrame:
     """Dense signal: v (an aggregate) by time bucket t and key; dims are the keys' ranks, missing cells 0.
 

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from recurra.operators import checks, metrics, warped
 from recurra.plans import synthetic
@@ -56,3 +57,59 @@ def test_checks(spark):
     flags = spark.createDataFrame([(t, t in (1, 2, 5)) for t in range(7)], "t long, on boolean")
     assert sorted(map(tuple, checks.islands(flags).collect())) == [(1, 3), (5, 6)]
     assert checks.signal_checks(sig.limit(0)).count() == 0
+
+
+def test_constant_windows_may_be_told(spark):
+    from recurra.functions import windows
+
+    rows = [(0, t, 1.0 if t < 6 else float(t), told) for t, told in enumerate([None, False, None, None, None, True, None, True, None, None])]
+    rows[9] = (0, 9, float("nan"), None)
+    sig = spark.createDataFrame(rows, "dim int, t long, v double, told boolean")
+    got = {r["i"]: r["constant"] for r in windows.windows(sig, 3, "constant", override="told").collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: False}
+    assert not windows.windows(sig, 3, "constant").where("i = 5").first()["constant"]
+
+
+def test_self_joins_are_told_from_joins_of_two(spark):
+    a = spark.createDataFrame([(0, 1.0), (1, None), (2, float("nan"))], "t long, v double")
+    b = a.where("t < 2")
+    assert checks.without_trivial(a, a, True) and not checks.equal_series(a, b).first()[0] and checks.equal_series(a.limit(0), b.limit(0)).first()[0]
+    with pytest.warns(UserWarning, match="self-join"):
+        assert not checks.without_trivial(a, a, False)
+    with pytest.warns(UserWarning, match="differ"):
+        assert not checks.without_trivial(a, b, True)
+
+
+def test_collections_and_found_motifs_go_through_files(spark, tmp_path):
+    from recurra.plans import methods
+    from recurra.sources import signals
+
+    sig = spark.createDataFrame([("a", 0, t, float(t)) for t in range(4)], "series_id string, dim int, t long, v double")
+    loc = spark.createDataFrame([("a", 0, 0, 0, 1, 3)], "series_id string, set_id int, occ_id int, dim int, start long, end long")
+    for x, name in ((sig, "signal"), (loc, "motif_loc")):
+        x.write.parquet(f"{tmp_path}/test/{name}")
+        x.unionByName(x.selectExpr("'b' AS series_id", *x.columns[1:])).write.parquet(f"{tmp_path}/two/{name}")
+    one, truth = signals.single(spark, f"{tmp_path}/test")
+    assert one.columns == ["dim", "t", "v"] and one.count() == 4 and truth.first()["end"] == 3
+    assert signals.collection(spark, str(tmp_path), "two")[0].count() == 8
+    with pytest.raises(ValueError, match="more than one"):
+        signals.single(spark, f"{tmp_path}/two")
+    found = methods.Found([methods.Motif([0, 2], [(1, 5), (9, 13)]), methods.Motif([1], [(3, 7)])])
+    found.write(spark, f"{tmp_path}/found")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/found/occurrences").collect())) == [(0, 1, 5), (0, 9, 13), (1, 3, 7)]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/found/dimensions").collect())) == [(0, 0), (0, 2), (1, 1)]
+
+
+def test_what_never_dies_saturates(spark):
+    from recurra.plans import methods
+
+    edges = spark.createDataFrame([(0, 1, 2, 0.5), (0, 2, 3, 1.5), (1, 4, 5, 0.25)], "dim int, u long, v long, w double")
+    tail = methods.Tail(methods.LinkedMotifs(4), edges, 9)
+    assert sorted(r["death"] for r in tail.persistence(dim=0).collect())[-1] == float("inf")
+    assert sorted(r["death"] for r in tail.persistence(infinite=False).collect())[-2:] == [2.0, 2.0] and tail.persistence(dim=1).count() == 2
+
+
+def test_discords_come_farthest_first(spark):
+    pair = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 2.0), (3, 3.0)], "dim int, d double")
+    assert [r["dim"] for r in checks.include_order(pair, [2], discords=True).orderBy("k").collect()] == [2, 1, 3, 0]
+    assert [r["dim"] for r in checks.include_order(pair, [2]).orderBy("k").collect()] == [2, 0, 1, 3]
