@@ -24,6 +24,8 @@ from recurra.sources.tables import dropped, saved
 BLOCK = 512
 #: Windows of a tile's block: SMALL for short series, a PARTS-th of longer ones up to LARGE (a tile has the square of it in distances).
 SMALL, LARGE, PARTS = 1024, 4096, 32
+#: Zones of a block at least, up to LARGE: near a block's edge a pick can unsettle the next block's list, which is asked again.
+ZONES = 16
 #: Windows whose lists are merged together.
 LISTS = 256
 
@@ -67,14 +69,14 @@ def blocks(r: dict, m: int, dims: int = 1) -> Iterator[tuple[int, int]]:
         yield a, min(a + step, r["last"])
 
 
-def stretches(sig: DataFrame, w: int) -> DataFrame:
+def stretches(sig: DataFrame, w: int, zone: int = 0) -> DataFrame:
     """(dim, n, size, last, block, x): the samples of windows block * size and on, `size` of them or what is left, in order of t. n: samples of the dim; last: its last block.
 
     Every t from a dim's first to its last has one sample (a task that finds another number fails); windows are counted from
     the first. Series shorter than w have none.
     """
     ends = sig.groupBy("dim").agg(F.min("t").alias("t0"), (F.max("t") - F.min("t") + 1).alias("n")).where(F.col("n") >= w)
-    size = F.greatest(F.lit(max(SMALL, w)), F.least(F.lit(LARGE), F.ceil((F.col("n") - w + 1) / PARTS))).cast("long")
+    size = F.greatest(F.lit(max(SMALL, w, min(LARGE, ZONES * zone))), F.least(F.lit(LARGE), F.ceil((F.col("n") - w + 1) / PARTS))).cast("long")
     ends = ends.withColumn("size", size).withColumn("last", F.floor((F.col("n") - w) / F.col("size")))
     p = F.col("t") - F.col("t0")
     home = F.least("last", F.floor(p / F.col("size")))
@@ -184,7 +186,7 @@ def knn(sig: DataFrame, w: int, k: int = 1, metric: str = "detrended", zone: int
                     i, j, v = tiles.best_apart(d, zone, k)
                     yield from _lists(dim, size, _LEFT, a.first + np.array(rows)[i], hi, -1, b.first + j, v).to_batches()
 
-    blocks = saved(stretches(sig, w))
+    blocks = saved(stretches(sig, w, zone))
     lists = dealt(blocks).groupBy("dim", "lo", "hi").applyInArrow(compare, _LIST)
     found, rounds = [], []
     while True:
