@@ -1,17 +1,18 @@
 """Candidates as sets: containment edges, strongly connected merges, coverage, sinks and ancestors, greedy splits.
 
 cand(cand string, dims array<int>, positions array<long>); edges(src, dst, weight). Containment is counted by an
-equi-join on positions; reachability by squaring the closure until it stops growing, each round a checkpoint.
+equi-join on positions; components and ancestors come from operators.reach.
 """
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recurra.operators import reach
+
 
 def overlap_graph(cands: DataFrame, least: float = 0.8) -> DataFrame:
     """edges(src, dst, weight): |Pi & Pj| / |Pi| of ordered pairs, where it is `least` or more."""
@@ -21,28 +22,10 @@ def overlap_graph(cands: DataFrame, least: float = 0.8) -> DataFrame:
     return shared.select("src", "dst", (F.col("k") / F.col("n")).alias("weight")).where(F.col("weight") >= least)
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """reach(src, dst) over one edge or more, by squaring; each round cuts the lineage with a checkpoint."""
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if not shared and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="recurra-"))  # a fresh folder only where all runs in one local process, as in tests
-    reach, n = edges.select("src", "dst").distinct().checkpoint(), -1
-    while (m := reach.count()) != n:
-        n = m
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        reach = reach.union(longer).distinct().checkpoint()
-    return reach
-
-
 def scc(cands: DataFrame, edges: DataFrame) -> DataFrame:
     """(cand, scc): candidates that reach one another; a component is named by its smallest member."""
-    r = closure(edges)
-    back = r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = r.intersect(back)
-    return cands.select("cand").join(mutual.withColumnsRenamed({"src": "cand", "dst": "other"}), "cand", "left").groupBy("cand").agg(F.least("cand", F.min("other")).alias("scc"))
+    found = reach.components(edges).withColumnsRenamed({"v": "cand", "c": "scc"})
+    return cands.select("cand").distinct().join(found, "cand", "left").select("cand", F.coalesce("scc", "cand").alias("scc"))
 
 
 def scc_merge(cands: DataFrame, members: DataFrame) -> DataFrame:
@@ -73,10 +56,9 @@ def total_coverage(cover: DataFrame, n: int) -> DataFrame:
 
 def sinks_ancestors(cands: DataFrame, edges: DataFrame) -> DataFrame:
     """(sink, ancestor, sink_coverage, ancestor_coverage): nodes without outgoing edges, and what reaches them."""
-    sinks = cands.select("cand").join(edges.select(F.col("src").alias("cand")).distinct(), "cand", "left_anti")
     c = coverage(cands)
     return (
-        closure(edges).join(sinks.withColumnRenamed("cand", "dst"), "dst").select(F.col("dst").alias("sink"), F.col("src").alias("ancestor"))
+        reach.sinks(edges).select("sink", F.col("v").alias("ancestor"))
         .join(c.withColumnsRenamed({"cand": "sink", "coverage": "sink_coverage"}), "sink")
         .join(c.withColumnsRenamed({"cand": "ancestor", "coverage": "ancestor_coverage"}), "ancestor")
     )
@@ -151,12 +133,12 @@ def _reaches(links: list[list[int]]) -> list[set[int]]:
 
 def merged(cands: list[Candidate], least: float) -> list[Candidate]:
     """Mutually reachable candidates as one, in descending coverage."""
-    reach = _reaches(_links(cands, least))
+    reached = _reaches(_links(cands, least))
     done: set[int] = set()
     out = []
     for k, c in enumerate(cands):
         if k not in done:
-            group = [k, *sorted(o for o in reach[k] if k in reach[o] and o != k)]
+            group = [k, *sorted(o for o in reached[k] if k in reached[o] and o != k)]
             done.update(group)
             if len(group) > 1:
                 pos = frozenset.intersection(*(cands[o].positions for o in group))
@@ -178,12 +160,12 @@ def resolve(cands: list[Candidate], least: float = 0.8, n: int | None = None) ->
     """Merges, then splits sinks by ancestors while the best split raises the coverage of the top n; the top n."""
     now = merged(cands, least)
     while True:
-        reach = _reaches(links := _links(now, least))
+        reached = _reaches(links := _links(now, least))
         best, gain = None, 0
         for s, out in enumerate(links):
             if out:
                 continue
-            for a in (k for k in range(len(now)) if s in reach[k]):
+            for a in (k for k in range(len(now)) if s in reached[k]):
                 x, y = now[s], now[a]
                 inter = x.positions & y.positions
                 parts = [Candidate(f"({x.name}&{y.name})", x.dims | y.dims, inter), Candidate(f"({x.name}-{y.name})", x.dims, x.positions - inter), Candidate(f"({y.name}-{x.name})", y.dims, y.positions - inter)]
