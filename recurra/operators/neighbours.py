@@ -69,18 +69,19 @@ def blocks(r: dict, m: int, dims: int = 1) -> Iterator[tuple[int, int]]:
         yield a, min(a + step, r["last"])
 
 
-def stretches(sig: DataFrame, w: int, zone: int = 0) -> DataFrame:
+def stretches(sig: DataFrame, w: int, zone: int = 0, ahead: int | None = None) -> DataFrame:
     """(dim, n, size, last, block, x): the samples of windows block * size and on, `size` of them or what is left, in order of t. n: samples of the dim; last: its last block.
 
     Every t from a dim's first to its last has one sample (a task that finds another number fails); windows are counted from
-    the first. Series shorter than w have none.
+    the first. Series shorter than w have none. ahead: samples of the longest window that begins in a block, where that isn't w.
     """
+    ahead = ahead or w
     ends = sig.groupBy("dim").agg(F.min("t").alias("t0"), (F.max("t") - F.min("t") + 1).alias("n")).where(F.col("n") >= w)
-    size = F.greatest(F.lit(max(SMALL, w, min(LARGE, ZONES * zone))), F.least(F.lit(LARGE), F.ceil((F.col("n") - w + 1) / PARTS))).cast("long")
+    size = F.greatest(F.lit(max(SMALL, ahead, min(LARGE, ZONES * zone))), F.least(F.lit(LARGE), F.ceil((F.col("n") - w + 1) / PARTS))).cast("long")
     ends = ends.withColumn("size", size).withColumn("last", F.floor((F.col("n") - w) / F.col("size")))
     p = F.col("t") - F.col("t0")
     home = F.least("last", F.floor(p / F.col("size")))
-    reach = F.greatest(F.lit(0).cast("long"), F.floor((p - w + 1) / F.col("size")))
+    reach = F.greatest(F.lit(0).cast("long"), F.floor((p - ahead + 1) / F.col("size")))
     rows = sig.join(ends, "dim").select("dim", "n", "size", "last", p.alias("p"), "v", F.explode(F.sequence(reach, home)).alias("block"))
     return rows.groupBy("dim", "n", "size", "last", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"].cast("double")).alias("x"))
 

@@ -57,6 +57,14 @@ KNN1 = f"""{EV}, {win(24)}, half AS (SELECT a.dim, a.i, b.i AS j, round(sqrt({di
 pair AS (SELECT dim, i, j, d FROM half WHERE d IS NOT NULL UNION ALL SELECT dim, j, i, d FROM half WHERE d IS NOT NULL),
 nn AS (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY dim, i ORDER BY d, j) = 1)"""
 
+PAN = " UNION ALL ".join(
+    f"""SELECT CAST(dim AS INTEGER) AS dim, CAST({w} AS INTEGER) AS w, i, j, d FROM (WITH {EV}, {win(w)}, half AS (SELECT a.dim, a.i, b.i AS j, round(sqrt({dist('znorm', w)}), 6) AS d FROM win a JOIN win b ON a.dim = b.dim AND b.i - a.i >= {w}),
+pair AS (SELECT dim, i, j, d FROM half WHERE d IS NOT NULL UNION ALL SELECT dim, j, i, d FROM half WHERE d IS NOT NULL) SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY dim, i ORDER BY d, j) = 1)"""
+    for w in (8, 12, 16, 20, 24, 28, 32)
+)
+LEVELS = "level AS (SELECT dim, w, i, least(1.0, round(d / (2 * sqrt(w)), 6)) AS level FROM pan), ranked AS (SELECT *, percent_rank() OVER (PARTITION BY dim ORDER BY level) AS r FROM level)"
+CONTRAST = "level, round(1 / (1 + exp(-10 * (r - 0.2))), 6) AS contrast, level <= 0.2 AS on"
+
 OWK = f"""{OW}, {win(8)}, half AS (SELECT a.dim, a.i, b.i AS j, round(sqrt({dist('detrended', 8)}), 6) AS d FROM win a JOIN win b ON a.dim = b.dim AND b.i - a.i >= 8),
 pair AS (SELECT dim, i, j, d FROM half WHERE d IS NOT NULL UNION ALL SELECT dim, j, i, d FROM half WHERE d IS NOT NULL),
 greedy AS (SELECT dim, i, list_reduce(list_sort(list({{'d': d, 'j': j}})), lambda acc, y: CASE WHEN len(acc) < 3 AND len(list_filter(acc, lambda p: abs(p.j - y.j) < 8)) = 0 THEN list_append(acc, y) ELSE acc END, CAST([] AS STRUCT(d DOUBLE, j BIGINT)[])) AS k FROM pair GROUP BY dim, i),
@@ -132,6 +140,9 @@ SELECT k, round(8 * (80 - 8 * count(DISTINCT dim)) + count(DISTINCT dim) * 8 * l
     "mpdist": f"WITH {EV}, {win(24)}, p AS (SELECT a.i, b.i AS j, round(sqrt({dist('znorm', 24)}), 5) AS d FROM win a JOIN win b ON a.dim = 0 AND b.dim = 4), u AS (SELECT min(d) AS d FROM p GROUP BY i UNION ALL SELECT min(d) FROM p GROUP BY j) SELECT d AS distance FROM u QUALIFY row_number() OVER (ORDER BY d) = 1 + ceil(0.05 * (SELECT count(*) FROM sig WHERE dim IN (0, 4)))",
     "topk_merge": f"WITH {OWK}, u AS (SELECT DISTINCT i, y.j AS j, y.d AS d FROM knn) SELECT i, j, d FROM u QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 3",
     "pan_contrast": f"WITH {KNN1}, p AS (SELECT dim, i, percent_rank() OVER (ORDER BY d) AS r FROM nn) SELECT CAST(dim AS INTEGER) AS dim, i, round(1 / (1 + exp(-10 * (r - 0.2))), 6) AS contrast, r <= 0.2 AS on FROM p",
+    "pan_profile": PAN,
+    "pan_length_contrast": f"WITH pan AS ({PAN}), {LEVELS} SELECT dim, w, i, {CONTRAST} FROM ranked",
+    "pan_partial": f"WITH whole AS ({PAN}), pan AS (SELECT * FROM whole WHERE w IN (20, 12, 28)), {LEVELS}, stand AS (SELECT * FROM (VALUES (8, 12), (12, 12), (16, 12), (20, 20), (24, 20), (28, 28), (32, 28)) AS v(length, x)) SELECT dim, CAST(length AS INTEGER) AS w, length = x AS own, i, {CONTRAST} FROM ranked JOIN stand ON w = x",
     "overlap_graph": f"WITH {CAND} SELECT src, dst, round(weight, 6) AS weight FROM edge",
     "scc_merge": f"WITH RECURSIVE {CAND}, {REACH} SELECT cand, array_to_string(dims, ',') AS dims, (SELECT count(*) FROM mpos WHERE scc = cand) AS n_positions FROM merged",
     "scc_roles": f"WITH RECURSIVE {CAND}, {REACH}, ce AS (SELECT DISTINCT a.scc AS a, b.scc AS b FROM edge JOIN mem a ON src = a.cand JOIN mem b ON dst = b.cand WHERE a.scc <> b.scc) SELECT DISTINCT scc, CASE WHEN scc NOT IN (SELECT a FROM ce) AND scc NOT IN (SELECT b FROM ce) THEN 'isolated' WHEN scc NOT IN (SELECT b FROM ce) THEN 'source' WHEN scc NOT IN (SELECT a FROM ce) THEN 'sink' ELSE 'intermediate' END AS role FROM mem",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurra.functions import kernels, windows
-from recurra.operators import checks, extract, graph, mdl, metrics, neighbours, warped
+from recurra.operators import checks, extract, graph, mdl, metrics, neighbours, pan, warped
 from recurra.operators import persistence as ps
 from recurra.plans import methods, synthetic
 from recurra.sources import signals as sg
@@ -315,6 +315,28 @@ def pan_contrast(spark, d):
     return nn.join(ranked, "d").select("dim", "i", F.round(1 / (1 + F.exp(-10 * (r - 0.2))), 6).alias("contrast"), (r <= 0.2).alias("on"))
 
 
+#: Window lengths of the pan profile, in hours.
+LENGTHS = (8, 12, 16, 20, 24, 28, 32)
+
+
+@query
+def pan_profile(spark, d):
+    """The nearest neighbour of every window of each event type at every length."""
+    return pan.pan_profile(sg.ev_signal(spark, d), LENGTHS)
+
+
+@query
+def pan_length_contrast(spark, d):
+    """Contrast over lengths and places."""
+    return pan.contrast(pan.pan_profile(sg.ev_signal(spark, d), LENGTHS))
+
+
+@query
+def pan_partial(spark, d):
+    """Contrast after three lengths of the tree, spread over all lengths."""
+    return pan.spread(pan.contrast(pan.pan_profile(sg.ev_signal(spark, d), LENGTHS, 3)), LENGTHS, 3)
+
+
 # ---- persistence
 
 
