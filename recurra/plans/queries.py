@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurra.functions import kernels, windows
-from recurra.operators import checks, extract, graph, mdl, metrics, neighbours, pan, warped
+from recurra.operators import checks, extract, graph, mdl, metrics, neighbours, pan, search, warped
 from recurra.operators import persistence as ps
 from recurra.plans import methods, synthetic
 from recurra.sources import signals as sg
@@ -136,13 +136,7 @@ for _name, _metric in (("dist_mv_unit", "unit"), ("dist_mv_detrended", "detrende
 
 def distance_profile(sig: DataFrame, w: int, place: int) -> DataFrame:
     """(dim, i, d): z-normed distance of every window to the one at `place`, with the rules for constant windows (both: 0, one: root of w)."""
-    win = windows.windows(sig, w, "mean", "std", "x")
-    q = win.where(F.col("i") == place).select("dim", F.col("mean").alias("qm"), F.col("std").alias("qs"), F.col("x").alias("qx"))
-    dot = F.aggregate(F.zip_with("x", "qx", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e)
-    rho = (dot - w * F.col("mean") * F.col("qm")) / (w * F.col("std") * F.col("qs"))
-    flat, own = F.col("std") < windows.CONSTANT, F.col("qs") < windows.CONSTANT
-    square = F.when(flat & own, 0.0).when(flat | own, float(w)).otherwise(F.greatest(F.lit(0.0), 2 * w * (1 - rho)))
-    return win.join(F.broadcast(q), "dim").select("dim", "i", F.sqrt(square).alias("d"))  # one row a dim
+    return search.profile(sig, search.query_at(sig, w, place), w)
 
 
 @emb_query
@@ -152,10 +146,7 @@ def query_profile(sig):
 
 @emb_query
 def query_profile_pnorm(sig):
-    win = windows.windows(sig, 16, "x")
-    q = win.where("i = 100").select("dim", F.col("x").alias("qx"))
-    p = F.aggregate(F.zip_with("x", "qx", lambda a, b: F.pow(F.abs(a - b), F.lit(3.0))), F.lit(0.0), lambda a, e: a + e)
-    return win.join(F.broadcast(q), "dim").select("dim", "i", F.round(F.pow(p, F.lit(1 / 3.0)), 5).alias("d"))  # one row a dim
+    return search.profile(sig, search.query_at(sig, 16, 100), 16, "pnorm", 3.0).select("dim", "i", _r("d", 5))
 
 
 def _match(sig: DataFrame, place: int, zone: int) -> DataFrame:
@@ -642,9 +633,7 @@ def dist_single(sig):
 
 @emb_query
 def sliding_dot(sig):
-    win = windows.windows(sig, 16, "x")
-    q = win.where("i = 5").select("dim", F.col("x").alias("qx"))
-    return win.join(F.broadcast(q), "dim").select("dim", "i", F.round(F.aggregate(F.zip_with("x", "qx", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e), 6).alias("qt"))  # one row a dim
+    return search.profile(sig, search.query_at(sig, 16, 5), 16, "dot").select("dim", "i", F.round("d", 6).alias("qt"))
 
 
 @query
