@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recurra.llm import textnum as tn
 from recurra.llm.scratch import small_batches
 
-#: Rows of the sample, and bytes of its texts: the rows of smallest hash that fit; a text of more than all the bytes is passed over.
-MAX_ROWS, MAX_BYTES = 6000, 32 << 20
+#: Rows of the sample, and bytes of its texts: the rows of smallest hash that fit; texts of more than a SHARE-th of the bytes take what the others leave.
+MAX_ROWS, MAX_BYTES, SHARE = 6000, 32 << 20, 64
 
 
 def held_out(id_col: Column) -> Column:
@@ -41,11 +41,22 @@ def unlabelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "do
 
 
 def _texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, max_bytes: int) -> pa.Table:
-    """t, y of the ids chosen(i, y), at most MAX_ROWS rows of two numbers, as far as max_bytes go."""
+    """t, y of the ids chosen(i, y), at most MAX_ROWS rows of two numbers, as far as max_bytes go: lengths first, then the texts picked by them."""
     rows = docs.select(docs[id_col].alias("i"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
-    got = rows.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("y").alias("y"), F.min("t").alias("t")).where(F.octet_length("t") <= max_bytes)
-    room = F.sum(F.octet_length("t")).over(Window.orderBy(F.xxhash64("i"), "i", "y", "t"))
-    return got.withColumn("room", room).where(F.col("room") <= max_bytes).orderBy(F.xxhash64("i"), "i", "y", "t").select("t", "y").toArrow()
+    of = lambda ids: rows.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("y").alias("y"), F.min("t").alias("t"))
+    order = [F.xxhash64("i"), "i"]
+    lengths = of(chosen).select("i", "y", F.octet_length("t").alias("n")).orderBy(*order).toArrow()
+    n, y = lengths["n"].to_numpy(), lengths["y"].to_numpy()
+    room, picked = max_bytes, []
+    for k in np.argsort(n > max_bytes // SHARE, kind="stable").tolist():
+        if n[k] <= room:
+            picked.append(k)
+            room -= int(n[k])
+    picked = np.sort(np.array(picked, np.int64))
+    if len(np.unique(y)) > len(np.unique(y[picked])) > 0:
+        raise ValueError(f"{max_bytes} bytes of labelled texts hold one class alone: raise max_bytes")
+    ids = docs.sparkSession.createDataFrame(lengths.take(pa.array(picked)).select(["i", "y"]), chosen.select("i", "y").schema)
+    return of(ids).orderBy(*order).select("t", "y").toArrow()
 
 
 def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], cut: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from recurra.llm import bpe, decontam, labelled, licenses, pii, quality_model, quality_rules, toxicity
 from tests.llm.common import clashing, lower, odd_texts, prose, table
@@ -412,3 +413,19 @@ def test_toxicity_patterns():
     found = toxicity.patterns_found(pa.array(["you are a stupid thing", "du bist ein Trottel", "tu es minable", "eres un idiota", "GO AWAY NOW RIGHT THIS minute", "what???", "f**k it", "a calm sentence about you", ""]))
     assert found.any(1).tolist() == [True] * 7 + [False] * 2
     assert toxicity.seeds_found(pa.array(["Idiot and basura", "none"])).tolist() == [[1, 1, 1, 1], [0, 0, 0, 0]]
+
+
+def test_labelled_sample_is_not_emptied_by_a_long_text(spark):
+    """A text of nearly all the bytes gives way to the others, whichever hash it has; one class alone is refused."""
+    texts = [f"text {k} of some words" for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    held = {r.i for r in spark.range(300).select(F.col("id").alias("i"), labelled.held_out(F.col("id")).alias("h")).where("h").collect()}
+    rest = [k for k in range(300) if k not in held]
+    for k in rest[:5]:
+        docs = table(spark, [*texts[:k], "x" * 9900, *texts[k + 1 :]])
+        got, y = labelled.sample(docs, labels, "toxic", max_bytes=10_000)
+        assert len(got) == len(y) == len(rest) - 1 and set(got.to_pylist()) == {texts[j] for j in rest if j != k} and set(y) == {0, 1}
+    rare = spark.createDataFrame([(k, int(k == rest[0])) for k in range(300)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="one class"):
+        labelled.sample(table(spark, [*texts[: rest[0]], "x" * 9900, *texts[rest[0] + 1 :]]), rare, "toxic", max_bytes=10_000)
+    assert len(labelled.sample(docs.limit(0), labels, "toxic")[0]) == 0
